@@ -258,3 +258,245 @@ def with_ctes(*blocks: str, select: str) -> str:
 def scored_sql(select: str) -> str:
     """SQL over the relational ``scored`` table (one row per run and example)."""
     return with_ctes(GOLD_CTES, PRED_CTES, SCORE_CTES, select=select)
+
+
+# ---------------------------------------------------------------------------
+# F2 raw outputs and their cleaning (P1-P6), evaluated with DuckDB's JSON functions
+# ---------------------------------------------------------------------------
+
+def _raw_ctes() -> str:
+    from fieldmark.sources.dimensions import CHANGE_DIRECTIONS, CHANGE_TYPES, CHANGE_UNITS, PRODUCTS
+    from fieldmark.sources.fixtures import RAW_CASES, THINK_PREFIX, TRAILING_TEXT, UNCLOSED_PREFIX
+
+    def lit(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    def num(v: str) -> str:
+        return (f"CASE WHEN c = 5 THEN '\"' ELSE '' END || CASE WHEN c = 4 THEN '-' ELSE '' END"
+                f" || CAST(CAST({v} AS BIGINT) AS VARCHAR) || CASE WHEN c = 5 THEN '\"' ELSE '' END")
+
+    def jstr(v: str) -> str:
+        return f"CASE WHEN {v} IS NULL THEN 'null' ELSE '\"' || {v} || '\"' END"
+
+    in_list = lambda xs: "(" + ", ".join(lit(x) for x in xs) + ")"
+    return f"""
+raw_base AS (
+  SELECT runs.r, runs.run, g.*, CAST((g.row_id * 7 + runs.r) % {RAW_CASES} AS INTEGER) AS c
+  FROM gold g CROSS JOIN runs
+),
+raw_drv AS (
+  SELECT b.r, b.row_id,
+         string_agg('{{"entity_key": "' || d.k || '", "change": {{"type": "' || d.ctype || '", "value": '
+                    || {num('d.cvalue')} || ', "unit": "' || d.cunit || '", "direction": "' || d.cdir || '"}}}}',
+                    ', ' ORDER BY d.pos) AS dj,
+         count(*) AS nd
+  FROM raw_base b JOIN gold_drivers d ON d.row_id = b.row_id GROUP BY b.r, b.row_id
+),
+raw_tgt AS (SELECT row_id, '[' || string_agg('"' || t || '"', ', ' ORDER BY t) || ']' AS tj
+            FROM gold_targets GROUP BY row_id),
+raw_terms AS (
+  SELECT b.r, b.row_id,
+         '[' || string_agg('"' || CASE WHEN b.c = 8 THEN upper(u.u) ELSE u.u END || '"', ', ' ORDER BY u.u) || ']' AS uj
+  FROM raw_base b JOIN gold_terms u ON u.row_id = b.row_id GROUP BY b.r, b.row_id
+),
+raw_body AS (
+  SELECT b.r, b.run, b.row_id, b.text, b.c,
+    CASE WHEN b.c = 7 THEN '' ELSE '"intent": ' || {jstr('b.g_intent')} || ', ' END AS ij,
+    CASE WHEN b.c = 6 THEN '"sideways"' ELSE {jstr('b.g_mode')} END AS mj,
+    b.g_intent, b.g_mode, b.g_product, b.g_lever, b.g_has_goal, b.g_gtype, b.g_gvalue, b.g_gunit, b.g_gdir,
+    b.g_target, coalesce(d.dj, '') AS dj, coalesce(d.nd, 0) AS nd, coalesce(t.tj, '[]') AS tj,
+    coalesce(u.uj, '[]') AS uj
+  FROM raw_base b
+  LEFT JOIN raw_drv d ON d.r = b.r AND d.row_id = b.row_id
+  LEFT JOIN raw_tgt t ON t.row_id = b.row_id
+  LEFT JOIN raw_terms u ON u.r = b.r AND u.row_id = b.row_id
+),
+raw_json AS (
+  SELECT r, run, row_id, text, c,
+    CASE WHEN g_intent = 'other' THEN
+      CASE WHEN c = 8 THEN '{{"intent": "other", "mode": "forward", "product_id": "CRED_IMMO", "drivers": [], "unknown_terms": ["reste"]}}'
+           ELSE '{{' || ij || '"mode": ' || mj || ', "product_id": null, "drivers": null, "targets": null, "lever": null, "goal": null, "target": null, "unknown_terms": []}}' END
+    ELSE '{{' || ij || '"mode": ' || mj || ', "product_id": ' || {jstr('g_product')}
+      || ', "drivers": ' || CASE WHEN g_mode = 'forward' THEN '[' || CASE WHEN c = 9 THEN '42, "x"' || CASE WHEN nd > 0 THEN ', ' ELSE '' END ELSE '' END || dj || ']' ELSE 'null' END
+      || ', "targets": ' || CASE WHEN g_mode = 'forward' THEN tj ELSE 'null' END
+      || ', "lever": ' || CASE WHEN g_mode = 'inverse' AND g_lever IS NOT NULL THEN '{{"entity_key": "' || g_lever || '"}}' ELSE 'null' END
+      || ', "goal": ' || CASE WHEN g_mode = 'inverse' AND g_has_goal THEN '{{"type": "' || g_gtype || '", "value": ' || {num('g_gvalue')} || ', "unit": "' || g_gunit || '", "direction": "' || g_gdir || '"}}' ELSE 'null' END
+      || ', "target": ' || CASE WHEN g_mode = 'inverse' THEN {jstr('g_target')} ELSE 'null' END
+      || ', "unknown_terms": ' || uj || '}}'
+    END AS body
+  FROM raw_body
+),
+raw AS (
+  SELECT r, run, row_id, text, c,
+    CASE c WHEN 1 THEN {lit(THINK_PREFIX)} || body
+           WHEN 2 THEN left(body, length(body) - 1)
+           WHEN 3 THEN '[' || body || ']'
+           WHEN 10 THEN body || {lit(TRAILING_TEXT)}
+           WHEN 11 THEN {lit(UNCLOSED_PREFIX)} || body
+           ELSE body END AS raw
+  FROM raw_json
+),
+stripped AS (
+  SELECT *, regexp_replace(regexp_replace(raw, '<think>.*?</think>', '', 'gs'), '^\\s+|\\s+$', '', 'g') AS txt
+  FROM raw
+),
+parsed AS (
+  SELECT r, run, row_id, text, raw, txt,
+         CASE WHEN json_valid(txt) AND json_type(txt) = 'OBJECT' THEN CAST(txt AS JSON) END AS j
+  FROM stripped
+),
+obj AS (
+  SELECT *,
+    (json_type(j, '$.intent') = 'VARCHAR' AND j->>'$.intent' = 'other') AS is_other,
+    coalesce(json_type(j, '$.mode') = 'VARCHAR' AND j->>'$.mode' = 'forward', FALSE) AS fwd,
+    coalesce(json_type(j, '$.mode') = 'VARCHAR' AND j->>'$.mode' = 'inverse', FALSE) AS inv
+  FROM parsed WHERE j IS NOT NULL
+),
+elems AS (
+  SELECT o.r, o.row_id, 'd' AS kind, e.i, e.v FROM obj o,
+    LATERAL (SELECT generate_subscripts(json_extract(o.j, '$.drivers[*]'), 1) AS i,
+                    unnest(json_extract(o.j, '$.drivers[*]')) AS v) e
+  WHERE o.fwd AND NOT coalesce(o.is_other, FALSE)
+  UNION ALL
+  SELECT o.r, o.row_id, 't', e.i, e.v FROM obj o,
+    LATERAL (SELECT generate_subscripts(json_extract(o.j, '$.targets[*]'), 1) AS i,
+                    unnest(json_extract(o.j, '$.targets[*]')) AS v) e
+  WHERE o.fwd AND NOT coalesce(o.is_other, FALSE)
+  UNION ALL
+  SELECT o.r, o.row_id, 'u', e.i, e.v FROM obj o,
+    LATERAL (SELECT generate_subscripts(json_extract(o.j, '$.unknown_terms[*]'), 1) AS i,
+                    unnest(json_extract(o.j, '$.unknown_terms[*]')) AS v) e
+  WHERE NOT coalesce(o.is_other, FALSE)
+),
+drv AS (
+  SELECT r, row_id, i, v->>'$.entity_key' AS k, v->'$.change' AS ch,
+    json_type(v, '$.entity_key') = 'VARCHAR' AS k_is_str
+  FROM elems WHERE kind = 'd' AND json_type(v) = 'OBJECT'
+),
+drv_c AS (
+  SELECT *,
+    CASE WHEN json_type(ch, '$.value') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN abs(CAST(ch->>'$.value' AS DOUBLE))
+         WHEN json_type(ch, '$.value') = 'VARCHAR' THEN TRY_CAST(trim(ch->>'$.value') AS DOUBLE) END AS cvalue,
+    coalesce(json_type(ch) = 'OBJECT' AND json_type(ch, '$.type') = 'VARCHAR' AND ch->>'$.type' IN {in_list(CHANGE_TYPES)}
+      AND (json_type(ch, '$.value') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+           OR (json_type(ch, '$.value') = 'VARCHAR' AND TRY_CAST(trim(ch->>'$.value') AS DOUBLE) IS NOT NULL))
+      AND json_type(ch, '$.unit') = 'VARCHAR' AND ch->>'$.unit' IN {in_list(CHANGE_UNITS)}
+      AND json_type(ch, '$.direction') = 'VARCHAR' AND ch->>'$.direction' IN {in_list(CHANGE_DIRECTIONS)}, FALSE)
+      AS change_ok
+  FROM drv
+),
+drv_agg AS (
+  SELECT r, row_id,
+    string_agg(coalesce(k, '') || ':' || coalesce(ch->>'$.type', '') || ':' || coalesce(CAST(cvalue AS VARCHAR), '')
+               || ':' || coalesce(ch->>'$.unit', '') || ':' || coalesce(ch->>'$.direction', ''), '|'
+               ORDER BY coalesce(k, '') || ':' || coalesce(ch->>'$.type', '') || ':' || coalesce(CAST(cvalue AS VARCHAR), '')
+               || ':' || coalesce(ch->>'$.unit', '') || ':' || coalesce(ch->>'$.direction', '')) AS drivers,
+    count(*) AS n_drivers,
+    bool_and(coalesce(k_is_str AND k IN {in_list(LEVER_KEYS)}, FALSE) AND change_ok) AS drivers_ok
+  FROM drv_c GROUP BY r, row_id
+),
+tgt_agg AS (
+  SELECT r, row_id, string_agg(v->>'$', '|' ORDER BY v->>'$') AS targets,
+    bool_and(coalesce(json_type(v) = 'VARCHAR' AND v->>'$' IN {in_list(KPIS)}, FALSE)) AS targets_ok
+  FROM elems WHERE kind = 't' GROUP BY r, row_id
+),
+term_agg AS (
+  SELECT r, row_id, string_agg(lower(v->>'$'), '|' ORDER BY lower(v->>'$')) AS terms,
+    bool_and(coalesce(json_type(v) = 'VARCHAR', FALSE)) AS terms_ok
+  FROM elems WHERE kind = 'u' GROUP BY r, row_id
+),
+cleaned AS (
+  SELECT p.run, p.row_id, p.raw, p.txt, p.j IS NOT NULL AS parsed,
+    o.is_other, o.fwd, o.inv,
+    CASE WHEN p.j IS NULL THEN NULL WHEN coalesce(o.is_other, FALSE) THEN 'other' ELSE 'simulation' END AS intent,
+    CASE WHEN p.j IS NULL OR coalesce(o.is_other, FALSE) THEN NULL ELSE o.j->>'$.mode' END AS mode,
+    CASE WHEN p.j IS NULL OR coalesce(o.is_other, FALSE) THEN NULL ELSE o.j->>'$.product_id' END AS product_id,
+    CASE WHEN o.fwd AND NOT coalesce(o.is_other, FALSE) THEN coalesce(da.drivers, '') END AS drivers,
+    CASE WHEN o.fwd AND NOT coalesce(o.is_other, FALSE) THEN coalesce(da.n_drivers, 0) END AS n_drivers,
+    CASE WHEN o.fwd AND NOT coalesce(o.is_other, FALSE) THEN coalesce(ta.targets, '') END AS targets,
+    CASE WHEN p.j IS NULL THEN NULL ELSE coalesce(ua.terms, '') END AS terms,
+    CASE WHEN o.inv AND NOT coalesce(o.is_other, FALSE) THEN o.j->>'$.lever.entity_key' END AS lever,
+    CASE WHEN o.inv AND NOT coalesce(o.is_other, FALSE) AND json_type(o.j, '$.goal') = 'OBJECT' THEN
+      coalesce(o.j->>'$.goal.type', '') || ':' ||
+      coalesce(CAST(CASE WHEN json_type(o.j, '$.goal.value') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+                         THEN abs(CAST(o.j->>'$.goal.value' AS DOUBLE))
+                         WHEN json_type(o.j, '$.goal.value') = 'VARCHAR'
+                         THEN TRY_CAST(trim(o.j->>'$.goal.value') AS DOUBLE) END AS VARCHAR), '') || ':' ||
+      coalesce(o.j->>'$.goal.unit', '') || ':' || coalesce(o.j->>'$.goal.direction', '') END AS goal,
+    CASE WHEN o.inv AND NOT coalesce(o.is_other, FALSE) THEN o.j->>'$.target' END AS target,
+    coalesce(ua.terms_ok, TRUE) AS terms_ok,
+    coalesce(o.is_other, FALSE) OR (
+      (json_type(o.j, '$.product_id') IS NULL OR json_type(o.j, '$.product_id') = 'NULL'
+       OR (json_type(o.j, '$.product_id') = 'VARCHAR' AND o.j->>'$.product_id' IN {in_list(PRODUCTS)}))
+      AND (o.fwd OR o.inv)
+      AND (NOT o.fwd OR (coalesce(da.drivers_ok, TRUE) AND coalesce(ta.targets_ok, TRUE)))
+      AND (NOT o.inv OR (
+        coalesce(json_type(o.j, '$.lever') = 'OBJECT' AND json_type(o.j, '$.lever.entity_key') = 'VARCHAR'
+                 AND o.j->>'$.lever.entity_key' IN {in_list(LEVER_KEYS)}, FALSE)
+        AND coalesce(json_type(o.j, '$.goal') = 'OBJECT'
+          AND json_type(o.j, '$.goal.type') = 'VARCHAR' AND o.j->>'$.goal.type' IN {in_list(CHANGE_TYPES)}
+          AND (json_type(o.j, '$.goal.value') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+               OR (json_type(o.j, '$.goal.value') = 'VARCHAR' AND TRY_CAST(trim(o.j->>'$.goal.value') AS DOUBLE) IS NOT NULL))
+          AND json_type(o.j, '$.goal.unit') = 'VARCHAR' AND o.j->>'$.goal.unit' IN {in_list(CHANGE_UNITS)}
+          AND json_type(o.j, '$.goal.direction') = 'VARCHAR' AND o.j->>'$.goal.direction' IN {in_list(CHANGE_DIRECTIONS)}, FALSE)
+        AND coalesce(json_type(o.j, '$.target') = 'VARCHAR' AND o.j->>'$.target' IN {in_list(KPIS)}, FALSE)))
+    ) AS rec_ok
+  FROM parsed p
+  LEFT JOIN obj o ON o.r = p.r AND o.row_id = p.row_id
+  LEFT JOIN drv_agg da ON da.r = p.r AND da.row_id = p.row_id
+  LEFT JOIN tgt_agg ta ON ta.r = p.r AND ta.row_id = p.row_id
+  LEFT JOIN term_agg ua ON ua.r = p.r AND ua.row_id = p.row_id
+),
+finalized AS (
+  SELECT run, row_id, raw, txt, parsed,
+    parsed AND terms_ok AS has_pred,
+    coalesce(parsed AND terms_ok AND rec_ok, FALSE) AS valid,
+    intent, mode, product_id, drivers, n_drivers, targets, terms, lever, goal, target
+  FROM cleaned
+)"""
+
+
+def cleaned_sql(select: str) -> str:
+    return with_ctes(GOLD_CTES, PRED_CTES, _raw_ctes(), select=select)
+
+
+def _fold_sql(x: str) -> str:
+    """T1 folding for accented Latin text (the oracle data is restricted to it)."""
+    return f"lower(regexp_replace(strip_accents({x}), '^\\s+|\\s+$', '', 'g'))"
+
+
+def surface_sql(select: str) -> str:
+    from fieldmark.functions.cleaning import _FLOAT_RE
+    from fieldmark.sources.dimensions import DIRECTION_DOWN, DIRECTION_UP, UNIT_BPS, UNIT_PCT
+    from fieldmark.sources.fixtures import DIRECTION_SAMPLES, UNIT_SAMPLES
+
+    def in_list(xs):
+        return "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
+
+    fre = _FLOAT_RE.replace("'", "''")
+    t = "regexp_replace(replace(value_text, ',', '.'), '^\\s+|\\s+$', '', 'g')"
+    return f"""WITH s0 AS (
+  SELECT l_orderkey AS row_id, CAST(l_linenumber AS BIGINT) AS line,
+    ({_list(UNIT_SAMPLES)})[CAST(l_partkey % {len(UNIT_SAMPLES)} AS INTEGER) + 1] AS unit_text,
+    ({_list(DIRECTION_SAMPLES)})[CAST(l_suppkey % {len(DIRECTION_SAMPLES)} AS INTEGER) + 1] AS direction_text,
+    CASE l_partkey % 8
+      WHEN 0 THEN CAST(l_quantity AS VARCHAR)
+      WHEN 1 THEN replace(CAST(l_discount AS VARCHAR), '.', ',')
+      WHEN 2 THEN ' ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' '
+      WHEN 3 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' bps'
+      WHEN 4 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'd'
+      WHEN 5 THEN '1_' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)
+      WHEN 6 THEN '-' || CAST(l_tax AS VARCHAR)
+      ELSE 'abc' END AS value_text
+  FROM lineitem
+),
+surfaces AS (
+  SELECT *,
+    CASE WHEN {_fold_sql('unit_text')} IN {in_list(UNIT_BPS)} THEN 'bps'
+         WHEN {_fold_sql('unit_text')} IN {in_list(UNIT_PCT)} OR contains(unit_text, '%') THEN '%' END AS unit,
+    CASE WHEN {_fold_sql('direction_text')} IN {in_list(DIRECTION_UP)} THEN 'increase'
+         WHEN {_fold_sql('direction_text')} IN {in_list(DIRECTION_DOWN)} THEN 'decrease' END AS direction,
+    CASE WHEN regexp_matches({t}, '{fre}') THEN TRY_CAST(replace({t}, '_', '') AS DOUBLE) END AS value
+  FROM s0
+)
+{select}"""

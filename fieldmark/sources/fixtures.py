@@ -255,3 +255,118 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("v") & F.col("prediction").isNotNull()).alias("valid_json"),
         F.when(F.col("prediction").isNull(), F.lit(0.0)).otherwise(lat).alias("latency_s"),
     )
+
+
+# ---------------------------------------------------------------------------
+# raw model outputs (JSON text with realistic defects)
+# ---------------------------------------------------------------------------
+
+RAW_CASES = 12
+THINK_PREFIX = "<think>Je réfléchis.\nLe levier est clair.</think>\n"
+UNCLOSED_PREFIX = "<think>hmm "
+TRAILING_TEXT = " Voilà."
+
+
+def _q(s: Column) -> Column:
+    return F.concat(F.lit('"'), s, F.lit('"'))
+
+
+def _jstr(s: Column) -> Column:
+    return F.when(s.isNull(), F.lit("null")).otherwise(_q(s))
+
+
+def _num(v: Column, neg: Column, as_str: Column) -> Column:
+    t = v.cast("bigint").cast("string")
+    t = F.when(neg, F.concat(F.lit("-"), t)).otherwise(t)
+    return F.when(as_str, _q(t)).otherwise(t)
+
+
+def _change_json(c: Column, neg: Column, as_str: Column) -> Column:
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(
+        F.lit('{"type": '), _jstr(c["type"]), F.lit(', "value": '), _num(c["value"], neg, as_str),
+        F.lit(', "unit": '), _jstr(c["unit"]), F.lit(', "direction": '), _jstr(c["direction"]), F.lit("}")))
+
+
+def _str_list(a: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda t: _q(t)), ", "), F.lit("]"))
+
+
+def render_raw(g: Column, case: Column) -> Column:
+    """Render a gold record as the flat JSON a model would emit, with defect ``case``."""
+    neg = case == 4
+    as_str = case == 5
+    fwd = g["mode"] == "forward"
+    inv = g["mode"] == "inverse"
+    oth = g["intent"] == "other"
+    drivers = F.array_join(F.transform(g["drivers"], lambda d: F.concat(
+        F.lit('{"entity_key": '), _q(d["entity_key"]), F.lit(', "change": '),
+        _change_json(d["change"], neg, as_str), F.lit("}"))), ", ")
+    drivers = F.when(case == 9, F.concat(F.lit('42, "x"'), F.when(F.size(g["drivers"]) > 0, F.lit(", "))
+                                         .otherwise(F.lit("")), drivers)).otherwise(drivers)
+    terms = F.when(case == 8, F.transform(g["unknown_terms"], lambda t: F.upper(t))).otherwise(g["unknown_terms"])
+    intent = F.when(case == 7, F.lit("")).otherwise(F.concat(F.lit('"intent": '), _jstr(g["intent"]), F.lit(", ")))
+    mode = F.when(case == 6, F.lit('"sideways"')).otherwise(_jstr(g["mode"]))
+    lever = F.when(g["lever"].isNull(), F.lit("null")).otherwise(
+        F.concat(F.lit('{"entity_key": '), _jstr(g["lever"]["entity_key"]), F.lit("}")))
+    sim_body = F.concat(
+        F.lit("{"), intent, F.lit('"mode": '), mode,
+        F.lit(', "product_id": '), _jstr(g["product_id"]),
+        F.lit(', "drivers": '), F.when(fwd, F.concat(F.lit("["), drivers, F.lit("]"))).otherwise(F.lit("null")),
+        F.lit(', "targets": '), F.when(fwd, _str_list(g["targets"])).otherwise(F.lit("null")),
+        F.lit(', "lever": '), F.when(inv, lever).otherwise(F.lit("null")),
+        F.lit(', "goal": '), F.when(inv, _change_json(g["goal"], neg, as_str)).otherwise(F.lit("null")),
+        F.lit(', "target": '), F.when(inv, _jstr(g["target"])).otherwise(F.lit("null")),
+        F.lit(', "unknown_terms": '), _str_list(terms), F.lit("}"))
+    other_body = F.when(case == 8, F.lit(
+        '{"intent": "other", "mode": "forward", "product_id": "CRED_IMMO", "drivers": [], '
+        '"unknown_terms": ["reste"]}')).otherwise(F.concat(
+            F.lit("{"), intent, F.lit('"mode": '), mode, F.lit(', "product_id": null, "drivers": null, '
+                                                               '"targets": null, "lever": null, "goal": null, '
+                                                               '"target": null, "unknown_terms": []}')))
+    body = F.when(oth, other_body).otherwise(sim_body)
+    return (F.when(case == 1, F.concat(F.lit(THINK_PREFIX), body))
+            .when(case == 2, body.substr(F.lit(1), F.length(body) - 1))
+            .when(case == 3, F.concat(F.lit("["), body, F.lit("]")))
+            .when(case == 10, F.concat(body, F.lit(TRAILING_TEXT)))
+            .when(case == 11, F.concat(F.lit(UNCLOSED_PREFIX), body))
+            .otherwise(body))
+
+
+def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(run, row_id, text, gold, raw)`` — one raw model answer per run and example."""
+    g = gold_records(spark, sf_dir)
+    x = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(EVAL_RUNS) - 1))).alias("r"))
+    case = ((F.col("row_id") * 7 + F.col("r")) % RAW_CASES).cast("int")
+    return x.select(_pick(EVAL_RUNS, F.col("r")).alias("run"), "row_id", "text", "gold",
+                    render_raw(F.col("gold"), case).alias("raw"))
+
+
+# ---------------------------------------------------------------------------
+# Surface strings for the baseline helpers (units, directions, values)
+# ---------------------------------------------------------------------------
+
+# Test vocabulary (our own): spellings a span extractor may return.
+UNIT_SAMPLES = ["bps", " BPS ", "Points de base", "point de base", "pdb", "bp", "%", "10 %", "pct",
+                "Pourcentage", "pourcent", "percent", "basis points", "", "pourcentâge", "Bps."]
+DIRECTION_SAMPLES = ["hausse", "Hausse", " baisse ", "augmentation", "diminue", "réduire", "+", "-",
+                     "en hausse", "monte", "increase", "DECREASE", "baisser", "stable", "Diminution", "hausser"]
+
+
+def surface_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One unit, direction and value string per lineitem, chosen from its keys."""
+    li = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("bigint").cast("string")
+    k = F.col("l_partkey") % 8
+    value = (F.when(k == 0, F.col("l_quantity").cast("string"))
+             .when(k == 1, F.regexp_replace(F.col("l_discount").cast("string"), "\\.", ","))
+             .when(k == 2, F.concat(F.lit(" "), q, F.lit(" ")))
+             .when(k == 3, F.concat(q, F.lit(" bps")))
+             .when(k == 4, F.concat(q, F.lit("d")))
+             .when(k == 5, F.concat(F.lit("1_"), q))
+             .when(k == 6, F.concat(F.lit("-"), F.col("l_tax").cast("string")))
+             .otherwise(F.lit("abc")))
+    return li.select(
+        F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").cast("long").alias("line"),
+        _pick(UNIT_SAMPLES, F.col("l_partkey") % len(UNIT_SAMPLES)).alias("unit_text"),
+        _pick(DIRECTION_SAMPLES, F.col("l_suppkey") % len(DIRECTION_SAMPLES)).alias("direction_text"),
+        value.alias("value_text"))
