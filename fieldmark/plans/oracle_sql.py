@@ -500,3 +500,50 @@ surfaces AS (
   FROM s0
 )
 {select}"""
+
+
+def linking_sql(select: str) -> str:
+    """Spans of F3 and the exact / phrase / reverse matches, evaluated by brute force."""
+    from fieldmark.sources.dimensions import DICTIONARY
+    from fieldmark.sources.fixtures import SPAN_VARIANTS
+
+    dict_values = ", ".join("('" + s.replace("'", "''") + "', '" + c + "', " + str(i) + ")"
+                            for i, (s, c) in enumerate(DICTIONARY))
+    surf = "(" + _list([s for s, _ in DICTIONARY]) + ")"
+    n = len(DICTIONARY)
+    return f"""WITH dict AS (SELECT * FROM (VALUES {dict_values}) t(surface, canonical, ord)),
+lookup AS (SELECT {_fold_sql('surface')} AS surface, arg_max(canonical, ord) AS canonical, min(ord) AS ord,
+                  length({_fold_sql('surface')}) AS len
+           FROM dict GROUP BY {_fold_sql('surface')}),
+s0 AS (
+  SELECT l_orderkey AS row_id, CAST(l_linenumber AS BIGINT) AS line,
+         {surf}[CAST(l_partkey % {n} AS INTEGER) + 1] AS base,
+         {surf}[CAST(l_orderkey % {n} AS INTEGER) + 1] AS other,
+         l_suppkey % {SPAN_VARIANTS} AS v
+  FROM lineitem
+),
+spans AS (
+  SELECT row_id, line, CASE v
+    WHEN 0 THEN base WHEN 1 THEN upper(base) WHEN 2 THEN 'le ' || base || ' total'
+    WHEN 3 THEN left(base, greatest(4, length(base) - 3))
+    WHEN 4 THEN left(base, length(base) // 2) || 'x' || substr(base, length(base) // 2 + 2)
+    WHEN 5 THEN replace(base, 'e', 'é') WHEN 6 THEN base || 's' WHEN 7 THEN 'la ' || base
+    WHEN 8 THEN base || ' et ' || other ELSE substr(base, 2, 3) END AS span
+  FROM s0
+),
+sn AS (SELECT DISTINCT {_fold_sql('span')} AS n FROM spans),
+exact AS (SELECT sn.n, l.canonical FROM sn JOIN lookup l ON l.surface = sn.n),
+t4 AS (SELECT sn.n, l.len, l.ord, l.canonical FROM sn JOIN lookup l
+       ON regexp_matches(sn.n, '\\b' || regexp_escape(l.surface) || '\\b')),
+t5 AS (SELECT sn.n, l.len, l.ord, l.canonical FROM sn JOIN lookup l
+       ON length(sn.n) >= 4 AND contains(l.surface, sn.n)),
+t4_best AS (SELECT n, arg_max(canonical, len * 1000 - ord) AS canonical FROM t4 GROUP BY n),
+t5_best AS (SELECT n, arg_max(canonical, len * 1000 - ord) AS canonical FROM t5 GROUP BY n),
+contain AS (SELECT n, arg_max(canonical, len * 1000 - ord) AS canonical
+            FROM (SELECT * FROM t4 UNION ALL SELECT * FROM t5) GROUP BY n),
+cascade AS (
+  SELECT sn.n, coalesce(e.canonical, CASE WHEN sn.n <> '' THEN c.canonical END) AS key,
+         CASE WHEN e.canonical IS NOT NULL THEN 'exact' WHEN sn.n <> '' AND c.canonical IS NOT NULL THEN 'contain' END AS path
+  FROM sn LEFT JOIN exact e ON e.n = sn.n LEFT JOIN contain c ON c.n = sn.n
+)
+{select}"""

@@ -370,3 +370,45 @@ def surface_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(UNIT_SAMPLES, F.col("l_partkey") % len(UNIT_SAMPLES)).alias("unit_text"),
         _pick(DIRECTION_SAMPLES, F.col("l_suppkey") % len(DIRECTION_SAMPLES)).alias("direction_text"),
         value.alias("value_text"))
+
+
+# ---------------------------------------------------------------------------
+# spans to link against the dictionary
+# ---------------------------------------------------------------------------
+
+SPAN_VARIANTS = 10
+
+
+def _surfaces() -> list[str]:
+    from fieldmark.sources.dimensions import DICTIONARY
+
+    return [s for s, _ in DICTIONARY]
+
+
+def link_spans(spans_src: DataFrame) -> DataFrame:
+    """Derive a span per row from ``(row_id, line, a, b, c)`` integer keys."""
+    surf = _surfaces()
+    base = _pick(surf, F.col("a") % len(surf))
+    other = _pick(surf, F.col("c") % len(surf))
+    L = F.length(base)
+    half = (L / 2).cast("int")
+    v = F.col("b") % SPAN_VARIANTS
+    span = (F.when(v == 0, base)
+            .when(v == 1, F.upper(base))
+            .when(v == 2, F.concat(F.lit("le "), base, F.lit(" total")))
+            .when(v == 3, F.substring(base, 1, F.greatest(F.lit(4), L - 3)))
+            .when(v == 4, F.concat(F.substring(base, 1, half), F.lit("x"), F.substring(base, half + 2, 1000)))
+            .when(v == 5, F.regexp_replace(base, "e", "é"))
+            .when(v == 6, F.concat(base, F.lit("s")))
+            .when(v == 7, F.concat(F.lit("la "), base))
+            .when(v == 8, F.concat(base, F.lit(" et "), other))
+            .otherwise(F.substring(base, 2, 3)))
+    return spans_src.select("row_id", "line", span.alias("span"))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one span per lineitem ``(row_id, line, span)``."""
+    li = table(spark, sf_dir, "lineitem")
+    src = li.select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").cast("long").alias("line"),
+                    F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_orderkey").alias("c"))
+    return link_spans(src)
