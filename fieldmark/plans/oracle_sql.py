@@ -547,3 +547,39 @@ cascade AS (
   FROM sn LEFT JOIN exact e ON e.n = sn.n LEFT JOIN contain c ON c.n = sn.n
 )
 {select}"""
+
+
+DIFF_CTES = """
+raw_terms_tp AS (SELECT p.r, p.row_id, count(*) AS tp FROM pred_terms p
+                 JOIN gold_terms g ON g.row_id = p.row_id AND g.u = p.u GROUP BY p.r, p.row_id),
+raw_terms_np AS (SELECT r, row_id, count(*) AS np FROM pred_terms GROUP BY r, row_id),
+raw_terms_ng AS (SELECT row_id, count(*) AS ng FROM gold_terms GROUP BY row_id),
+diffs AS (
+  SELECT j.run, j.row_id,
+    CASE WHEN j.p_intent IS DISTINCT FROM j.g_intent THEN 'intent'
+         WHEN j.g_intent = 'other' THEN ''
+         ELSE concat_ws('|',
+           CASE WHEN j.p_mode IS DISTINCT FROM j.g_mode THEN 'mode' END,
+           CASE WHEN j.p_product IS DISTINCT FROM j.g_product THEN 'product_id' END,
+           CASE WHEN j.g_mode = 'forward' AND NOT (j.d_np = j.d_ng AND j.d_full = j.d_np) THEN 'drivers' END,
+           CASE WHEN j.g_mode = 'forward' AND NOT (j.t_np = j.t_ng AND j.t_tp = j.t_np) THEN 'targets' END,
+           CASE WHEN j.g_mode = 'inverse' AND j.p_lever IS DISTINCT FROM j.g_lever THEN 'lever' END,
+           CASE WHEN j.g_mode = 'inverse' AND NOT ((NOT j.p_has_goal AND NOT j.g_has_goal)
+                 OR (j.p_has_goal AND j.g_has_goal AND j.p_gtype IS NOT DISTINCT FROM j.g_gtype
+                     AND j.p_gvalue IS NOT DISTINCT FROM j.g_gvalue AND j.p_gunit IS NOT DISTINCT FROM j.g_gunit
+                     AND j.p_gdir IS NOT DISTINCT FROM j.g_gdir)) THEN 'goal' END,
+           CASE WHEN j.g_mode = 'inverse' AND j.p_target IS DISTINCT FROM j.g_target THEN 'target' END,
+           CASE WHEN NOT (coalesce(rn.np, 0) = coalesce(rg2.ng, 0) AND coalesce(rt.tp, 0) = coalesce(rn.np, 0))
+                THEN 'unknown_terms' END)
+    END AS fields,
+    s.exact_match
+  FROM joined j
+  JOIN scored s ON s.run = j.run AND s.row_id = j.row_id
+  LEFT JOIN raw_terms_tp rt ON rt.r = j.r AND rt.row_id = j.row_id
+  LEFT JOIN raw_terms_np rn ON rn.r = j.r AND rn.row_id = j.row_id
+  LEFT JOIN raw_terms_ng rg2 ON rg2.row_id = j.row_id
+)"""
+
+
+def diff_sql(select: str) -> str:
+    return with_ctes(GOLD_CTES, PRED_CTES, SCORE_CTES, DIFF_CTES, select=select)

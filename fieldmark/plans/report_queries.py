@@ -1 +1,62 @@
-"""placeholder"""
+"""Queries W4-W7: field diffs, error samples, precision impact, report lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldmark.operators.report import error_samples, precision_impact, report_lines, with_diffs
+from fieldmark.operators.summary import summarize
+from fieldmark.plans.catalog import register
+from fieldmark.plans.oracle_sql import diff_sql, with_ctes, GOLD_CTES, PRED_CTES, SCORE_CTES
+from fieldmark.plans.scoring_queries import scored
+from fieldmark.plans.summary_queries import SUMMARY_CTE
+from fieldmark.sources.dimensions import ERROR_SAMPLES_PER_RUN, runs_df, variant_rows, variants_df
+
+
+@register("w04_diff_fields", diff_sql("SELECT run, row_id, fields FROM diffs WHERE fields <> ''"))
+def w04_diff_fields(spark, sf_dir):
+    """Names of the differing high-level fields, per (run, example) with a difference."""
+    d = with_diffs(scored(spark, sf_dir).select("run", "row_id", "gold", "prediction"))
+    return d.where(F.size("diff_fields") > 0).select("run", "row_id", F.array_join("diff_fields", "|").alias("fields"))
+
+
+@register("w05_error_samples", diff_sql(f"""
+SELECT run, sample, row_id, fields FROM (
+  SELECT run, row_id, fields, row_number() OVER (PARTITION BY run ORDER BY row_id) AS sample
+  FROM diffs WHERE NOT exact_match AND fields <> '')
+WHERE sample <= {ERROR_SAMPLES_PER_RUN}"""), headline=True)
+def w05_error_samples(spark, sf_dir):
+    """First 4 failing examples per run (row order) with at least one visible diff."""
+    s = error_samples(scored(spark, sf_dir), ERROR_SAMPLES_PER_RUN)
+    return s.select("run", "sample", "row_id", F.array_join("diff_fields", "|").alias("fields"))
+
+
+_VARIANT_VALUES = ", ".join(f"('{b}', '{v}', {o})" for b, v, o in variant_rows())
+
+
+@register("w06_precision_impact", with_ctes(GOLD_CTES, PRED_CTES, SCORE_CTES, SUMMARY_CTE, f"""
+variants AS (SELECT * FROM (VALUES {_VARIANT_VALUES}) t(base, variant, ord)),
+vj AS (SELECT v.base, v.variant, v.ord, coalesce(d.precision, '?') AS precision, s.exact_match_rate
+       FROM variants v JOIN summary s ON s.model = v.variant LEFT JOIN rundim d ON d.name = v.variant)""",
+    select="""
+SELECT p.base, p.present, a.first_variant, a.last_variant, a.first_precision, a.last_precision,
+       a.first_em, a.last_em, CASE WHEN a.rated >= 2 THEN (a.last_em - a.first_em) * 100 END AS delta_points
+FROM (SELECT base, count(*) AS present FROM vj GROUP BY base HAVING count(*) >= 2) p
+LEFT JOIN (SELECT base, arg_min(variant, ord) AS first_variant, arg_max(variant, ord) AS last_variant,
+                  arg_min(precision, ord) AS first_precision, arg_max(precision, ord) AS last_precision,
+                  arg_min(exact_match_rate, ord) AS first_em, arg_max(exact_match_rate, ord) AS last_em,
+                  count(*) AS rated
+           FROM vj WHERE exact_match_rate IS NOT NULL GROUP BY base) a ON a.base = p.base"""))
+def w06_precision_impact(spark, sf_dir):
+    """Exact-match change from the first to the last precision variant of each base model."""
+    summary = summarize(scored(spark, sf_dir), runs_df(spark))
+    return precision_impact(summary, variants_df(spark))
+
+
+@register("w07_report_lines")
+def w07_report_lines(spark, sf_dir):
+    """The Markdown report as ordered lines (rows-only check)."""
+    sc = scored(spark, sf_dir)
+    summary = summarize(sc, runs_df(spark))
+    return report_lines(summary, precision_impact(summary, variants_df(spark)),
+                        error_samples(sc, ERROR_SAMPLES_PER_RUN))
