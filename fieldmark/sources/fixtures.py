@@ -417,3 +417,28 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = li.select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").cast("long").alias("line"),
                     F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_orderkey").alias("c"))
     return link_spans(src)
+
+
+# ---------------------------------------------------------------------------
+# F8: a model-file manifest derived from ``part`` (for the file choice rule)
+# ---------------------------------------------------------------------------
+
+QUANT_TAGS = ["Q8_0", "Q4_K_M", "Q5_K_M", "BF16"]
+WANTED_TAGS = ["Q8_0", "Q4_K_M"]
+
+
+def model_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(repo, file)``: one or two (sharded) files per part, some auxiliary or not GGUF."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    stem = F.concat(F.when(k % 11 == 0, F.lit("mmproj-")).otherwise(F.lit("")),
+                    F.regexp_replace(F.col("p_name"), " ", "-"), F.lit("-"), F.col("p_type"), F.lit("-"),
+                    _pick(QUANT_TAGS, k % len(QUANT_TAGS)),
+                    F.when(k % 13 == 0, F.lit("-MTP")).otherwise(F.lit("")))
+    shards = F.when(F.col("p_size") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+    x = p.select(F.concat(F.lit("org/"), F.col("p_brand")).alias("repo"), stem.alias("stem"), k.alias("k"),
+                 F.explode(shards).alias("shard"))
+    ext = F.when(F.col("k") % 17 == 0, F.lit(".bin")).otherwise(F.lit(".gguf"))
+    name = F.concat(F.col("stem"), F.when(F.col("shard") > 0, F.format_string("-%05d-of-00002", F.col("shard")))
+                    .otherwise(F.lit("")), ext)
+    return x.select("repo", F.concat(F.lit("weights/"), name).alias("file"))
