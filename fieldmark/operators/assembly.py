@@ -125,3 +125,67 @@ def finalize_baseline(pred: Column) -> Column:
     other = rec(intent=F.lit("other"), drivers=empty_array(DRIVER_DDL), targets=empty_array("string"),
                 unknown_terms=empty_array("string"))
     return F.when(has_sim, fwd).otherwise(other)
+
+
+SPAN_DDL = "struct<text:string,label:string,start:int,end:int,score:double>"
+
+
+def assemble_from_spans(df: DataFrame, id_col: str, spans_col: str, dictionary: DataFrame,
+                        fuzzy: bool = True) -> DataFrame:
+    """E8 + E11: ``(id, prediction)`` from labelled spans per sentence.
+
+    Spans are exploded, linked (T7) and their unit / direction / value texts
+    normalised once per distinct text; spans are then regrouped per sentence
+    (one sentence's spans, in original order) and assembled row-locally:
+    first linked product (E4), lever spans sources-then-drivers (E3) with the
+    nearest value / unit / direction (E2), linked KPI targets (E5), unknown
+    terms over the 0.4 score threshold (E6), lowercased unlinked surfaces
+    (E7), then ``finalize_baseline`` (E11).
+    """
+    from fieldmark.functions.text import fold_distinct
+    from fieldmark.operators.linking import link
+
+    ex = df.select(F.col(id_col).alias("_id"), F.posexplode(spans_col).alias("_i", "_s"))
+    ex = ex.select("_id", "_i", "_s.*")
+    linked = link(ex, "text", dictionary, containment=True, fuzzy=fuzzy, out_col="key")
+    texts = fold_distinct(ex.select("text").distinct().where(F.col("text").isNotNull()), "text", "_fold")
+    norm = texts.select("text", normalize_unit(F.col("text"), F.col("_fold")).alias("unit_n"),
+                        normalize_direction(F.col("_fold")).alias("dir_n"))
+    linked = linked.join(norm, "text", "left").select(
+        "_id", "_i", "text", "label", "start", "end", "score", "key", "unit_n", "dir_n",
+        to_float(F.col("text")).alias("num"))
+    per = linked.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(
+        "_i", "text", "label", "start", "end", "score", "key", "unit_n", "dir_n", "num"))).alias("sp"))
+    sp = F.col("sp")
+    products = spans_of(sp, "produit_credit")
+    levers = F.concat(spans_of(sp, "source_financement"), spans_of(sp, "driver_levier"))
+    values, units, dirs = spans_of(sp, "valeur_numerique"), spans_of(sp, "unite_variation"), spans_of(
+        sp, "direction_variation")
+    kpis, unk = spans_of(sp, "kpi_cible"), spans_of(sp, "terme_inconnu")
+    staged = per.select(
+        "_id", products.alias("_prod"), levers.alias("_lev"), values.alias("_val"), units.alias("_unit"),
+        dirs.alias("_dir"), kpis.alias("_kpi"), unk.alias("_unk"))
+
+    def drivers(lev, val, unit, dr):
+        return F.transform(F.filter(lev, lambda s: s["key"].isNotNull()), lambda s: F.struct(
+            s["key"].alias("entity_key"),
+            F.struct(type_from_unit(nearest_in_array(s, unit)["unit_n"]).alias("type"),
+                     nearest_in_array(s, val)["num"].alias("value"),
+                     nearest_in_array(s, unit)["unit_n"].alias("unit"),
+                     nearest_in_array(s, dr)["dir_n"].alias("direction")).alias("change")))
+
+    c = F.col
+    low = lambda arr: F.transform(arr, lambda s: F.lower(s["text"]))
+    unknown = F.array_sort(F.array_distinct(F.concat(
+        low(F.filter(c("_prod"), lambda s: s["key"].isNull())),
+        low(F.filter(c("_lev"), lambda s: s["key"].isNull())),
+        low(F.filter(c("_kpi"), lambda s: s["key"].isNull())),
+        low(F.filter(c("_unk"), lambda s: (s["score"] > UNKNOWN_SPAN_THRESHOLD) & s["key"].isNull())))))
+    pred = rec(
+        product_id=F.get(F.filter(c("_prod"), lambda s: s["key"].isNotNull()), 0)["key"],
+        drivers=drivers(c("_lev"), c("_val"), c("_unit"), c("_dir")),
+        targets=F.array_sort(F.array_distinct(F.transform(F.filter(c("_kpi"), lambda s: s["key"].isNotNull()),
+                                                          lambda s: s["key"]))),
+        unknown_terms=unknown,
+    )
+    return staged.select(c("_id").alias(id_col), finalize_baseline(pred).alias("prediction"))

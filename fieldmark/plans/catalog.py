@@ -52,5 +52,5 @@ def load_all() -> None:
     """Import every query module so that it registers itself."""
     from fieldmark.plans import (  # noqa: F401
         scoring_queries, summary_queries, cleaning_queries, linking_queries,
-        assembly_queries, prompt_queries, report_queries, source_queries,
+        assembly_queries, assembly_spans_queries, prompt_queries, report_queries, source_queries,
     )

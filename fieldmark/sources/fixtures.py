@@ -442,3 +442,49 @@ def model_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.col("stem"), F.when(F.col("shard") > 0, F.format_string("-%05d-of-00002", F.col("shard")))
                     .otherwise(F.lit("")), ext)
     return x.select("repo", F.concat(F.lit("weights/"), name).alias("file"))
+
+
+# ---------------------------------------------------------------------------
+# labelled spans per order (a span extractor's output)
+# ---------------------------------------------------------------------------
+
+def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(row_id, spans array<struct<text,label,start,end,score>>)`` per order.
+
+    Each line contributes a lever span (dictionary surface of its lever key's
+    family), a value, a unit, a direction, a KPI span and a low- or
+    high-score unknown-term span; positions follow the line number.
+    """
+    from fieldmark.sources.dimensions import DICTIONARY, SOURCES
+
+    surf = [s for s, _ in DICTIONARY]
+    li = table(spark, sf_dir, "lineitem")
+    k = F.col("l_partkey")
+    base = F.col("l_linenumber") * 100
+    lever_text = _pick(surf, k % len(surf))
+    lever_key_guess = _pick([c for _, c in DICTIONARY], k % len(surf))
+    label = F.when(lever_key_guess.isin(*SOURCES), F.lit("source_financement")).otherwise(F.lit("driver_levier"))
+
+    def span(text, lab, off, ln, score):
+        return F.struct(text.alias("text"), lab.alias("label"), (base + off).cast("int").alias("start"),
+                        (base + off + ln).cast("int").alias("end"), score.alias("score"))
+
+    q = F.col("l_quantity").cast("bigint").cast("string")
+    line_spans = F.array(
+        span(lever_text, label, F.lit(0), F.length(lever_text), F.lit(0.9)),
+        span(q, F.lit("valeur_numerique"), F.lit(40), F.length(q), F.lit(0.8)),
+        span(_pick(UNIT_SAMPLES, F.col("l_suppkey") % len(UNIT_SAMPLES)), F.lit("unite_variation"),
+             F.lit(45), F.lit(3), F.lit(0.7)),
+        span(_pick(DIRECTION_SAMPLES, F.col("l_suppkey") % len(DIRECTION_SAMPLES)), F.lit("direction_variation"),
+             F.lit(20), F.lit(6), F.lit(0.7)),
+        span(_pick(surf, F.col("l_suppkey") % len(surf)), F.lit("kpi_cible"), F.lit(60), F.lit(10), F.lit(0.6)),
+        span(F.concat(F.lit("Terme "), F.col("l_returnflag")), F.lit("terme_inconnu"), F.lit(80), F.lit(7),
+             F.col("l_discount") * 8),
+    )
+    per_line = li.select(F.col("l_orderkey").alias("row_id"),
+                         F.struct(F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("o"),
+                         line_spans.alias("sp"))
+    prod = F.array(F.struct(F.lit("crédit immobilier").alias("text"), F.lit("produit_credit").alias("label"),
+                            F.lit(0).alias("start"), F.lit(17).alias("end"), F.lit(0.9).alias("score")))
+    g = per_line.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("o", "sp"))).alias("lines"))
+    return g.select("row_id", F.concat(prod, F.flatten(F.transform("lines", lambda x: x["sp"]))).alias("spans"))
