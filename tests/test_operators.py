@@ -79,3 +79,19 @@ def test_entry_contract(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 70
+
+
+def test_stream_scoring_matches_batch(spark, tmp_path):
+    from fieldmark.operators.scoring import score_pairs
+    from fieldmark.sources.fixtures import eval_pairs
+    from fieldmark.sources.io import PREDICTION_DDL
+    from fieldmark.streaming.scoring_stream import stream_scored
+
+    src = tmp_path / "in"
+    pairs = eval_pairs(spark, SF_SMALL).where(F.col("row_id") < 200)
+    pairs.select(*[c.split(" ")[0] for c in PREDICTION_DDL.split(", ")]).write.json(str(src))
+    q = stream_scored(spark, str(src), str(tmp_path / "out"), name="t")
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("run").agg(F.sum(F.col("exact_match").cast("int")))
+    want = score_pairs(pairs).groupBy("run").agg(F.sum(F.col("exact_match").cast("int")))
+    assert sorted(got.collect()) == sorted(want.collect())
