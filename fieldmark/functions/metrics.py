@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldmark.functions.records import (
-    change_eq_count, canonical, driver_keys, drivers_last_wins, empty_array, has_nan_value,
+    DRIVER_DDL, change_eq_count, canonical, driver_keys, drivers_last_wins, empty_array, has_nan_value,
     lower_terms,
 )
 
@@ -55,19 +55,23 @@ def _is_inverse(gold: Column) -> Column:
     return F.coalesce(gold["mode"] == "inverse", F.lit(False))
 
 
-def drivers_prf(pred: Column, gold: Column):
+def drivers_prf(pred: Column, gold: Column, dedup: bool = True):
     """precision/recall of driver keys (forward gold only)."""
-    p, r = prf(driver_keys(pred["drivers"]), driver_keys(gold["drivers"]))
+    p, r = prf(driver_keys(pred["drivers"], dedup), driver_keys(gold["drivers"], dedup))
     fwd = _is_forward(gold)
     return F.when(fwd, p), F.when(fwd, r)
 
 
-def drivers_change_accuracy(pred: Column, gold: Column) -> Column:
+def _drivers(r: Column, dedup: bool) -> Column:
+    return drivers_last_wins(r["drivers"]) if dedup else F.coalesce(r["drivers"], empty_array(DRIVER_DDL))
+
+
+def drivers_change_accuracy(pred: Column, gold: Column, dedup: bool = True) -> Column:
     """Mean share of equal change sub-fields over matched keys; NULL if none matched."""
-    gd = drivers_last_wins(gold["drivers"])
+    gd = _drivers(gold, dedup)
     matched = F.filter(
         F.transform(
-            drivers_last_wins(pred["drivers"]),
+            _drivers(pred, dedup),
             lambda d: F.struct(
                 F.exists(gd, lambda g: g["entity_key"].eqNullSafe(d["entity_key"])).alias("hit"),
                 d["change"].alias("pc"),
@@ -107,9 +111,9 @@ def unknown_terms_prf(pred: Column, gold: Column):
     return prf(lower_terms(pred["unknown_terms"]), lower_terms(gold["unknown_terms"]))
 
 
-def exact_match(pred: Column, gold: Column) -> Column:
+def exact_match(pred: Column, gold: Column, dedup: bool = True) -> Column:
     """Deep equality of the branch-dependent canonical forms."""
-    return canonical(pred).eqNullSafe(canonical(gold)) & ~has_nan_value(pred)
+    return canonical(pred, dedup).eqNullSafe(canonical(gold, dedup)) & ~has_nan_value(pred)
 
 
 METRIC_FIELDS = [
@@ -121,9 +125,13 @@ METRIC_FIELDS = [
 ]
 
 
-def score_columns(pred: Column, gold: Column) -> list[Column]:
-    """Every per-example metric, aliased, in a stable order."""
-    dp, dr = drivers_prf(pred, gold)
+def score_columns(pred: Column, gold: Column, dedup: bool = True) -> list[Column]:
+    """Every per-example metric, aliased, in a stable order.
+
+    ``dedup=False`` when both drivers arrays already hold one entry per key
+    (last duplicate kept), as ``score_pairs`` arranges once per row.
+    """
+    dp, dr = drivers_prf(pred, gold, dedup)
     tp, tr = targets_prf(pred, gold)
     up, ur = unknown_terms_prf(pred, gold)
     return [
@@ -133,7 +141,7 @@ def score_columns(pred: Column, gold: Column) -> list[Column]:
         product_id_correct(pred, gold).alias("product_id_correct"),
         dp.alias("drivers_precision"),
         dr.alias("drivers_recall"),
-        drivers_change_accuracy(pred, gold).alias("drivers_change_accuracy"),
+        drivers_change_accuracy(pred, gold, dedup).alias("drivers_change_accuracy"),
         tp.alias("targets_precision"),
         tr.alias("targets_recall"),
         lever_correct(pred, gold).alias("lever_correct"),
@@ -141,7 +149,7 @@ def score_columns(pred: Column, gold: Column) -> list[Column]:
         target_correct(pred, gold).alias("target_correct"),
         up.alias("unknown_terms_precision"),
         ur.alias("unknown_terms_recall"),
-        exact_match(pred, gold).alias("exact_match"),
+        exact_match(pred, gold, dedup).alias("exact_match"),
     ]
 
 

@@ -87,8 +87,9 @@ def drivers_last_wins(drivers: Column) -> Column:
     )
 
 
-def driver_keys(drivers: Column) -> Column:
-    return F.transform(drivers_last_wins(drivers), lambda d: d["entity_key"])
+def driver_keys(drivers: Column, dedup: bool = True) -> Column:
+    arr = drivers_last_wins(drivers) if dedup else F.coalesce(drivers, empty_array(DRIVER_DDL))
+    return F.transform(arr, lambda d: d["entity_key"])
 
 
 def lower_terms(terms: Column) -> Column:
@@ -112,7 +113,7 @@ def branch_of(r: Column) -> Column:
             .otherwise(F.lit("base")))
 
 
-def canonical(r: Column) -> Column:
+def canonical(r: Column, dedup: bool = True) -> Column:
     """Order- and duplicate-insensitive canonical form used for deep equality.
 
     other -> (other, terms); forward -> base + (driver set, target set);
@@ -124,7 +125,7 @@ def canonical(r: Column) -> Column:
     fwd = branch == "forward"
     inv = branch == "inverse"
     drv = F.array_sort(F.array_distinct(F.transform(
-        drivers_last_wins(r["drivers"]),
+        drivers_last_wins(r["drivers"]) if dedup else F.coalesce(r["drivers"], empty_array(DRIVER_DDL)),
         lambda d: F.struct(d["entity_key"].alias("k"), d["change"].alias("c")))))
     tgt = F.array_sort(F.array_distinct(F.coalesce(r["targets"], empty_array("string"))))
     return F.struct(

@@ -123,14 +123,17 @@ def a08_class_means(spark, sf_dir):
           headline=True)
 def w01_leaderboard(spark, sf_dir):
     """Runs by exact_match_rate descending (NULLs last, name breaks ties)."""
-    return leaderboard(summarize(scored(spark, sf_dir))).select("model", "exact_match_rate", "model_type")
+    from fieldmark.functions.metrics import model_type
+
+    means = run_means(scored(spark, sf_dir)).withColumn("model_type", model_type(F.col("model")))
+    return leaderboard(means).select("model", "exact_match_rate", "model_type")
 
 
 @register("w02_rank", summary_sql("""
 SELECT model, row_number() OVER (ORDER BY exact_match_rate DESC NULLS LAST, model) AS rank FROM summary"""))
 def w02_rank(spark, sf_dir):
     """Position 1..n of each run."""
-    return ranked(summarize(scored(spark, sf_dir))).select("model", "rank")
+    return ranked(run_means(scored(spark, sf_dir))).select("model", "rank")
 
 
 def _fmt_sql(c: str) -> str:
