@@ -22,6 +22,8 @@ higher-order functions in one projection.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,3 +191,98 @@ def assemble_from_spans(df: DataFrame, id_col: str, spans_col: str, dictionary:
         unknown_terms=unknown,
     )
     return staged.select(c("_id").alias(id_col), finalize_baseline(pred).alias("prediction"))
+
+
+def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: DataFrame,
+                        fuzzy: bool = True) -> DataFrame:
+    """E9 + E10 + E11: ``(id, prediction, valid, valid_kind)`` from loose extraction JSON
+    ``{product, drivers: [{entity, value, unit, direction}], targets: [str | {entity}]}``.
+
+    A row whose text is not a JSON object, or whose structure would make the
+    per-row post-processing fail (non-object driver, non-string entity, unit
+    or direction, target neither string nor object), gets a NULL prediction
+    and ``valid = false``; any other row is ``valid = true`` without schema
+    validation (``valid_kind = 'no_crash'``, never mixed with model validity).
+    Entity mentions are exploded, linked (T7) once per distinct text and
+    regrouped per row, so no row is processed twice.
+    """
+    from fieldmark.functions.cleaning import parse_object, py_strip
+    from fieldmark.functions.text import fold_distinct
+    from fieldmark.operators.linking import link
+
+    vt = lambda v: F.schema_of_variant(v)
+    s1 = df.select(F.col(id_col).alias("_id"), parse_object(py_strip(F.col(raw_col))).alias("_o"))
+    top = "struct<product:variant,drivers:variant,targets:variant>"
+    s2 = s1.select("_id", F.col("_o").isNotNull().alias("_parsed"), F.try_variant_get("_o", "$", top).alias("_f"))
+    arr = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))  # noqa
+    drv_t = "struct<entity:variant,value:variant,unit:variant,direction:variant>"
+    s3 = s2.select(
+        "_id", "_parsed",
+        F.when(vt(F.col("_f.product")) == "STRING", py_strip(F.try_variant_get("_f.product", "$", "string")))
+         .otherwise(F.lit("")).alias("_prod"),
+        F.transform(arr(F.col("_f.drivers")), lambda e: F.struct(
+            vt(e).alias("t"), F.try_variant_get(e, "$", drv_t).alias("d"))).alias("_drv"),
+        F.transform(arr(F.col("_f.targets")), lambda e: F.struct(
+            vt(e).alias("t"), F.try_variant_get(e, "$", "string").alias("s"),
+            F.try_variant_get(e, "$.entity", "variant").alias("ent"))).alias("_tgt"))
+    ok_str = lambda v: F.coalesce(vt(v).isin("STRING", "VOID"), F.lit(True))  # noqa: E731  NULL/absent/str
+    crash = (F.exists("_drv", lambda d: ~F.coalesce(d["t"].startswith("OBJECT"), F.lit(False))
+                      | ~ok_str(d["d"]["entity"]) | ~ok_str(d["d"]["unit"]) | ~ok_str(d["d"]["direction"]))
+             | F.exists("_tgt", lambda t: ~(F.coalesce(t["t"] == "STRING", F.lit(False))
+                                           | F.coalesce(t["t"].startswith("OBJECT"), F.lit(False)))))
+    s4 = s3.select("_id", (F.col("_parsed") & ~crash).alias("_ok"), "_prod", "_drv", "_tgt")
+    rows = s4.observe(f"loose_{uuid.uuid4().hex[:8]}", F.count_if("_ok").alias("ok_rows"))
+
+    def vs(v):  # string value of a variant, '' for null / absent
+        return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+
+    ments = rows.where("_ok").select("_id", F.inline(F.concat(
+        F.array(F.struct(F.lit("p").alias("role"), F.lit(0).alias("pos"), F.col("_prod").alias("text"),
+                         F.lit(None).cast("string").alias("vtxt"), F.lit(None).cast("string").alias("unit"),
+                         F.lit(None).cast("string").alias("dir"))),
+        F.transform("_drv", lambda d, i: F.struct(
+            F.lit("d").alias("role"), i.alias("pos"), py_strip(vs(d["d"]["entity"])).alias("text"),
+            # Python str(v): numbers keep their text, null -> 'None' (not a float)
+            F.when(vt(d["d"]["value"]).isin("VOID") | d["d"]["value"].isNull(), F.lit("None"))
+             .when(vt(d["d"]["value"]) == "BOOLEAN", F.lit("True"))
+             .otherwise(F.try_variant_get(d["d"]["value"], "$", "string")).alias("vtxt"),
+            F.try_variant_get(d["d"]["unit"], "$", "string").alias("unit"),
+            F.try_variant_get(d["d"]["direction"], "$", "string").alias("dir"))),
+        F.transform("_tgt", lambda t, i: F.struct(
+            F.lit("t").alias("role"), i.alias("pos"),
+            F.when(t["t"] == "STRING", t["s"]).otherwise(vs(t["ent"])).alias("text"),
+            F.lit(None).cast("string").alias("vtxt"), F.lit(None).cast("string").alias("unit"),
+            F.lit(None).cast("string").alias("dir"))))))
+    ments = ments.where(F.col("text") != "")
+    linked = link(ments, "text", dictionary, containment=True, fuzzy=fuzzy, out_col="key")
+    vocab = ments.select(F.explode(F.array("unit", "dir")).alias("w")).where(F.col("w").isNotNull()).distinct()
+    folded = fold_distinct(vocab, "w", "_fw")
+    nu = folded.select(F.col("w").alias("unit"), normalize_unit(F.col("w"), F.col("_fw")).alias("unit_n"))
+    nd = folded.select(F.col("w").alias("dir"), normalize_direction(F.col("_fw")).alias("dir_n"))
+    linked = linked.join(F.broadcast(nu), "unit", "left").join(F.broadcast(nd), "dir", "left")
+    per = linked.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(
+        "role", "pos", "text", "key", "vtxt", "unit_n", "dir_n"))).alias("m"))
+    m = F.col("m")
+    prod = F.filter(m, lambda x: x["role"] == "p")
+    drv = F.filter(m, lambda x: x["role"] == "d")
+    tgt = F.filter(m, lambda x: x["role"] == "t")
+    low = lambda a: F.transform(a, lambda x: F.lower(x["text"]))
+    pred = rec(
+        product_id=F.get(prod, 0)["key"],
+        drivers=F.transform(F.filter(drv, lambda x: x["key"].isNotNull()), lambda x: F.struct(
+            x["key"].alias("entity_key"),
+            F.struct(type_from_unit(x["unit_n"]).alias("type"), to_float(x["vtxt"]).alias("value"),
+                     x["unit_n"].alias("unit"), x["dir_n"].alias("direction")).alias("change"))),
+        targets=F.array_sort(F.array_distinct(F.transform(F.filter(tgt, lambda x: x["key"].isNotNull()),
+                                                          lambda x: x["key"]))),
+        unknown_terms=F.array_sort(F.array_distinct(F.concat(
+            low(F.filter(prod, lambda x: x["key"].isNull())), low(F.filter(drv, lambda x: x["key"].isNull())),
+            low(F.filter(tgt, lambda x: x["key"].isNull()))))),
+    )
+    assembled = per.select("_id", finalize_baseline(pred).alias("_pred"))
+    empty = finalize_baseline(rec(drivers=empty_array(DRIVER_DDL), targets=empty_array("string"),
+                                  unknown_terms=empty_array("string")))
+    out = rows.select("_id", "_ok").join(assembled, "_id", "left")
+    return out.select(F.col("_id").alias(id_col),
+                      F.when(F.col("_ok"), F.coalesce("_pred", empty)).alias("prediction"),
+                      F.col("_ok").alias("valid"), F.lit("no_crash").alias("valid_kind"))

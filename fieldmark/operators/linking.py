@@ -42,10 +42,12 @@ def build_lookup(dictionary: DataFrame) -> DataFrame:
     """Folded surface -> key; the last entry wins on a collision, the first
     position is kept for the longest-first tie-break (dict semantics)."""
     d = fold_distinct(dictionary, "surface", "surface")
+    # a dimension: small, reused by every stage of the cascade and by the size
+    # checks, so it is cached (recomputed from lineage if an executor is lost)
     return (d.groupBy("surface")
             .agg(F.max_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
             .where(F.col("surface") != "")
-            .withColumn("len", F.length("surface")))
+            .withColumn("len", F.length("surface"))).cache()
 
 
 def _boundary_udf(max_len: int):
@@ -91,7 +93,7 @@ def reverse_table(lookup: DataFrame, min_len: int = REVERSE_CONTAINMENT_MIN_LEN)
                               lambda k: F.substring(s, i, k))))
     return (lookup.where(L >= min_len)
             .select(F.explode(F.array_distinct(subs)).alias("sub"), "len", "ord", "canonical")
-            .where(F.length("sub") >= min_len))
+            .where(F.length("sub") >= min_len)).cache()
 
 
 def _best(df: DataFrame, key: str) -> DataFrame:

@@ -28,3 +28,18 @@ def e08_span_record(spark, sf_dir):
                     F.size("prediction.drivers").cast("long").alias("n_drivers"),
                     F.array_join("prediction.targets", "|").alias("targets"),
                     F.array_join("prediction.unknown_terms", "|").alias("unknown_terms"))
+
+
+@register("e09_loose_record")
+def e09_loose_record(spark, sf_dir):
+    """E9 + E10 + E11: baseline records from loose extraction JSON (rows-only check;
+    tested against a plain-Python post-processing on the small fixture)."""
+    from fieldmark.operators.assembly import assemble_from_loose
+    from fieldmark.sources.fixtures import loose_outputs
+
+    p = assemble_from_loose(loose_outputs(spark, sf_dir), "row_id", "raw", dictionary_df(spark))
+    return p.select("row_id", "valid", "valid_kind", F.col("prediction.intent").alias("intent"),
+                    F.col("prediction.product_id").alias("product_id"),
+                    F.size("prediction.drivers").cast("long").alias("n_drivers"),
+                    F.array_join("prediction.targets", "|").alias("targets"),
+                    F.array_join("prediction.unknown_terms", "|").alias("unknown_terms"))

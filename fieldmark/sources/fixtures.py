@@ -488,3 +488,60 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.lit(0).alias("start"), F.lit(17).alias("end"), F.lit(0.9).alias("score")))
     g = per_line.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("o", "sp"))).alias("lines"))
     return g.select("row_id", F.concat(prod, F.flatten(F.transform("lines", lambda x: x["sp"]))).alias("spans"))
+
+
+# ---------------------------------------------------------------------------
+# loose extraction JSON (an extractor's product / drivers / targets output)
+# ---------------------------------------------------------------------------
+
+# Test vocabulary (our own): product mentions.
+PRODUCT_MENTIONS = {"CRED_IMMO": "Crédit immobilier", "CRED_CONSO": "prêt perso", "CRED_PME": "crédit pro"}
+
+
+def _first_surface() -> dict:
+    from fieldmark.sources.dimensions import DICTIONARY
+
+    out = {}
+    for s, c in DICTIONARY:
+        if " " in s:
+            out.setdefault(c, s)
+    for s, c in DICTIONARY:
+        out.setdefault(c, s)
+    return out
+
+
+def loose_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(row_id, raw)``: loose JSON per order rendered from its gold record, with defects."""
+    g = gold_records(spark, sf_dir)
+    fs = _first_surface()
+    h = F.col("row_id")
+
+    def mention(key: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k, v in fs.items():
+            out = F.when(key == k, F.lit(v)).otherwise(out)
+        return out
+
+    prod = F.lit("")
+    for k, v in PRODUCT_MENTIONS.items():
+        prod = F.when(F.col("gold.product_id") == k, F.lit(v)).otherwise(prod)
+    q = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
+    drivers = F.transform(F.coalesce(F.col("gold.drivers"), F.array().cast(f"array<{DRIVER_DDL}>")), lambda d: F.concat(
+        F.lit('{"entity": '), q(mention(d["entity_key"])),
+        F.lit(', "value": '),
+        F.when(h % 3 == 0, d["change"]["value"].cast("bigint").cast("string"))
+         .when(h % 3 == 1, q(F.concat(d["change"]["value"].cast("bigint").cast("string"), F.lit(",5"))))
+         .otherwise(F.lit('"10 bps"')),
+        F.lit(', "unit": '), q(F.when(d["change"]["unit"] == "bps", F.lit("points de base")).otherwise("pourcent")),
+        F.lit(', "direction": '), q(F.when(d["change"]["direction"] == "increase", "hausse").otherwise("baisse")),
+        F.lit("}")))
+    drivers = F.when(h % 5 == 0, F.concat(drivers, F.array(F.lit(
+        '{"entity": "livret A", "value": 1, "unit": "%", "direction": "+"}')))).otherwise(drivers)
+    drivers = F.when(h % 17 == 0, F.concat(F.array(F.lit("42")), drivers)).otherwise(drivers)
+    targets = F.transform(F.coalesce(F.col("gold.targets"), F.array().cast("array<string>")),
+                          lambda t: F.when(h % 2 == 0, q(mention(t)))
+                          .otherwise(F.concat(F.lit('{"entity": '), q(mention(t)), F.lit("}"))))
+    body = F.concat(F.lit('{"product": '), q(prod), F.lit(', "drivers": ['), F.array_join(drivers, ", "),
+                    F.lit('], "targets": ['), F.array_join(targets, ", "), F.lit("]}"))
+    raw = F.when(h % 13 == 0, body.substr(F.lit(1), F.length(body) - 2)).otherwise(body)
+    return g.select("row_id", raw.alias("raw"))
