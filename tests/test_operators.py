@@ -90,7 +90,10 @@ def test_stream_scoring_matches_batch(spark, tmp_path):
     src = tmp_path / "in"
     pairs = eval_pairs(spark, SF_SMALL).where(F.col("row_id") < 200)
     pairs.select(*[c.split(" ")[0] for c in PREDICTION_DDL.split(", ")]).write.json(str(src))
-    q = stream_scored(spark, str(src), str(tmp_path / "out"), name="t")
+    import uuid
+
+    # the checkpoint lives in the shared folder under the stream's name: a new name per run
+    q = stream_scored(spark, str(src), str(tmp_path / "out"), name=f"test_{uuid.uuid4().hex[:8]}")
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("run").agg(F.sum(F.col("exact_match").cast("int")))
     want = score_pairs(pairs).groupBy("run").agg(F.sum(F.col("exact_match").cast("int")))
