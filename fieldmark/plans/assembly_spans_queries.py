@@ -25,7 +25,7 @@ def e08_span_record(spark, sf_dir):
     p = assemble_from_spans(order_spans(spark, sf_dir), "row_id", "spans", dictionary_df(spark), fuzzy=True)
     return p.select("row_id", F.col("prediction.intent").alias("intent"), F.col("prediction.mode").alias("mode"),
                     F.col("prediction.product_id").alias("product_id"),
-                    F.size("prediction.drivers").cast("long").alias("n_drivers"),
+                    F.when(F.col("prediction.drivers").isNotNull(), F.size("prediction.drivers")).cast("long").alias("n_drivers"),
                     F.array_join("prediction.targets", "|").alias("targets"),
                     F.array_join("prediction.unknown_terms", "|").alias("unknown_terms"))
 
@@ -40,6 +40,6 @@ def e09_loose_record(spark, sf_dir):
     p = assemble_from_loose(loose_outputs(spark, sf_dir), "row_id", "raw", dictionary_df(spark))
     return p.select("row_id", "valid", "valid_kind", F.col("prediction.intent").alias("intent"),
                     F.col("prediction.product_id").alias("product_id"),
-                    F.size("prediction.drivers").cast("long").alias("n_drivers"),
+                    F.when(F.col("prediction.drivers").isNotNull(), F.size("prediction.drivers")).cast("long").alias("n_drivers"),
                     F.array_join("prediction.targets", "|").alias("targets"),
                     F.array_join("prediction.unknown_terms", "|").alias("unknown_terms"))

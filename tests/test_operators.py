@@ -98,3 +98,39 @@ def test_stream_scoring_matches_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("run").agg(F.sum(F.col("exact_match").cast("int")))
     want = score_pairs(pairs).groupBy("run").agg(F.sum(F.col("exact_match").cast("int")))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_grounding_block_matches_system_prompt(spark):
+    from fieldmark.operators.prompts import SYSTEM_PREAMBLE, default_system_prompt, grounding_text
+    from fieldmark.sources.dimensions import closed_world_df
+
+    block = grounding_text(closed_world_df(spark)).first()[0]
+    assert default_system_prompt() == SYSTEM_PREAMBLE + block
+
+
+def test_report_written_in_order(spark, tmp_path):
+    from fieldmark.operators.report import error_samples, precision_impact, report_lines
+    from fieldmark.operators.summary import summarize
+    from fieldmark.plans.scoring_queries import scored
+    from fieldmark.sources.dimensions import runs_df, variants_df
+    from fieldmark.sources.io import write_report
+
+    sc = scored(spark, SF_SMALL)
+    summary = summarize(sc, runs_df(spark))
+    lines = report_lines(summary, precision_impact(summary, variants_df(spark)), error_samples(sc, 4))
+    write_report(lines, str(tmp_path / "report"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    rows = text.splitlines()
+    assert len(rows) == lines.count()
+    assert rows[0].startswith("| 1 | ") and any(r.startswith("### ") for r in rows)
+
+
+def test_plans_have_no_cross_products(spark):
+    import __spark_entry__ as entry
+
+    qs = entry.queries()
+    for k in ("t07_match_cascade", "t06_fuzzy_link", "e02_nearest_association", "w05_error_samples",
+              "a07_run_summary", "m02_merge_system"):
+        plan = qs[k](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, k
+        assert "BatchEvalPython" not in plan, k
