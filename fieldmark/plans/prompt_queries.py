@@ -67,7 +67,17 @@ def m02_merge_system(spark, sf_dir):
                     F.length("content").cast("long").alias("content_len"))
 
 
-@register("m05_fewshot_leakage", "SELECT text FROM conversations WHERE false")
+def _leak_sql() -> str:
+    from fieldmark.plans.oracle_sql import GOLD_CTES, _fold_sql, with_ctes
+
+    shots = ", ".join(f"({_lit(t)})" for _, t, _ in few_shot_rows())
+    return with_ctes(GOLD_CTES, f"""
+shots AS (SELECT DISTINCT {_fold_sql('t')} AS n FROM (VALUES {shots}) v(t)),
+texts AS (SELECT DISTINCT text FROM (SELECT text FROM gold UNION ALL SELECT text FROM conversations))""",
+                     select=f"SELECT text FROM texts WHERE {_fold_sql('text')} IN (SELECT n FROM shots)")
+
+
+@register("m05_fewshot_leakage", _leak_sql())
 def m05_fewshot_leakage(spark, sf_dir):
     """M5: evaluation / conversation texts equal to a few-shot after folding (expected: none)."""
     texts = gold_records(spark, sf_dir).select("text").unionByName(

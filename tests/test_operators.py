@@ -134,3 +134,12 @@ def test_plans_have_no_cross_products(spark):
         plan = qs[k](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, k
         assert "BatchEvalPython" not in plan, k
+
+
+def test_leakage_finds_planted_few_shot(spark):
+    from fieldmark.operators.prompts import FEW_SHOTS, few_shots_df, leakage
+
+    planted = [(FEW_SHOTS[0][0].upper(),), ("  " + FEW_SHOTS[6][0] + " ",), ("une autre phrase",)]
+    df = spark.createDataFrame(planted, "text string")
+    got = sorted(r.text for r in leakage(df, "text", few_shots_df(spark)).collect())
+    assert got == sorted([planted[0][0], planted[1][0]])
