@@ -32,8 +32,13 @@ def _typed(v: Column) -> Column:
 
 
 def _change_variants(cv: Column) -> Column:
-    """Split a change variant once: its type name and a struct of field variants."""
-    return F.struct(F.schema_of_variant(cv).alias("t"), F.try_variant_get(cv, "$", _CHANGE_DDL).alias("s"))
+    """Split a change variant once into a struct of field variants (NULL unless an object).
+
+    ``t`` is 'OBJECT' for objects; casting to a struct is much cheaper than
+    building the full nested type name with ``schema_of_variant``.
+    """
+    s = F.try_variant_get(cv, "$", _CHANGE_DDL)
+    return F.struct(F.when(s.isNotNull(), F.lit("OBJECT")).alias("t"), s.alias("s"))
 
 
 def _change_parts(cs: Column) -> Column:
@@ -82,6 +87,20 @@ def _null_or_missing(p: Column) -> Column:
     return p["t"].isNull() | (p["t"] == "VOID")
 
 
+def _list_kind(v: Column) -> Column:
+    """'VOID' for absent/null, 'ARRAY' for an array, else 'OTHER' (no nested type name built)."""
+    return (F.when(v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False)), F.lit("VOID"))
+            .when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.lit("ARRAY"))
+            .otherwise(F.lit("OTHER")))
+
+
+def _lever_parts(v: Column) -> Column:
+    s = F.try_variant_get(v, "$", "struct<entity_key:variant>")
+    t = (F.when(v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False)), F.lit("VOID"))
+         .when(s.isNotNull(), F.lit("OBJECT")).otherwise(F.lit("OTHER")))
+    return F.struct(t.alias("t"), _typed(s["entity_key"]).alias("key"))
+
+
 def _array_parts(v: Column) -> Column:
     """``x or []`` on a variant: its elements when it is an array, else []."""
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
@@ -103,17 +122,14 @@ def clean_outputs(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     s3 = s2.select(
         *keep, F.col("_obj").isNotNull().alias("_parsed"),
         *[_typed(f[k]).alias(f"_{k}") for k in ("intent", "mode", "product_id", "target")],
-        F.schema_of_variant(f["drivers"]).alias("_drivers_t"),
-        F.schema_of_variant(f["targets"]).alias("_targets_t"),
-        F.schema_of_variant(f["unknown_terms"]).alias("_terms_t"),
-        F.transform(F.filter(_array_parts(f["drivers"]),
-                             lambda e: F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))),
-                    lambda e: F.try_variant_get(e, "$", "struct<entity_key:variant,change:variant>")
-                    ).alias("_drv_e"),
+        _list_kind(f["targets"]).alias("_targets_t"),
+        _list_kind(f["unknown_terms"]).alias("_terms_t"),
+        F.filter(F.transform(_array_parts(f["drivers"]),
+                             lambda e: F.try_variant_get(e, "$", "struct<entity_key:variant,change:variant>")),
+                 lambda d: d.isNotNull()).alias("_drv_e"),
         F.transform(_array_parts(f["targets"]), _typed).alias("_tgt"),
         F.transform(_array_parts(f["unknown_terms"]), _typed).alias("_terms"),
-        F.struct(F.schema_of_variant(f["lever"]).alias("t"),
-                 _typed(F.try_variant_get(f["lever"], "$.entity_key", "variant")).alias("key")).alias("_lever"),
+        _lever_parts(f["lever"]).alias("_lever"),
         _change_variants(f["goal"]).alias("_goal_v"),
     )
     s3b = s3.select(
@@ -129,15 +145,14 @@ def clean_outputs(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     is_other = _str_or_null(c("_intent")) == "other"
     fwd = _is_str(c("_mode")) & (c("_mode.s") == "forward")
     inv = _is_str(c("_mode")) & (c("_mode.s") == "inverse")
-    terms_ok = ((c("_terms_t").isNull() | (c("_terms_t") == "VOID") | c("_terms_t").startswith("ARRAY"))
-                & F.forall(c("_terms"), _is_str))
+    terms_ok = c("_terms_t").isin("VOID", "ARRAY") & F.forall(c("_terms"), _is_str)
     product_ok = _null_or_missing(c("_product_id")) | (_is_str(c("_product_id"))
                                                        & c("_product_id.s").isin(*PRODUCTS))
     drivers_ok = F.forall(c("_drv"), lambda d: _is_str(d["key"]) & F.coalesce(d["key"]["s"].isin(*LEVER_KEYS),
                                                                               F.lit(False)) & _change_ok(d["change"]))
-    targets_ok = ((c("_targets_t").isNull() | (c("_targets_t") == "VOID") | c("_targets_t").startswith("ARRAY"))
+    targets_ok = (c("_targets_t").isin("VOID", "ARRAY")
                   & F.forall(c("_tgt"), lambda t: _is_str(t) & F.coalesce(t["s"].isin(*KPIS), F.lit(False))))
-    lever_ok = F.coalesce(c("_lever.t").startswith("OBJECT") & _is_str(c("_lever.key"))
+    lever_ok = F.coalesce((c("_lever.t") == "OBJECT") & _is_str(c("_lever.key"))
                           & c("_lever.key.s").isin(*LEVER_KEYS), F.lit(False))
     target_ok = _is_str(c("_target")) & F.coalesce(c("_target.s").isin(*KPIS), F.lit(False))
 
@@ -154,7 +169,7 @@ def clean_outputs(df: DataFrame, raw_col: str = "raw") -> DataFrame:
         drivers=F.when(fwd, F.transform(c("_drv"), lambda d: F.struct(
             _str_or_null(d["key"]).alias("entity_key"), _change_struct(d["change"]).alias("change")))),
         targets=F.when(fwd, F.transform(c("_tgt"), lambda t: t["s"])),
-        lever=F.when(inv & F.coalesce(~_null_or_missing(c("_lever")), F.lit(False)),
+        lever=F.when(inv & (c("_lever.t") != "VOID"),
                      F.struct(_str_or_null(c("_lever.key")).alias("entity_key"))),
         goal=F.when(inv, _change_struct(c("_goal"))),
         target=F.when(inv, c("_target.s")),
