@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.functions.records import (
-    CHANGE_DDL, DRIVER_DDL, change, empty_array, null_of, rec,
+    DRIVER_DDL, change, empty_array, null_of, rec,
 )
 from fieldmark.sources.dimensions import KPIS, LEVER_KEYS
 

@@ -3,8 +3,6 @@
 import difflib
 import re
 
-from pyspark.sql import functions as F
-
 from fieldmark.functions.text import fold_py
 from fieldmark.operators.linking import link
 from fieldmark.sources.dimensions import DICTIONARY, dictionary_df
