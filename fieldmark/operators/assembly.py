@@ -259,7 +259,8 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
     folded = fold_distinct(vocab, "w", "_fw")
     nu = folded.select(F.col("w").alias("unit"), normalize_unit(F.col("w"), F.col("_fw")).alias("unit_n"))
     nd = folded.select(F.col("w").alias("dir"), normalize_direction(F.col("_fw")).alias("dir_n"))
-    linked = linked.join(F.broadcast(nu), "unit", "left").join(F.broadcast(nd), "dir", "left")
+    # the vocabulary comes from the data: no broadcast hint, AQE sizes the join at run time
+    linked = linked.join(nu, "unit", "left").join(nd, "dir", "left")
     per = linked.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(
         "role", "pos", "text", "key", "vtxt", "unit_n", "dir_n"))).alias("m"))
     m = F.col("m")

@@ -169,11 +169,11 @@ def report_lines(summary: DataFrame, impact: DataFrame, samples: DataFrame) -> D
         F.concat(F.lit("### "), F.col("model"), F.lit(" — "), F.col("precision"), F.lit(" ("), F.col("backend"),
                  F.lit(") — exact_match "), fmt3(F.col("exact_match_rate"))).alias("line"))
     rank_of = ranked.select(F.col("model").alias("run"), "rank")
-    ex = samples.join(F.broadcast(rank_of), "run").select(
+    ex = samples.join(rank_of, "run").select(
         F.lit(3).alias("section"), "rank", "sample", "text", F.posexplode(diff_text(F.col("diffs"))))
     sample_lines = ex.select("section", "rank", (F.col("sample") * 100 + F.col("pos") + 1).alias("ord"),
                              F.concat(F.lit("    - "), F.col("col")).alias("line"))
-    heads = samples.join(F.broadcast(rank_of), "run").select(
+    heads = samples.join(rank_of, "run").select(
         F.lit(3).alias("section"), "rank", (F.col("sample") * 100).alias("ord"),
         F.concat(F.lit("  - « "), F.col("text"), F.lit(" »")).alias("line"))
     return board.unionByName(imp).unionByName(sheet).unionByName(heads).unionByName(sample_lines)

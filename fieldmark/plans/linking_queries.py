@@ -35,7 +35,7 @@ def t02_build_lookup(spark, sf_dir):
     lookup = build_lookup(dictionary_df(spark))
     per_text = spans(spark, sf_dir).groupBy("span").agg(F.count(F.lit(1)).alias("c"))
     hits = fold_distinct(per_text, "span", "n").groupBy("n").agg(F.sum("c").alias("c"))
-    return (lookup.join(F.broadcast(hits.withColumnRenamed("n", "surface")), "surface", "left")
+    return (lookup.join(hits.withColumnRenamed("n", "surface"), "surface", "left")
             .select("surface", "canonical", "ord", "len", F.coalesce("c", F.lit(0)).alias("exact_spans")))
 
 
