@@ -143,3 +143,16 @@ def test_leakage_finds_planted_few_shot(spark):
     df = spark.createDataFrame(planted, "text string")
     got = sorted(r.text for r in leakage(df, "text", few_shots_df(spark)).collect())
     assert got == sorted([planted[0][0], planted[1][0]])
+
+
+def test_oracle_round_columns_match_spark_schemas(spark):
+    import __spark_entry__ as entry
+    from pyspark.sql import types as T
+
+    from fieldmark.plans.catalog import ROUND9
+
+    qs, oracles = entry.queries(), entry.oracle_sql()
+    for k in oracles:
+        sch = qs[k](spark, SF_SMALL).schema
+        doubles = [f.name for f in sch.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+        assert doubles == ROUND9.get(k, []), k
