@@ -36,22 +36,23 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
                       names: list[str] | None = None,
                       max_distinct: int = DEFAULT_MAX_DISTINCT,
                       accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row per group with one column per probability (NULL for an empty group)."""
+    """One row per group that has a non-NULL value, one column per probability.
+
+    Groups without any value are absent (callers left-join, as ``summarize`` does).
+    """
     names = names or [_suffix(p) for p in probs]
     cnt = (df.where(F.col(value).isNotNull())
            .groupBy(*keys, F.col(value).cast("double").alias("_v"))
            .agg(F.count(F.lit(1)).alias("_c")))
     largest = cnt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd")).agg(F.max("_nd")).first()[0]
-    groups = df.select(*keys).distinct()
     if largest is None or largest <= max_distinct:
-        res = cnt.groupBy(*keys).agg(*[
+        return cnt.groupBy(*keys).agg(*[
             F.percentile(F.col("_v"), F.lit(p), F.col("_c")).alias(n) for p, n in zip(probs, names)])
-        return groups.join(res, keys, "left")
-    return _windowed(df, cnt, groups, keys, value, probs, names, accuracy)
+    return _windowed(df, cnt, keys, value, probs, names, accuracy)
 
 
-def _windowed(df, cnt, groups, keys, value, probs, names, accuracy):
-    out = groups
+def _windowed(df, cnt, keys, value, probs, names, accuracy):
+    out = cnt.select(*keys).distinct()
     for p, name in zip(probs, names):
         out = out.join(_one_percentile(df, cnt, keys, value, p, accuracy).withColumnRenamed("_q", name),
                        keys, "left")
