@@ -48,7 +48,16 @@ def arrow_text(array) -> tuple[np.ndarray, np.ndarray]:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[int, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """A cache of one process: it travels to tasks empty."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS = _Cache()
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -105,3 +114,80 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = offsets[1:][offsets[1:] > 0] - 1
     last[ends] = inside[ends]
     return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, "right") - 1
+
+
+def row_slices(offsets: np.ndarray, max_bytes: int = 4 << 20):
+    """Row ranges of about ``max_bytes`` of text each; a longer text stands alone."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, "right")) - 1)
+        yield lo, min(hi, n)
+        lo = min(hi, n)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, chunk: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document number of every word (A-Z lower-cased), in order, in chunks that end between words."""
+    hashes, docs, at = [], [], 0
+    while at < len(data):
+        end = min(at + chunk, len(data))
+        if end < len(data):
+            gaps = np.flatnonzero(_IS_SPACE[data[at:end]])
+            starts = offsets[(offsets > at) & (offsets <= end)]
+            last = max(at + int(gaps[-1]) + 1 if len(gaps) else 0, int(starts[-1]) if len(starts) else 0)
+            if last <= at:  # one word fills the chunk: go on to its end
+                rest = np.flatnonzero(_IS_SPACE[data[end:]])
+                after = offsets[offsets > end]
+                last = min(end + int(rest[0]) + 1 if len(rest) else len(data), int(after[0]) if len(after) else len(data))
+            end = last
+        part = LOWER[data[at:end]]
+        inner = offsets[(offsets > at) & (offsets < end)] - at
+        own = np.concatenate(([0], inner, [end - at]))
+        start, stop, _ = words(part, own)
+        hashes.append(span_hash(prefix_hash(part), start, stop))
+        docs.append(np.searchsorted(offsets, start + at, "right") - 1)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
+def runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values, and the length of the array."""
+    if not len(sorted_keys):
+        return np.zeros(1, np.int64)
+    return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of an integer array, most alike together, so that the shuffle's compression finds them."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unplanes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """Connected components: (id, root) for every id in ``edges`` (a, b), root the smallest id reachable.
+
+    Alternates the large-star and small-star steps on tables in the shared folder; both hang neighbours on
+    the smallest one, so that a hub costs as many rows as it has edges.
+    """
+    pairs = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                    .distinct(), name)
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        small = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = (both.where("b > a").join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                 .where("a <> b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        new = written(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+                      .union(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        # every node hangs on one root, and no root hangs on another: a forest of stars
+        deep = new.groupBy("a").count().where("count > 1").limit(1).count() or (
+            new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").limit(1).count())
+        pairs = new
+        if not deep:
+            return new.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
+                new.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from fieldmark.llm import quality_rules
+from fieldmark.llm import ngram_join, quality_rules
 
 QUERIES = {
     "op9_quality_rules": quality_rules.op9,
+    "op10_ngram_join": ngram_join.op10,
 }
 ORACLES = {
     "op9_quality_rules": quality_rules.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }
