@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldmark.llm import ngram_join, packing, quality_rules
+from fieldmark.llm import ngram_join, packing, pii, quality_rules
 
 QUERIES = {
+    "op8_pii": pii.op8,
     "op6_packing": packing.op6,
     "op9_quality_rules": quality_rules.op9,
     "op10_ngram_join": ngram_join.op10,
