@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldmark.llm import ngram_join, packing, pii, quality_rules
+from fieldmark.llm import decontamination, ngram_join, packing, pii, quality_rules
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1,
     "op8_pii": pii.op8,
     "op6_packing": packing.op6,
     "op9_quality_rules": quality_rules.op9,
