@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldmark.llm import decontamination, ngram_join, packing, pii, quality_rules
+from fieldmark.llm import decontamination, ngram_join, packing, pii, quality_rules, sharding
 
 QUERIES = {
+    "op3_sharding": sharding.op3,
     "op1_decontamination": decontamination.op1,
     "op8_pii": pii.op8,
     "op6_packing": packing.op6,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10,
 }
 ORACLES = {
+    "op3_sharding": sharding.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
 }
