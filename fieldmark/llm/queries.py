@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from fieldmark.llm import decontamination, ngram_join, packing, pii, quality_rules, sharding
+from fieldmark.llm import chat_windows, decontamination, ngram_join, packing, pii, quality_rules, sharding, url_rules
 
 QUERIES = {
+    "op5_chat_windows": chat_windows.op5,
+    "op4_url_rules": url_rules.op4,
     "op3_sharding": sharding.op3,
     "op1_decontamination": decontamination.op1,
     "op8_pii": pii.op8,
@@ -13,6 +15,7 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10,
 }
 ORACLES = {
+    "op5_chat_windows": chat_windows.ORACLE,
     "op3_sharding": sharding.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
