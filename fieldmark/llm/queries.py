@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from fieldmark.llm import chat_windows, decontamination, ngram_join, packing, pii, quality_rules, sharding, url_rules
+from fieldmark.llm import (
+    chat_windows, decontamination, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, url_rules,
+)
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2,
     "op5_chat_windows": chat_windows.op5,
     "op4_url_rules": url_rules.op4,
     "op3_sharding": sharding.op3,
