@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from fieldmark.llm import (
     chat_windows, decontamination, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, url_rules,
+    weak_labels,
 )
 
 QUERIES = {
+    "op7_weak_labels": weak_labels.op7,
     "op2_suffix_dedup": suffix_dedup.op2,
     "op5_chat_windows": chat_windows.op5,
     "op4_url_rules": url_rules.op4,
