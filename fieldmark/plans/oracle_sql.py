@@ -9,6 +9,8 @@ to 9 digits on both sides.
 
 from __future__ import annotations
 
+import re
+
 from fieldmark.sources.dimensions import KPIS, LEVER_KEYS
 from fieldmark.sources.fixtures import EVAL_RUNS, PRIORITY_PRODUCT
 
@@ -87,9 +89,9 @@ gold_terms AS (
 PRED_CTES = f"""
 runs AS (SELECT * FROM (VALUES {_RUNS_VALUES}) t(r, run)),
 rg AS (
-  SELECT runs.r, runs.run, g.*,
-         (SELECT count(*) FROM gold_drivers d WHERE d.row_id = g.row_id) AS nd
+  SELECT runs.r, runs.run, g.*, coalesce(d.nd, 0) AS nd
   FROM gold g CROSS JOIN runs
+  LEFT JOIN (SELECT row_id, count(*) AS nd FROM gold_drivers GROUP BY row_id) d ON d.row_id = g.row_id
 ),
 pbase AS (
   SELECT r, run, row_id, text, g_intent, g_mode,
@@ -251,8 +253,38 @@ scored AS (
 )"""
 
 
+def _definitions(block: str) -> dict[str, str]:
+    """Name and body (in parentheses) of each CTE of a block."""
+    out, at = {}, 0
+    while m := re.compile(r"\s*,?\s*(?:--[^\n]*\n\s*)*(\w+)\s+AS\s+(?:MATERIALIZED\s+)?\(", re.I).match(block, at):
+        depth, i, quoted = 1, m.end(), False
+        while depth:
+            c = block[i]
+            if c == "'":
+                quoted = not quoted
+            elif not quoted and block.startswith("--", i):
+                i = block.index("\n", i)
+            elif not quoted:
+                depth += (c == "(") - (c == ")")
+            i += 1
+        out[m[1]] = block[m.end() - 1:i]
+        at = i
+    if block[at:].strip(" \n,"):
+        raise ValueError(f"not a list of CTEs: {block[at:at + 80]!r}")
+    return out
+
+
 def with_ctes(*blocks: str, select: str) -> str:
-    return "WITH " + ",".join(b.strip().rstrip(",") for b in blocks) + "\n" + select
+    """The CTEs that ``select`` needs, in order, each computed once."""
+    found: dict[str, str] = {}
+    for block in blocks:
+        found |= _definitions(block)
+    needed, texts = set(), [select]
+    while texts:
+        used = set(re.findall(r"\w+", texts.pop())) & found.keys() - needed
+        needed |= used
+        texts += [found[name] for name in used]
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED {body}" for n, body in found.items() if n in needed) + "\n" + select
 
 
 def scored_sql(select: str) -> str:
