@@ -47,59 +47,18 @@ def is_numeric_type(t: Column) -> Column:
 def parse_object(text: Column) -> Column:
     """The JSON object in ``text`` as VARIANT, or NULL.
 
-    The text is wrapped in ``[...]`` and must give exactly one element, an
-    object, and end with ``}``: this rejects trailing values and junk that a
-    bare ``try_parse_json`` would accept.
+    The text stands in an array before a mark: the parser reads that far only
+    if the text is one value, so trailing values and junk, which a bare
+    ``try_parse_json`` would accept, lose the mark.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"@end"]')))
     first = F.try_variant_get(wrapped, "$[0]", "variant")
-    ok = (F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-          & F.coalesce(F.schema_of_variant(first).startswith("OBJECT"), F.lit(False))
-          & text.endswith("}"))
+    ok = (F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == "@end", F.lit(False))
+          & F.try_variant_get(wrapped, "$[2]", "variant").isNull()
+          & F.coalesce(F.schema_of_variant(first).startswith("OBJECT"), F.lit(False)))
     return F.when(ok, first)
 
 
-def _str_field(v: Column, path: str) -> Column:
-    """String value at path when it is a JSON string, else NULL."""
-    return F.when(vtype(v, path) == "STRING", F.try_variant_get(v, path, "string"))
-
-
-def _num_value(v: Column, path: str) -> Column:
-    """A ``value`` as double: numbers and booleans as is, numeric strings parsed (lax)."""
-    t = vtype(v, path)
-    return (F.when(is_numeric_type(t) | (t == "BOOLEAN"), F.try_variant_get(v, path, "double"))
-            .when(t == "STRING", to_float_strict(F.try_variant_get(v, path, "string"))))
-
-
-def canon_change(c: Column) -> Column:
-    """A change object as struct; numeric ``value`` -> abs, a string value kept unsigned."""
-    t = vtype(c, "$.value")
-    value = _num_value(c, "$.value")
-    value = F.when(is_numeric_type(t) | (t == "BOOLEAN"), F.abs(value)).otherwise(value)
-    return F.when(
-        F.coalesce(vtype(c).startswith("OBJECT"), F.lit(False)),
-        F.struct(
-            _str_field(c, "$.type").alias("type"),
-            value.alias("value"),
-            _str_field(c, "$.unit").alias("unit"),
-            _str_field(c, "$.direction").alias("direction"),
-        ))
-
-
-def change_valid(c: Column) -> Column:
-    """Change model: object, enum fields in domain, value a float (lax: numeric string)."""
-    t = vtype(c, "$.value")
-    value_ok = (is_numeric_type(t) | (t == "BOOLEAN")
-                | ((t == "STRING") & to_float_strict(F.try_variant_get(c, "$.value", "string")).isNotNull()))
-    return F.coalesce(
-        vtype(c).startswith("OBJECT")
-        & _str_field(c, "$.type").isin(*CHANGE_TYPES)
-        & value_ok
-        & _str_field(c, "$.unit").isin(*CHANGE_UNITS)
-        & _str_field(c, "$.direction").isin(*CHANGE_DIRECTIONS),
-        F.lit(False))
-
-
 def null_of_rec() -> Column:
     from fieldmark.functions.records import REC_DDL
 

@@ -98,11 +98,12 @@ def lower_terms(terms: Column) -> Column:
 
 
 def has_nan_value(r: Column) -> Column:
-    """True when a driver change or the goal carries a NaN value."""
+    """True when a value that the record's branch compares (a driver change, the goal) is NaN."""
     drv = F.exists(F.coalesce(r["drivers"], empty_array(DRIVER_DDL)),
                    lambda d: F.coalesce(F.isnan(d["change"]["value"]), F.lit(False)))
     goal = F.coalesce(F.isnan(r["goal"]["value"]), F.lit(False))
-    return drv | goal
+    branch = branch_of(r)
+    return ((branch == "forward") & drv) | ((branch == "inverse") & goal)
 
 
 def branch_of(r: Column) -> Column:

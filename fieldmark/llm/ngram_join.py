@@ -205,19 +205,43 @@ def _shared_rows(bits: int):
     return run
 
 
+def _ordered_sets(batches):
+    """Each class's shared shingles in the global order; classes that cannot have a partner go.
+
+    A shingle that is hot in one task of a class's copies and not in another comes twice, and counts once.
+    """
+    import pyarrow as pa
+
+    for batch in batches:
+        sig, n, out = [], [], []
+        for k in range(batch.num_rows):
+            h, df = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
+            order = np.lexsort((h, df))
+            h = h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            h = h[new]
+            if 100 * len(h) >= PERCENT * batch.column(1)[k].as_py():
+                sig.append(batch.column(0)[k].as_py())
+                n.append(batch.column(1)[k].as_py())
+                out.append(h)
+        ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+        yield pa.record_batch([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(
+            pa.array(ends), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))], names=["sig", "n", "hs"])
+
+
 def _shared_sets(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
-    """(id, n, parts): classes that share enough shingles to have a partner, with these in the global order."""
+    """(id, n, hs): classes that share enough shingles to have a partner, with these in the global order."""
     bits = max(0, int(np.ceil(np.log2(max(1, total / RANGE)))))
     ranges = docs.select("text").mapInArrow(
         _range_rows(bits), "range long, h binary, node binary, sig binary, size binary, mark binary")
     shared = ranges.groupBy("range").applyInArrow(_shared_rows(bits), _SHARED)
-    # a hot shingle may come from a range and, marked, from a task: one entry each
     by_class = shared.groupBy("sig", "n").agg(
-        F.sort_array(F.array_distinct(F.arrays_zip(F.flatten(F.collect_list("dfs")).alias("df"),
-                                                   F.flatten(F.collect_list("hs")).alias("h")))).alias("parts"))
-    by_class = by_class.where(100 * F.size("parts") >= PERCENT * F.col("n"))
+        F.sum(F.size("hs")).alias("c"), F.flatten(F.collect_list("hs")).alias("hs"),
+        F.flatten(F.collect_list("dfs")).alias("dfs")).where(100 * F.col("c") >= PERCENT * F.col("n"))
+    by_class = by_class.select("sig", "n", "hs", "dfs").mapInArrow(_ordered_sets, "sig long, n long, hs array<long>")
     ids = classes.groupBy("sig", "n").agg(F.min("doc_id").alias("id"))
-    return by_class.join(ids, ["sig", "n"]).select("id", "n", "parts")
+    return by_class.join(ids, ["sig", "n"]).select("id", "n", "hs")
 
 
 def _least_overlap(n):
@@ -227,8 +251,8 @@ def _least_overlap(n):
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that link: partial overlaps of each fragment, summed per pair."""
     cut = sets.select("id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.struct(
-        f.alias("f"), F.transform(F.filter("parts", lambda x: F.shiftright(x["h"], 64 - FRAGMENT_BITS) + FRAGMENTS // 2 == f),
-                                  lambda x: x["h"]).alias("hs")))).alias("p")).select("id", "n", "p.f", "p.hs")
+        f.alias("f"), F.filter("hs", lambda h: F.shiftright(h, 64 - FRAGMENT_BITS) + FRAGMENTS // 2 == f).alias("hs")))
+    ).alias("p")).select("id", "n", "p.f", "p.hs")
     left = cut.select(F.col("id").alias("a"), F.col("n").alias("na"), "f", F.col("hs").alias("ha"))
     right = cut.select(F.col("id").alias("b"), F.col("n").alias("nb"), "f", F.col("hs").alias("hb"))
     part = pairs.join(left, "a").join(right, ["b", "f"]).select(
@@ -253,8 +277,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     own = classes.where("n > 0 AND doc_id IS NOT NULL")
     sets = written(_shared_sets(docs, own, total), "shared")
     prefix = written(sets.select("id", "n", F.explode(F.slice(
-        "parts", 1, (F.size("parts") - _least_overlap(F.col("n")) + 1).cast("int"))).alias("p"))
-        .select("id", "n", F.col("p.h").alias("h")), "prefix")
+        "hs", 1, (F.size("hs") - _least_overlap(F.col("n")) + 1).cast("int"))).alias("h")), "prefix")
     rows, labels, edges = prefix.count(), None, None
     for turn in range(MAX_LEADER_ROUNDS + 1):
         at = prefix.withColumn("root", F.col("id")) if labels is None else prefix.join(

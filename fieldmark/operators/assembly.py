@@ -190,7 +190,12 @@ def assemble_from_spans(df: DataFrame, id_col: str, spans_col: str, dictionary:
                                                           lambda s: s["key"]))),
         unknown_terms=unknown,
     )
-    return staged.select(c("_id").alias(id_col), finalize_baseline(pred).alias("prediction"))
+    done = staged.select("_id", finalize_baseline(pred).alias("prediction"))
+    # a sentence without spans has the empty record
+    none = finalize_baseline(rec(drivers=empty_array(DRIVER_DDL), targets=empty_array("string"),
+                                 unknown_terms=empty_array("string")))
+    return df.select(F.col(id_col).alias("_id")).distinct().join(done, "_id", "left").select(
+        c("_id").alias(id_col), F.coalesce("prediction", none).alias("prediction"))
 
 
 def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: DataFrame,
@@ -199,8 +204,9 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
     ``{product, drivers: [{entity, value, unit, direction}], targets: [str | {entity}]}``.
 
     A row whose text is not a JSON object, or whose structure would make the
-    per-row post-processing fail (non-object driver, non-string entity, unit
-    or direction, target neither string nor object), gets a NULL prediction
+    per-row post-processing fail (non-object driver, non-string entity, unit or
+    direction of a linked driver that is no string, target neither string nor object
+    with a string entity, drivers or targets that cannot be looped over), gets a NULL prediction
     and ``valid = false``; any other row is ``valid = true`` without schema
     validation (``valid_kind = 'no_crash'``, never mixed with model validity).
     Entity mentions are exploded, linked (T7) once per distinct text and
@@ -208,9 +214,15 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
     """
     from fieldmark.functions.cleaning import parse_object, py_strip
     from fieldmark.functions.text import fold_distinct
+    from fieldmark.operators.clean import not_iterable
     from fieldmark.operators.linking import link
 
     vt = lambda v: F.schema_of_variant(v)
+    falsy = lambda v: F.coalesce(
+        vt(v).isin("VOID", "OBJECT<>", "ARRAY<VOID>") | ((vt(v) == "STRING") & (F.try_variant_get(v, "$", "string") == ""))
+        | ((vt(v) != "STRING") & F.coalesce(F.try_variant_get(v, "$", "double") == 0, F.lit(False))), F.lit(True))
+    named = lambda xs: F.transform(F.filter(xs, lambda x: x != ""), lambda x: F.struct(
+        F.lit("STRING").alias("t"), x.alias("s"), F.lit(None).cast("variant").alias("ent")))
     s1 = df.select(F.col(id_col).alias("_id"), parse_object(py_strip(F.col(raw_col))).alias("_o"))
     top = "struct<product:variant,drivers:variant,targets:variant>"
     s2 = s1.select("_id", F.col("_o").isNotNull().alias("_parsed"), F.try_variant_get("_o", "$", top).alias("_f"))
@@ -222,14 +234,21 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
          .otherwise(F.lit("")).alias("_prod"),
         F.transform(arr(F.col("_f.drivers")), lambda e: F.struct(
             vt(e).alias("t"), F.try_variant_get(e, "$", drv_t).alias("d"))).alias("_drv"),
-        F.transform(arr(F.col("_f.targets")), lambda e: F.struct(
-            vt(e).alias("t"), F.try_variant_get(e, "$", "string").alias("s"),
-            F.try_variant_get(e, "$.entity", "variant").alias("ent"))).alias("_tgt"))
+        # a string is looped over by character, an object by key
+        F.when(vt(F.col("_f.targets")) == "STRING", named(F.split(F.try_variant_get("_f.targets", "$", "string"), "")))
+         .when(vt(F.col("_f.targets")).startswith("OBJECT"), named(F.json_object_keys(F.to_json("_f.targets"))))
+         .otherwise(F.transform(arr(F.col("_f.targets")), lambda e: F.struct(
+             vt(e).alias("t"), F.try_variant_get(e, "$", "string").alias("s"),
+             F.try_variant_get(e, "$.entity", "variant").alias("ent")))).alias("_tgt"),
+        (not_iterable(F.col("_f.drivers")) | not_iterable(F.col("_f.targets"))
+         | (F.coalesce(vt(F.col("_f.drivers")), F.lit("VOID")).rlike("^(STRING|OBJECT)")
+            & ~falsy(F.col("_f.drivers")))).alias("_no_loop"))
     ok_str = lambda v: F.coalesce(vt(v).isin("STRING", "VOID"), F.lit(True))  # noqa: E731  NULL/absent/str
-    crash = (F.exists("_drv", lambda d: ~F.coalesce(d["t"].startswith("OBJECT"), F.lit(False))
-                      | ~ok_str(d["d"]["entity"]) | ~ok_str(d["d"]["unit"]) | ~ok_str(d["d"]["direction"]))
+    crash = (F.col("_no_loop")
+             | F.exists("_drv", lambda d: ~F.coalesce(d["t"].startswith("OBJECT"), F.lit(False))
+                        | ~(ok_str(d["d"]["entity"]) | falsy(d["d"]["entity"])))
              | F.exists("_tgt", lambda t: ~(F.coalesce(t["t"] == "STRING", F.lit(False))
-                                           | F.coalesce(t["t"].startswith("OBJECT"), F.lit(False)))))
+                                           | (F.coalesce(t["t"].startswith("OBJECT"), F.lit(False)) & ok_str(t["ent"])))))
     s4 = s3.select("_id", (F.col("_parsed") & ~crash).alias("_ok"), "_prod", "_drv", "_tgt")
     rows = s4.observe(f"loose_{uuid.uuid4().hex[:8]}", F.count_if("_ok").alias("ok_rows"))
 
@@ -239,20 +258,22 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
     ments = rows.where("_ok").select("_id", F.inline(F.concat(
         F.array(F.struct(F.lit("p").alias("role"), F.lit(0).alias("pos"), F.col("_prod").alias("text"),
                          F.lit(None).cast("string").alias("vtxt"), F.lit(None).cast("string").alias("unit"),
-                         F.lit(None).cast("string").alias("dir"))),
+                         F.lit(None).cast("string").alias("dir"), F.lit(False).alias("bad"))),
         F.transform("_drv", lambda d, i: F.struct(
-            F.lit("d").alias("role"), i.alias("pos"), py_strip(vs(d["d"]["entity"])).alias("text"),
+            F.lit("d").alias("role"), i.alias("pos"),
+            F.when(vt(d["d"]["entity"]) == "STRING", py_strip(vs(d["d"]["entity"]))).otherwise(F.lit("")).alias("text"),
             # Python str(v): numbers keep their text, null -> 'None' (not a float)
             F.when(vt(d["d"]["value"]).isin("VOID") | d["d"]["value"].isNull(), F.lit("None"))
              .when(vt(d["d"]["value"]) == "BOOLEAN", F.lit("True"))
              .otherwise(F.try_variant_get(d["d"]["value"], "$", "string")).alias("vtxt"),
             F.try_variant_get(d["d"]["unit"], "$", "string").alias("unit"),
-            F.try_variant_get(d["d"]["direction"], "$", "string").alias("dir"))),
+            F.try_variant_get(d["d"]["direction"], "$", "string").alias("dir"),
+            (~ok_str(d["d"]["unit"]) | ~ok_str(d["d"]["direction"])).alias("bad"))),
         F.transform("_tgt", lambda t, i: F.struct(
             F.lit("t").alias("role"), i.alias("pos"),
             F.when(t["t"] == "STRING", t["s"]).otherwise(vs(t["ent"])).alias("text"),
             F.lit(None).cast("string").alias("vtxt"), F.lit(None).cast("string").alias("unit"),
-            F.lit(None).cast("string").alias("dir"))))))
+            F.lit(None).cast("string").alias("dir"), F.lit(False).alias("bad"))))))
     ments = ments.where(F.col("text") != "")
     linked = link(ments, "text", dictionary, containment=True, fuzzy=fuzzy, out_col="key")
     vocab = ments.select(F.explode(F.array("unit", "dir")).alias("w")).where(F.col("w").isNotNull()).distinct()
@@ -262,7 +283,8 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
     # the vocabulary comes from the data: no broadcast hint, AQE sizes the join at run time
     linked = linked.join(nu, "unit", "left").join(nd, "dir", "left")
     per = linked.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(
-        "role", "pos", "text", "key", "vtxt", "unit_n", "dir_n"))).alias("m"))
+        "role", "pos", "text", "key", "vtxt", "unit_n", "dir_n"))).alias("m"),
+        F.bool_or(F.col("bad") & F.col("key").isNotNull()).alias("_bad"))  # unit and direction count once linked
     m = F.col("m")
     prod = F.filter(m, lambda x: x["role"] == "p")
     drv = F.filter(m, lambda x: x["role"] == "d")
@@ -280,10 +302,11 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
             low(F.filter(prod, lambda x: x["key"].isNull())), low(F.filter(drv, lambda x: x["key"].isNull())),
             low(F.filter(tgt, lambda x: x["key"].isNull()))))),
     )
-    assembled = per.select("_id", finalize_baseline(pred).alias("_pred"))
+    assembled = per.select("_id", "_bad", finalize_baseline(pred).alias("_pred"))
     empty = finalize_baseline(rec(drivers=empty_array(DRIVER_DDL), targets=empty_array("string"),
                                   unknown_terms=empty_array("string")))
-    out = rows.select("_id", "_ok").join(assembled, "_id", "left")
+    out = rows.select("_id", "_ok").join(assembled, "_id", "left").withColumn(
+        "_ok", F.col("_ok") & ~F.coalesce("_bad", F.lit(False)))
     return out.select(F.col("_id").alias(id_col),
                       F.when(F.col("_ok"), F.coalesce("_pred", empty)).alias("prediction"),
                       F.col("_ok").alias("valid"), F.lit("no_crash").alias("valid_kind"))

@@ -87,6 +87,14 @@ def _null_or_missing(p: Column) -> Column:
     return p["t"].isNull() | (p["t"] == "VOID")
 
 
+def not_iterable(v: Column) -> Column:
+    """True for a non-zero number or ``true``: what a loop over the field cannot take (0 and ``false`` count as empty)."""
+    number = F.schema_of_variant(v)
+    return F.when(_list_kind(v) == "OTHER", F.coalesce(
+        (is_numeric_type(number) | (number == "BOOLEAN")) & (F.try_variant_get(v, "$", "double") != 0), F.lit(False))
+    ).otherwise(F.lit(False))
+
+
 def _list_kind(v: Column) -> Column:
     """'VOID' for absent/null, 'ARRAY' for an array, else 'OTHER' (no nested type name built)."""
     return (F.when(v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False)), F.lit("VOID"))
@@ -124,6 +132,7 @@ def clean_outputs(df: DataFrame, raw_col: str = "raw") -> DataFrame:
         *[_typed(f[k]).alias(f"_{k}") for k in ("intent", "mode", "product_id", "target")],
         _list_kind(f["targets"]).alias("_targets_t"),
         _list_kind(f["unknown_terms"]).alias("_terms_t"),
+        not_iterable(f["drivers"]).alias("_drivers_bad"),
         F.filter(F.transform(_array_parts(f["drivers"]),
                              lambda e: F.try_variant_get(e, "$", "struct<entity_key:variant,change:variant>")),
                  lambda d: d.isNotNull()).alias("_drv_e"),
@@ -146,6 +155,7 @@ def clean_outputs(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     fwd = _is_str(c("_mode")) & (c("_mode.s") == "forward")
     inv = _is_str(c("_mode")) & (c("_mode.s") == "inverse")
     terms_ok = c("_terms_t").isin("VOID", "ARRAY") & F.forall(c("_terms"), _is_str)
+    drivers_fail = fwd & c("_drivers_bad")
     product_ok = _null_or_missing(c("_product_id")) | (_is_str(c("_product_id"))
                                                        & c("_product_id.s").isin(*PRODUCTS))
     drivers_ok = F.forall(c("_drv"), lambda d: _is_str(d["key"]) & F.coalesce(d["key"]["s"].isin(*LEVER_KEYS),
@@ -177,15 +187,16 @@ def clean_outputs(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     )
     other = rec(intent=F.lit("other"), unknown_terms=empty_array("string"))
     s5 = s4.select(*keep, "_parsed", F.coalesce(is_other, F.lit(False)).alias("_other"),
-                   terms_ok.alias("_terms_ok"), sim.alias("_sim"), reject.alias("_reject"))
+                   terms_ok.alias("_terms_ok"), drivers_fail.alias("_drivers_fail"), sim.alias("_sim"), reject.alias("_reject"))
     out = s5.select(
         *keep,
         F.when(~c("_parsed"), null_of_rec()).when(c("_other"), other)
-         .when(~c("_terms_ok"), null_of_rec()).otherwise(c("_sim")).alias("pred"),
-        (c("_parsed") & (c("_other") | (c("_terms_ok") & (F.size(c("_reject")) == 0)))).alias("valid"),
+         .when(~c("_terms_ok") | c("_drivers_fail"), null_of_rec()).otherwise(c("_sim")).alias("pred"),
+        (c("_parsed") & (c("_other") | (c("_terms_ok") & ~c("_drivers_fail") & (F.size(c("_reject")) == 0)))).alias("valid"),
         F.when(~c("_parsed"), F.array(F.lit("unparsable")))
          .when(c("_other"), F.array().cast("array<string>"))
          .when(~c("_terms_ok"), F.array(F.lit("unknown_terms")))
+         .when(c("_drivers_fail"), F.array(F.lit("drivers")))
          .otherwise(c("_reject")).alias("reject"),
     )
     # Row/valid counters.  The metrics node also keeps later filters (and the

@@ -10,7 +10,7 @@ from fieldmark.functions.cleaning import (
     normalize_unit, parse_object, strip_reasoning, to_float, type_from_unit, validate_rec,
 )
 from fieldmark.functions.metrics import model_type
-from fieldmark.functions.text import fold
+from fieldmark.functions.text import fold_distinct
 from fieldmark.operators.clean import clean_outputs
 from fieldmark.plans.catalog import register
 from fieldmark.plans.oracle_sql import GOLD_CTES, PRED_CTES, cleaned_sql, with_ctes
@@ -159,32 +159,35 @@ def p13_empty_prediction(spark, sf_dir):
                      F.array_join("p.unknown_terms", "|").alias("terms")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _folded_counts(samples, col):
+    """(col, n, folded): each distinct text with its count, folded once."""
+    counted = samples.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return fold_distinct(counted, col, "folded")
+
+
 @register("p14_type_from_unit", _surface_sql("""
 SELECT unit_text, unit, CASE WHEN unit = 'bps' THEN 'absolute' WHEN unit = '%' THEN 'relative' END AS type,
        count(*) AS n FROM surfaces GROUP BY ALL"""))
 def p14_type_from_unit(spark, sf_dir):
     """Change type implied by the normalised unit."""
-    s = surface_samples(spark, sf_dir)
-    u = normalize_unit(F.col("unit_text"), fold(F.col("unit_text")))
-    return s.groupBy("unit_text", u.alias("unit"), type_from_unit(u).alias("type")).agg(
-        F.count(F.lit(1)).alias("n"))
+    counted = _folded_counts(surface_samples(spark, sf_dir), "unit_text")
+    unit = normalize_unit(F.col("unit_text"), F.col("folded"))
+    return counted.select("unit_text", unit.alias("unit"), type_from_unit(unit).alias("type"), "n")
 
 
 @register("p15_normalize_unit", _surface_sql("SELECT unit_text, unit, count(*) AS n FROM surfaces GROUP BY ALL"))
 def p15_normalize_unit(spark, sf_dir):
     """Unit surface -> bps / % / NULL."""
-    s = surface_samples(spark, sf_dir)
-    return s.groupBy("unit_text", normalize_unit(F.col("unit_text"), fold(F.col("unit_text"))).alias("unit")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    counted = _folded_counts(surface_samples(spark, sf_dir), "unit_text")
+    return counted.select("unit_text", normalize_unit(F.col("unit_text"), F.col("folded")).alias("unit"), "n")
 
 
 @register("p16_normalize_direction", _surface_sql(
     "SELECT direction_text, direction, count(*) AS n FROM surfaces GROUP BY ALL"))
 def p16_normalize_direction(spark, sf_dir):
     """Direction surface -> increase / decrease / NULL."""
-    s = surface_samples(spark, sf_dir)
-    return s.groupBy("direction_text", normalize_direction(fold(F.col("direction_text"))).alias("direction")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    counted = _folded_counts(surface_samples(spark, sf_dir), "direction_text")
+    return counted.select("direction_text", normalize_direction(F.col("folded")).alias("direction"), "n")
 
 
 @register("p17_to_float", _surface_sql("SELECT row_id, line, value_text, value FROM surfaces"))

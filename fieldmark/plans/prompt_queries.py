@@ -113,10 +113,13 @@ chosen AS (
 ),
 ch AS (SELECT *, CASE WHEN regexp_matches(chosen, '-(\\d+)-of-(\\d+)\\.gguf$')
                       THEN regexp_replace(chosen, '-(\\d+)-of-(\\d+)\\.gguf$', '') END AS stem FROM chosen)
-SELECT c.repo, c.quant, string_agg(c.file, '|' ORDER BY c.file) AS files, count(*) AS n_files
-FROM cand c JOIN ch ON ch.repo = c.repo AND ch.quant = c.quant
-WHERE (ch.stem IS NULL AND c.file = ch.chosen) OR (ch.stem IS NOT NULL AND starts_with(c.file, ch.stem))
-GROUP BY c.repo, c.quant"""
+SELECT w.repo, w.quant, string_agg(c.file, '|' ORDER BY c.file) AS files, count(c.file) AS n_files,
+  count(c.file) = 0 AS missing
+FROM wanted w LEFT JOIN (
+  SELECT c.* FROM cand c JOIN ch ON ch.repo = c.repo AND ch.quant = c.quant
+  WHERE (ch.stem IS NULL AND c.file = ch.chosen) OR (ch.stem IS NOT NULL AND starts_with(c.file, ch.stem))
+) c ON c.repo = w.repo AND c.quant = w.quant
+GROUP BY w.repo, w.quant"""
 
 
 @register("m07_model_files", _manifest_sql())

@@ -24,7 +24,7 @@ def stream_scored(spark: SparkSession, input_dir: str, output_dir: str, name: st
     ``input_dir`` holds JSON lines with the prediction columns (``run`` included);
     returns the ``StreamingQuery``.  ``once=True`` processes what is there and stops.
     """
-    src: DataFrame = spark.readStream.schema(PREDICTION_DDL).json(input_dir)
+    src: DataFrame = spark.readStream.schema(PREDICTION_DDL).option("mode", "FAILFAST").json(input_dir)
     scored = score_pairs(src)
     w = (scored.writeStream.format("parquet").option("path", output_dir)
          .option("checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}")
