@@ -18,7 +18,7 @@ Cascade per span (on its folded form ``n``):
 
 Only distinct folded spans go through the cascade, each stage receiving the
 spans the previous one left unresolved; results are joined back to the spans.
-The dictionary side is broadcast only after its row count is checked.
+The planner sizes the dictionary side and broadcasts it or not.
 """
 
 from __future__ import annotations
@@ -29,15 +29,6 @@ from pyspark.sql import functions as F
 from fieldmark.functions.text import fold_distinct
 from fieldmark.sources.dimensions import FUZZY_CUTOFF, REVERSE_CONTAINMENT_MIN_LEN
 
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def _small(df: DataFrame, what: str) -> DataFrame:
-    """Broadcast hint after proving the side is small; otherwise leave it to the planner."""
-    n = df.count()
-    return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
-
-
 def build_lookup(dictionary: DataFrame) -> DataFrame:
     """Folded surface -> key; the last entry wins on a collision, the first
     position is kept for the longest-first tie-break (dict semantics)."""
@@ -106,14 +97,14 @@ def _best(df: DataFrame, key: str) -> DataFrame:
 def phrase_hits(spans_n: DataFrame, lookup: DataFrame, max_len: int) -> DataFrame:
     """T4 candidates ``(n, len, ord, canonical)``."""
     cand = boundary_substrings(spans_n.select("n"), "n", max_len)
-    return cand.join(_small(lookup, "lookup"), F.col("sub") == F.col("surface")).select("n", "len", "ord", "canonical")
+    return cand.join(lookup, F.col("sub") == F.col("surface")).select("n", "len", "ord", "canonical")
 
 
 def reverse_hits(spans_n: DataFrame, lookup: DataFrame) -> DataFrame:
     """T5 candidates ``(n, len, ord, canonical)``."""
     rt = reverse_table(lookup)
     s = spans_n.where(F.length("n") >= REVERSE_CONTAINMENT_MIN_LEN)
-    return s.join(_small(rt, "reverse table"), s.n == rt.sub).select("n", "len", "ord", "canonical")
+    return s.join(rt, s.n == rt.sub).select("n", "len", "ord", "canonical")
 
 
 def _ratio_udf():
@@ -143,7 +134,7 @@ def fuzzy_hits(spans_n: DataFrame, lookup: DataFrame, cutoff: float = FUZZY_CUTO
     lo = F.ceil(a * cutoff / (2 - cutoff)).cast("int")
     hi = F.floor(a * (2 - cutoff) / cutoff).cast("int")
     cand = spans_n.where(a > 0).select("n", F.explode(F.sequence(F.greatest(lo, F.lit(1)), hi)).alias("blen"))
-    lk = _small(lookup.select("surface", "canonical", F.col("len").alias("blen")), "lookup")
+    lk = lookup.select("surface", "canonical", F.col("len").alias("blen"))
     pairs = cand.join(lk, "blen")
     pairs = pairs.where(2.0 * F.least(F.length("n"), F.col("blen")) / (F.length("n") + F.col("blen")) >= cutoff)
     scored = pairs.select("n", "surface", "canonical", _ratio_udf()(F.col("surface"), F.col("n")).alias("score"))
@@ -155,7 +146,7 @@ def fuzzy_hits(spans_n: DataFrame, lookup: DataFrame, cutoff: float = FUZZY_CUTO
 def resolve_distinct(spans_n: DataFrame, lookup: DataFrame, containment: bool = True,
                      fuzzy: bool = True) -> DataFrame:
     """T7 on distinct folded spans: ``(n, key, path)`` with path exact / contain / fuzzy / NULL."""
-    lk = _small(lookup, "lookup")
+    lk = lookup
     max_len = lookup.agg(F.max("len")).first()[0] or 0
     ex = spans_n.join(lk.select(F.col("surface").alias("n"), F.col("canonical").alias("k_exact")), "n", "left")
     out = ex.select("n", "k_exact")

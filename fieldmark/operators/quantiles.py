@@ -1,31 +1,19 @@
-"""Exact percentiles (linear interpolation, numpy's default) per group, at scale.
-
-Spark's ``percentile`` is exact but keeps a map of every distinct value of a
-group in one aggregation buffer, merged in one task.  With one run holding a
-third of all rows that buffer is unbounded, so this operator only uses it when
-the largest group is proven small, and otherwise narrows each requested rank
-to a bounded candidate window first:
+"""Exact percentiles (linear interpolation, numpy's default) per group, one way at every size.
 
 1. values are pre-aggregated to ``(group, value, count)`` (map-side combine);
-2. if every group has at most ``max_distinct`` distinct values, ``percentile``
-   with the count as frequency runs directly on that table;
-3. else ``percentile_approx`` (rank error <= n / accuracy) gives a value
-   window around each target rank; rows below the window are *counted*, rows
-   inside it are the only ones ranked exactly.  A window that misses its rank
-   (not expected) is widened and retried, so the result is always exact.
-
-Only per-group summary rows (groups x targets) ever reach the driver.
+2. that table is range-partitioned by (group, value) and written with its partition
+   numbers, so a group of any size is spread over as many partitions as it needs;
+3. counts per (group, partition), a table of groups x partitions, are prefix-summed: they
+   say which partition holds a wanted rank;
+4. only those partitions' rows are ranked, each within its partition.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_DISTINCT = 2_000_000
-DEFAULT_ACCURACY = 100_000
+from fieldmark.session import scratch_path
 
 
 def _suffix(p: float) -> str:
@@ -33,66 +21,44 @@ def _suffix(p: float) -> str:
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                      names: list[str] | None = None,
-                      max_distinct: int = DEFAULT_MAX_DISTINCT,
-                      accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                      names: list[str] | None = None) -> DataFrame:
     """One row per group that has a non-NULL value, one column per probability.
 
     Groups without any value are absent (callers left-join, as ``summarize`` does).
     """
     names = names or [_suffix(p) for p in probs]
-    cnt = (df.where(F.col(value).isNotNull())
-           .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-           .agg(F.count(F.lit(1)).alias("_c")))
-    largest = cnt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd")).agg(F.max("_nd")).first()[0]
-    if largest is None or largest <= max_distinct:
-        return cnt.groupBy(*keys).agg(*[
-            F.percentile(F.col("_v"), F.lit(p), F.col("_c")).alias(n) for p, n in zip(probs, names)])
-    return _windowed(df, cnt, keys, value, probs, names, accuracy)
-
-
-def _windowed(df, cnt, keys, value, probs, names, accuracy):
-    out = cnt.select(*keys).distinct()
-    for p, name in zip(probs, names):
-        out = out.join(_one_percentile(df, cnt, keys, value, p, accuracy).withColumnRenamed("_q", name),
-                       keys, "left")
-    return out
-
-
-def _one_percentile(df, cnt, keys, value, p, accuracy):
-    margin = 2.0 / accuracy
-    while True:
-        lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
-        bounds = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx(F.col(value).cast("double"), [lo_p, hi_p], accuracy).alias("_b"))
-        bounds = bounds.select(
-            *keys, "_n",
-            F.when(F.lit(lo_p) <= 0.0, F.lit(-math.inf)).otherwise(F.col("_b")[0]).alias("_lo"),
-            F.when(F.lit(hi_p) >= 1.0, F.lit(math.inf)).otherwise(F.col("_b")[1]).alias("_hi"))
-        pos = F.lit(p) * (F.col("_n") - 1)
-        bounds = bounds.select(*keys, "_n", "_lo", "_hi",
-                               F.floor(pos).cast("long").alias("_r0"),
-                               (pos - F.floor(pos)).alias("_frac"))
-        tagged = cnt.join(bounds, keys)  # bounds: one row per group (AQE broadcasts it)
-        below = tagged.where(F.col("_v") < F.col("_lo")).groupBy(*keys).agg(F.sum("_c").alias("_below"))
-        window = tagged.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        inside = window.groupBy(*keys).agg(F.sum("_c").alias("_inside"))
-        check = (bounds.join(below, keys, "left").join(inside, keys, "left")
-                 .select(*keys, "_n", "_r0", F.coalesce("_below", F.lit(0)).alias("_below"),
-                         F.coalesce("_inside", F.lit(0)).alias("_inside")))
-        r1 = F.least(F.col("_r0") + 1, F.col("_n") - 1)
-        bad = check.where((F.col("_below") > F.col("_r0")) |
-                          (F.col("_below") + F.col("_inside") <= r1)).limit(1).count()
-        if bad == 0 or margin >= 1.0:
-            break
-        margin = min(1.0, margin * 16)
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (window.join(check.select(*keys, "_below"), keys)
-              .select(*keys, "_v", "_r0", "_frac", "_n",
-                      (F.sum("_c").over(w) + F.col("_below")).alias("_cum")))
-    # value at 0-based rank r = smallest v whose cumulative count exceeds r
-    v0 = F.min(F.when(F.col("_cum") > F.col("_r0"), F.col("_v")))
-    v1 = F.min(F.when(F.col("_cum") > F.least(F.col("_r0") + 1, F.col("_n") - 1), F.col("_v")))
-    res = ranked.groupBy(*keys).agg(v0.alias("_a"), v1.alias("_b"), F.first("_frac").alias("_f"))
-    return res.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("_q"))
+    spark = df.sparkSession
+    counted = (df.where(F.col(value).isNotNull())
+               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+               .agg(F.count(F.lit(1)).alias("_c")))
+    path = scratch_path(spark, "ranges")
+    counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+
+    group, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part")
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s")).select(
+        *keys, "_part", "_s", F.sum("_s").over(group).alias("_n"),
+        (F.sum("_s").over(before) - F.col("_s")).alias("_before"))
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), F.lit(step).alias("step"))
+        for p, name in zip(probs, names) for step in (0, 1)])).alias("_w")
+    place = F.col("_w.p") * (F.col("_n") - 1)
+    ranks = parts.select("*", wanted).select(
+        *keys, "_part", "_s", "_before", F.col("_w.name").alias("_name"), F.col("_w.step").alias("_step"),
+        (place - F.floor(place)).alias("_frac"),
+        F.least(F.floor(place) + F.col("_w.step"), F.col("_n") - 1).alias("_rank"))
+    ranks = ranks.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_s")))
+    upto = Window.partitionBy(*keys, "_name", "_step").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = (ranged.join(ranks, [*keys, "_part"])
+             .withColumn("_upto", F.sum("_c").over(upto) + F.col("_before"))
+             .where(F.col("_upto") > F.col("_rank"))
+             .groupBy(*keys, "_name", "_step").agg(F.min("_v").alias("_v"), F.first("_frac").alias("_frac")))
+
+    def at(name, step):
+        return F.max(F.when((F.col("_name") == name) & (F.col("_step") == step), F.col("_v")))
+
+    def frac(name):
+        return F.max(F.when(F.col("_name") == name, F.col("_frac")))
+
+    return found.groupBy(*keys).agg(*[
+        (at(n, 0) + (at(n, 1) - at(n, 0)) * frac(n)).alias(n) for n in names])

@@ -1,22 +1,59 @@
-"""Queries E1, E8, E11: records assembled from labelled spans."""
+"""Queries E1, E6, E8, E11: records assembled from labelled spans."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldmark.operators.assembly import assemble_from_spans
+from fieldmark.operators.assembly import UNKNOWN_SPAN_THRESHOLD, assemble_from_spans, spans_of
 from fieldmark.plans.catalog import register
-from fieldmark.sources.dimensions import dictionary_df
-from fieldmark.sources.fixtures import order_spans
+from fieldmark.sources.dimensions import DICTIONARY, SOURCES, dictionary_df
+from fieldmark.sources.fixtures import DIRECTION_SAMPLES, UNIT_SAMPLES, order_spans
 
 
-@register("e01_pivot_by_label", """
-SELECT l_orderkey AS row_id, count(*) + 0 AS n_lines FROM lineitem GROUP BY l_orderkey""")
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_SURFACES, _KEYS = [s for s, _ in DICTIONARY], [c for _, c in DICTIONARY]
+_LINES = f"""
+WITH li AS (
+  SELECT l_orderkey AS row_id, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_discount,
+    ({_list(_SURFACES)})[CAST(l_partkey % {len(_SURFACES)} AS INTEGER) + 1] AS lever,
+    list_contains({_list(SOURCES)}, ({_list(_KEYS)})[CAST(l_partkey % {len(_SURFACES)} AS INTEGER) + 1]) AS is_source,
+    CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value,
+    ({_list(UNIT_SAMPLES)})[CAST(l_suppkey % {len(UNIT_SAMPLES)} AS INTEGER) + 1] AS unit,
+    ({_list(DIRECTION_SAMPLES)})[CAST(l_suppkey % {len(DIRECTION_SAMPLES)} AS INTEGER) + 1] AS direction,
+    ({_list(_SURFACES)})[CAST(l_suppkey % {len(_SURFACES)} AS INTEGER) + 1] AS kpi
+  FROM lineitem)"""
+
+
+@register("e01_pivot_by_label", _LINES + """,
+p AS (SELECT row_id,
+    string_agg(lever, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (is_source) AS sources,
+    string_agg(lever, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (NOT is_source) AS drivers,
+    string_agg(value, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS vals,
+    string_agg(unit, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS units,
+    string_agg(direction, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS directions,
+    string_agg(kpi, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS kpis FROM li GROUP BY row_id)
+SELECT o_orderkey AS row_id, coalesce(sources, '') AS sources, coalesce(drivers, '') AS drivers, coalesce(vals, '') AS vals,
+  coalesce(units, '') AS units, coalesce(directions, '') AS directions, coalesce(kpis, '') AS kpis
+FROM orders LEFT JOIN p ON p.row_id = o_orderkey""")
 def e01_pivot_by_label(spark, sf_dir):
-    """Spans split by label, original order kept (checked through the per-order line count)."""
-    s = order_spans(spark, sf_dir)
-    lev = F.filter("spans", lambda x: x["label"].isin("source_financement", "driver_levier"))
-    return s.select("row_id", F.size(lev).cast("long").alias("n_lines"))
+    """Spans split by label, original order kept."""
+    labels = {"sources": "source_financement", "drivers": "driver_levier", "vals": "valeur_numerique",
+              "units": "unite_variation", "directions": "direction_variation", "kpis": "kpi_cible"}
+    return order_spans(spark, sf_dir).select("row_id", *[
+        F.array_join(F.transform(spans_of(F.col("spans"), label), lambda s: s["text"]), "|").alias(name)
+        for name, label in labels.items()])
+
+
+@register("e06_unknown_spans", _LINES + """
+SELECT row_id, lower('Terme ' || l_returnflag) AS term, count(*) AS n FROM li WHERE l_discount * 8 > 0.4 GROUP BY ALL""")
+def e06_unknown_spans(spark, sf_dir):
+    """Unknown-term spans above the score threshold, lower-cased."""
+    unknown = F.filter(spans_of(F.col("spans"), "terme_inconnu"), lambda s: s["score"] > UNKNOWN_SPAN_THRESHOLD)
+    terms = order_spans(spark, sf_dir).select("row_id", F.explode(F.transform(unknown, lambda s: F.lower(s["text"]))).alias("term"))
+    return terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("e08_span_record")

@@ -64,24 +64,39 @@ def t05_reverse_link(spark, sf_dir):
     return _best(hits, "n").select("n", F.col("canonical").alias("key"))
 
 
-@register("t07_match_cascade", linking_sql("SELECT n, key, path FROM cascade"), headline=True)
+@register("t07_match_cascade", headline=True)
 def t07_match_cascade(spark, sf_dir):
-    """T7 without the fuzzy stage: exact, then phrase/reverse containment longest-first."""
+    """T7, the full cascade: exact, containment, then fuzzy (difflib, so no SQL; see tests/test_linking.py)."""
+    return resolve_distinct(_distinct_n(spark, sf_dir), build_lookup(dictionary_df(spark)))
+
+
+@register("t07_exact_contain", linking_sql("SELECT n, key, path FROM cascade"))
+def t07_exact_contain(spark, sf_dir):
+    """T7's first two stages: exact, then phrase/reverse containment longest-first."""
     return resolve_distinct(_distinct_n(spark, sf_dir), build_lookup(dictionary_df(spark)),
                             containment=True, fuzzy=False)
 
 
-@register("t08_batch_link", linking_sql("""
+def _keys_per_order(linked):
+    return linked.groupBy("row_id").agg(
+        F.array_join(F.array_sort(F.collect_set("key")), "|").alias("keys"),
+        F.count(F.lit(1)).alias("spans"), F.count("key").alias("linked"))
+
+
+@register("t08_batch_link", headline=True)
+def t08_batch_link(spark, sf_dir):
+    """T8, the full cascade: link every span of every order, then the distinct keys per order."""
+    return _keys_per_order(link(spans(spark, sf_dir), "span", dictionary_df(spark)))
+
+
+@register("t08_batch_exact_contain", linking_sql("""
 SELECT s.row_id, coalesce(string_agg(DISTINCT c.key, '|' ORDER BY c.key), '') AS keys, count(*) AS spans,
        count(c.key) AS linked
 FROM spans s JOIN cascade c ON c.n = lower(regexp_replace(strip_accents(s.span), '^\\s+|\\s+$', '', 'g'))
 GROUP BY s.row_id"""))
-def t08_batch_link(spark, sf_dir):
-    """Link every span of every order, then the distinct keys per order."""
-    linked = link(spans(spark, sf_dir), "span", dictionary_df(spark), containment=True, fuzzy=False)
-    return linked.groupBy("row_id").agg(
-        F.array_join(F.array_sort(F.collect_set("key")), "|").alias("keys"),
-        F.count(F.lit(1)).alias("spans"), F.count("key").alias("linked"))
+def t08_batch_exact_contain(spark, sf_dir):
+    """T8 by the first two stages."""
+    return _keys_per_order(link(spans(spark, sf_dir), "span", dictionary_df(spark), containment=True, fuzzy=False))
 
 
 @register("t06_fuzzy_link")

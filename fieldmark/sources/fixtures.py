@@ -449,7 +449,7 @@ def model_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(row_id, spans array<struct<text,label,start,end,score>>)`` per order.
+    """``(row_id, spans array<struct<text,label,start,end,score>>)`` per order (an order without lines has none).
 
     Each line contributes a lever span (dictionary surface of its lever key's
     family), a value, a unit, a direction, a KPI span and a low- or
@@ -487,7 +487,10 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     prod = F.array(F.struct(F.lit("crédit immobilier").alias("text"), F.lit("produit_credit").alias("label"),
                             F.lit(0).alias("start"), F.lit(17).alias("end"), F.lit(0.9).alias("score")))
     g = per_line.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("o", "sp"))).alias("lines"))
-    return g.select("row_id", F.concat(prod, F.flatten(F.transform("lines", lambda x: x["sp"]))).alias("spans"))
+    g = g.select("row_id", F.concat(prod, F.flatten(F.transform("lines", lambda x: x["sp"]))).alias("spans"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
+    none = F.array().cast(g.schema["spans"].dataType)
+    return orders.join(g, "row_id", "left").select("row_id", F.coalesce("spans", none).alias("spans"))
 
 
 # ---------------------------------------------------------------------------

@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 
 
-def test_exact_percentiles_both_paths(spark):
+def test_exact_percentiles(spark):
     from fieldmark.operators.quantiles import exact_percentiles
 
     rnd = random.Random(3)
     rows = [("a" if rnd.random() < 0.7 else "b", float(rnd.randint(0, 500)) / 7) for _ in range(3000)]
     rows += [("c", 1.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    for kw in ({}, {"max_distinct": 1, "accuracy": 50}):
-        got = {r.g: (r.p50, r.p95) for r in exact_percentiles(df, ["g"], "v", [0.5, 0.95], ["p50", "p95"],
-                                                                **kw).collect()}
-        for g in "abc":
-            vals = [v for k, v in rows if k == g]
-            assert abs(got[g][0] - float(np.percentile(vals, 50))) < 1e-9
-            assert abs(got[g][1] - float(np.percentile(vals, 95))) < 1e-9
+    got = {r.g: (r.p50, r.p95, r.p100) for r in
+           exact_percentiles(df, ["g"], "v", [0.5, 0.95, 1.0], ["p50", "p95", "p100"]).collect()}
+    for g in "abc":
+        vals = [v for k, v in rows if k == g]
+        for have, p in zip(got[g], (50, 95, 100)):
+            assert abs(have - float(np.percentile(vals, p))) < 1e-9
 
 
 def test_nearest_by_position_brute_force(spark):
