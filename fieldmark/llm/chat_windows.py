@@ -9,7 +9,8 @@ turns.  Repeated turns are masked; only assistant texts among a window's own tur
 Template: ``<s>role\\ntext</s>`` per turn.  Control strings inside a text get a backslash after their first
 character, and those that have backslashes there get one more, so the text contains none and can be restored.
 
-Turns are never cut: a turn, or system turn, beyond the budget makes a window longer than it.
+Turns are never cut: a turn beyond the budget makes a window longer than it, and so does a system turn that leaves
+less than a quarter of it (the window's own turns then get a quarter).
 
 Edge cases: a null text or role is empty; a conversation of only a system turn is one window; repeated rows are
 turns of their own; a null conv_id is a conversation; an empty table gives an empty result.
