@@ -136,7 +136,7 @@ def precision_impact(summary: DataFrame, variants: DataFrame) -> DataFrame:
     """Per base model with >= 2 present variants, first and last variant by order
     (rates NULL excluded) and the exact-match delta in points."""
     s = summary.select(F.col("model").alias("variant"), "precision", "exact_match_rate", "latency_median_s")
-    j = F.broadcast(variants).join(s, "variant")
+    j = variants.join(s, "variant")
     present = j.groupBy("base").agg(F.count(F.lit(1)).alias("present"))
     nn = j.where(F.col("exact_match_rate").isNotNull())
     agg = nn.groupBy("base").agg(

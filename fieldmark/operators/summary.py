@@ -54,7 +54,7 @@ def summarize(scored: DataFrame, runs: DataFrame | None = None, run_col: str = "
         out = out.withColumn(f"em_{t}", F.concat_ws("/", F.col(f"hits_{t}").cast("string"),
                                                    F.col(f"total_{t}").cast("string")))
     if runs is not None:
-        dim = F.broadcast(runs.select(F.col("name").alias("model"), "precision", "backend"))
+        dim = runs.select(F.col("name").alias("model"), "precision", "backend")
         out = out.join(dim, "model", "left").select(
             "*", F.coalesce("precision", F.lit("?")).alias("_p"), F.coalesce("backend", F.lit("?")).alias("_b")
         ).drop("precision", "backend").withColumnRenamed("_p", "precision").withColumnRenamed("_b", "backend")

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from fieldmark.operators.assembly import UNKNOWN_SPAN_THRESHOLD, assemble_from_spans, spans_of
 from fieldmark.plans.catalog import register
-from fieldmark.sources.dimensions import DICTIONARY, SOURCES, dictionary_df
+from fieldmark.plans.oracle_sql import _fold_sql
+from fieldmark.sources.dimensions import (
+    DICTIONARY, DIRECTION_DOWN, DIRECTION_UP, KPIS, LEVER_KEYS, SOURCES, UNIT_BPS, UNIT_PCT, dictionary_df,
+)
 from fieldmark.sources.fixtures import DIRECTION_SAMPLES, UNIT_SAMPLES, order_spans
 
 
@@ -56,11 +59,62 @@ def e06_unknown_spans(spark, sf_dir):
     return terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("e08_span_record")
+def _in(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def _nearest(name: str, value: str, center: str) -> str:
+    """CTE: for each lever the candidate with the nearest centre, ties to the earliest."""
+    return f"""
+{name} AS (SELECT row_id, ord, v FROM (
+  SELECT lv.row_id, lv.ord, {value} AS v, row_number() OVER (PARTITION BY lv.row_id, lv.ord
+    ORDER BY abs({center} - lv.center), li.l_linenumber, li.l_partkey, li.l_suppkey) AS rn
+  FROM lv JOIN li ON li.row_id = lv.row_id) WHERE rn = 1)"""
+
+
+_BASE = "li.l_linenumber * 100"
+_SPAN_RECORD = _LINES + f""",
+lv AS (
+  SELECT row_id, ({_list(_KEYS)})[CAST(l_partkey % {len(_SURFACES)} AS INTEGER) + 1] AS key,
+    l_linenumber * 100 + length(lever) / 2.0 AS center,
+    row_number() OVER (PARTITION BY row_id ORDER BY is_source DESC, l_linenumber, l_partkey, l_suppkey) AS ord FROM li),
+{_nearest("nv", "li.value", f"({_BASE} + 40 + length(li.value) / 2.0)")},
+{_nearest("nu", "li.unit", f"({_BASE} + 46.5)")},
+{_nearest("nd", "li.direction", f"({_BASE} + 23.0)")},
+drivers AS (
+  SELECT lv.row_id, lv.ord, lv.key, nv.v AS value,
+    CASE WHEN {_fold_sql("nu.v")} IN {_in(UNIT_BPS)} THEN 'bps'
+         WHEN {_fold_sql("nu.v")} IN {_in(UNIT_PCT)} OR contains(nu.v, '%') THEN '%' END AS unit,
+    CASE WHEN {_fold_sql("nd.v")} IN {_in(DIRECTION_UP)} THEN 'increase'
+         WHEN {_fold_sql("nd.v")} IN {_in(DIRECTION_DOWN)} THEN 'decrease' END AS direction
+  FROM lv JOIN nv USING (row_id, ord) JOIN nu USING (row_id, ord) JOIN nd USING (row_id, ord)
+  WHERE lv.key IN {_in(LEVER_KEYS)}),
+d AS (SELECT row_id, count(*) AS n, string_agg(key || ':' || CASE unit WHEN 'bps' THEN 'absolute' WHEN '%' THEN 'relative' ELSE '' END
+    || ':' || value || ':' || coalesce(unit, '') || ':' || coalesce(direction, ''), '|' ORDER BY ord) AS drivers
+  FROM drivers GROUP BY row_id),
+k AS (SELECT row_id, string_agg(DISTINCT key, '|' ORDER BY key) AS targets FROM (
+    SELECT row_id, ({_list(_KEYS)})[CAST(l_suppkey % {len(_SURFACES)} AS INTEGER) + 1] AS key FROM li)
+  WHERE key IN {_in(KPIS)} GROUP BY row_id),
+u AS (SELECT row_id, string_agg(DISTINCT t, '|' ORDER BY t) AS terms FROM (
+    SELECT row_id, lower('Terme ' || l_returnflag) AS t FROM li WHERE l_discount * 8 > 0.4) GROUP BY row_id)
+SELECT o_orderkey AS row_id, CASE WHEN x.row_id IS NULL THEN 'other' ELSE 'simulation' END AS intent,
+  CASE WHEN x.row_id IS NOT NULL THEN 'forward' END AS mode, CASE WHEN x.row_id IS NOT NULL THEN 'CRED_IMMO' END AS product_id,
+  coalesce(d.n, 0) AS n_drivers, coalesce(d.drivers, '') AS drivers, coalesce(k.targets, '') AS targets,
+  coalesce(u.terms, '') AS unknown_terms
+FROM orders LEFT JOIN (SELECT DISTINCT row_id FROM li) x ON x.row_id = o_orderkey LEFT JOIN d ON d.row_id = o_orderkey
+LEFT JOIN k ON k.row_id = o_orderkey LEFT JOIN u ON u.row_id = o_orderkey"""
+
+
+@register("e08_span_record", _SPAN_RECORD)
 def e08_span_record(spark, sf_dir):
-    """E8 + E11: baseline records from labelled spans (rows-only check)."""
+    """E8 + E11 (with E2-E7): baseline records from labelled spans."""
     p = assemble_from_spans(order_spans(spark, sf_dir), "row_id", "spans", dictionary_df(spark), fuzzy=True)
+    text = lambda x: F.coalesce(x, F.lit(""))
+    drivers = F.transform("prediction.drivers", lambda d: F.concat_ws(
+        ":", d["entity_key"], text(d["change"]["type"]), text(d["change"]["value"].cast("bigint").cast("string")),
+        text(d["change"]["unit"]), text(d["change"]["direction"])))
     return p.select("row_id", F.col("prediction.intent").alias("intent"), F.col("prediction.mode").alias("mode"),
+                    F.coalesce(F.array_join(drivers, "|"), F.lit("")).alias("drivers"),
                     F.col("prediction.product_id").alias("product_id"),
                     F.when(F.col("prediction.drivers").isNotNull(), F.size("prediction.drivers")).cast("long").alias("n_drivers"),
                     F.array_join("prediction.targets", "|").alias("targets"),
