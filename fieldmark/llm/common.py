@@ -116,7 +116,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def row_slices(offsets: np.ndarray, max_bytes: int = 4 << 20):
+def row_slices(offsets: np.ndarray, max_bytes: int = 1 << 20):
     """Row ranges of about ``max_bytes`` of text each; a longer text stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

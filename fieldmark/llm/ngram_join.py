@@ -3,8 +3,8 @@
 1. Every document becomes the set of 64-bit hashes of its shingles.  Documents with the same set form one class;
    only classes take part from here on.
 2. The hash space is cut into ranges, and each class's set is cut with it, so that a task holds one range of the
-   order for all classes.  There, shingles of a single class fall away (most do), and the others get their number
-   of classes, which fixes the global order: rare first.
+   order for all classes.  There, shingles of a single class fall away (most do), and those that only classes of
+   too different sizes share; the others get their number of classes, which fixes the global order: rare first.
 3. A class can only have a partner if the shingles that it shares with others are three quarters of its set.  Those
    that remain are compared where the rarest part (the prefix) of their order meets.
 4. Pairs are compared with one leader per shingle first, linked groups are contracted, and only pairs between
@@ -33,9 +33,9 @@ SHINGLE = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Shingles that a task gathers before it deals them out by range.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Shingles of about one range of the hash space.
-RANGE = 1_000_000
+RANGE = 2_000_000
 #: Classes of one task from which on a shingle counts as hot there.
 HOT = 16
 #: Ranges of the order in which a pair's overlap is counted separately: 2 ** FRAGMENT_BITS.
@@ -43,7 +43,7 @@ FRAGMENT_BITS = 3
 FRAGMENTS = 1 << FRAGMENT_BITS
 #: Pairs between groups, per prefix row, from which on another round with leaders comes first.
 DENSE = 4
-MAX_LEADER_ROUNDS = 12
+MAX_LEADER_ROUNDS = 3
 
 _WEIGHTS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                      0x8EBC6AF09C88C6E3], np.uint64)
@@ -63,7 +63,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     for k in range(size):
         ok = left[start] > k
         total[ok] += mix(w[start[ok] + k]) * _WEIGHTS[k % 5] + np.uint64(k + 1)
-    h, doc = mix(total), doc[start]
+    h, doc = mix(total) & ~np.uint64(255), doc[start]  # 56 bits are enough, and pack better
     order = np.argsort(h, kind="stable")
     order = order[np.argsort(doc[order], kind="stable")]
     h, doc = h[order], doc[order]
@@ -157,11 +157,12 @@ def _range_rows(bits: int):
     return run
 
 
-_SHARED = "sig long, n long, hs array<long>, dfs array<long>"
+_SHARED = "bucket long, sig binary, n binary, h binary, df binary"
 
 
-def _shared_rows(bits: int):
-    """Reduce side: the shingles of a range that two classes or more hold, by class, with their number of classes."""
+def _shared_rows(bits: int, buckets: int):
+    """Reduce side: the shingles of a range that two classes or more hold, with their number of classes, by a hash
+    of the class."""
     def run(key, rows):
         import pyarrow as pa
 
@@ -194,40 +195,47 @@ def _shared_rows(bits: int):
             values, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
             hot = df == np.iinfo(np.int64).max
             df = np.where(hot, df, count[inverse])
-            keep = df > 1
+            # of use only where the next smaller or larger class with it is alike enough in size
+            order = np.lexsort((size, h))
+            near = (h[order][1:] == h[order][:-1]) & (100 * size[order][:-1] >= PERCENT * size[order][1:])
+            keep = hot.copy()
+            keep[order[1:][near]] = True
+            keep[order[:-1][near]] = True
             h, sig, size, df = h[keep], sig[keep], size[keep], df[keep]
-        both = np.ones(len(h), bool)
-        both[1:] = (sig[1:] != sig[:-1]) | (size[1:] != size[:-1])
-        start = np.flatnonzero(both)
-        ends = pa.array(np.append(start, len(h)).astype(np.int32))
-        return pa.table({"sig": sig[start], "n": size[start], "hs": pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))),
-                         "dfs": pa.ListArray.from_arrays(ends, pa.array(df))})
+        part = (mix(sig.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = runs(part[order])
+        rows = [(int(part[order[a]]), *(planes(x[order[a:b]]) for x in (sig, size, h, df))) for a, b in zip(cut[:-1], cut[1:])]
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.binary())
+                                                                        for k in range(1, 5)]],
+                        names=["bucket", "sig", "n", "h", "df"])
     return run
 
 
-def _ordered_sets(batches):
+def _ordered_sets(rows):
     """Each class's shared shingles in the global order; classes that cannot have a partner go.
 
     A shingle that is hot in one task of a class's copies and not in another comes twice, and counts once.
     """
     import pyarrow as pa
 
-    for batch in batches:
-        sig, n, out = [], [], []
-        for k in range(batch.num_rows):
-            h, df = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
-            order = np.lexsort((h, df))
-            h = h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            h = h[new]
-            if 100 * len(h) >= PERCENT * batch.column(1)[k].as_py():
-                sig.append(batch.column(0)[k].as_py())
-                n.append(batch.column(1)[k].as_py())
-                out.append(h)
-        ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-        yield pa.record_batch([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(
-            pa.array(ends), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))], names=["sig", "n", "hs"])
+    sig, n, h, df = (np.concatenate([unplanes(x.as_py(), kind) for x in rows[c]])
+                     for c, kind in (("sig", np.int64), ("n", np.int64), ("h", np.uint64), ("df", np.int64)))
+    order = np.lexsort((h, df, n, sig))
+    sig, n, h = sig[order], n[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
+    sig, n, h = sig[new], n[new], h[new]
+    first = np.ones(len(h), bool)
+    first[1:] = (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
+    start = np.flatnonzero(first)
+    count = np.diff(np.append(start, len(h)))
+    enough = 100 * count >= PERCENT * n[start]
+    start, count = start[enough], count[enough]
+    h = h[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+    ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+    return pa.table({"sig": sig[start], "n": n[start],
+                     "hs": pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))})
 
 
 def _shared_sets(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
@@ -235,11 +243,8 @@ def _shared_sets(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, total / RANGE)))))
     ranges = docs.select("text").mapInArrow(
         _range_rows(bits), "range long, h binary, node binary, sig binary, size binary, mark binary")
-    shared = ranges.groupBy("range").applyInArrow(_shared_rows(bits), _SHARED)
-    by_class = shared.groupBy("sig", "n").agg(
-        F.sum(F.size("hs")).alias("c"), F.flatten(F.collect_list("hs")).alias("hs"),
-        F.flatten(F.collect_list("dfs")).alias("dfs")).where(100 * F.col("c") >= PERCENT * F.col("n"))
-    by_class = by_class.select("sig", "n", "hs", "dfs").mapInArrow(_ordered_sets, "sig long, n long, hs array<long>")
+    shared = ranges.groupBy("range").applyInArrow(_shared_rows(bits, 1 << bits), _SHARED)
+    by_class = shared.groupBy("bucket").applyInArrow(_ordered_sets, "sig long, n long, hs array<long>")
     ids = classes.groupBy("sig", "n").agg(F.min("doc_id").alias("id"))
     return by_class.join(ids, ["sig", "n"]).select("id", "n", "hs")
 
@@ -261,9 +266,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("o") >= PERCENT * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _alike(n, m):
-    """Sizes that can reach the similarity."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def _enough(shared, n, m):
+    """Whether sets of n and m shingles can reach the similarity with an overlap of ``shared``."""
+    return (100 + PERCENT) * shared >= PERCENT * (n + m)
+
+
+def _alike(n, m, c, d):
+    """Sizes, and shingles left from a first common one on, that can reach the similarity."""
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & _enough(F.least(c, d), n, m)
 
 
 def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -276,8 +286,14 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     total = classes.agg(F.sum("n")).first()[0] or 0
     own = classes.where("n > 0 AND doc_id IS NOT NULL")
     sets = written(_shared_sets(docs, own, total), "shared")
-    prefix = written(sets.select("id", "n", F.explode(F.slice(
-        "hs", 1, (F.size("hs") - _least_overlap(F.col("n")) + 1).cast("int"))).alias("h")), "prefix")
+    # c: what is left of the set from this shingle on.  Two sets can be no more alike than this allows at the first
+    # shingle that both have, so only rows that allow enough there need to meet.
+    prefix = sets.select("id", "n", F.size("hs").alias("c"), F.posexplode(F.slice(
+        "hs", 1, (F.size("hs") - _least_overlap(F.col("n")) + 1).cast("int"))).alias("k", "h")).select(
+        "id", "n", (F.col("c") - F.col("k")).alias("c"), "h")
+    least = prefix.groupBy("h").agg(F.min("n").alias("m"))
+    prefix = written(prefix.join(least, "h").where(_enough(F.col("c"), F.col("n"), F.greatest(
+        "m", F.col("n") * PERCENT / 100))).drop("m"), "prefix")
     rows, labels, edges = prefix.count(), None, None
     for turn in range(MAX_LEADER_ROUNDS + 1):
         at = prefix.withColumn("root", F.col("id")) if labels is None else prefix.join(
@@ -291,13 +307,15 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         at = written(at.join(mixed.select("h"), "h"), "mixed")
         last = between <= DENSE * rows or turn == MAX_LEADER_ROUNDS
         if last:
-            other = at.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+            other = at.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"),
+                              F.col("root").alias("other"))
             pairs = at.withColumnRenamed("id", "a").join(other, "h").where(
-                (F.col("root") < F.col("other")) & _alike(F.col("n"), F.col("m"))).select("a", "b").distinct()
-        else:  # the leader of a shingle is another one in each round
+                (F.col("root") < F.col("other")) & _alike(*map(F.col, "nmcd"))).select("a", "b").distinct()
+        else:  # a shingle's first leader has the least of its own (all near copies are near to it), later ones vary
             lead = at.groupBy("h").agg(F.min(F.struct(
-                F.xxhash64("id", F.lit(turn)).alias("o"), F.col("id"), F.col("n"), F.col("root"))).alias("l"))
-            pairs = at.join(lead, "h").where((F.col("root") != F.col("l.root")) & _alike(F.col("n"), F.col("l.n"))).select(
+                (F.lit(0) if turn else 1 - F.col("c") / F.col("n")).alias("far"), F.xxhash64("id", F.lit(turn)).alias("o"),
+                "id", "n", "c", "root")).alias("l"))
+            pairs = at.join(lead, "h").where((F.col("root") != F.col("l.root")) & _alike(F.col("n"), F.col("l.n"), F.col("c"), F.col("l.c"))).select(
                 F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
         found = _verified(pairs, sets)
         edges = written(found if edges is None else edges.unionByName(found), "links")
