@@ -39,8 +39,8 @@ def arrow_text(array) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow as pa
 
     array = array.fill_null("") if array.null_count else array
-    array = array.cast(pa.large_string())
-    offsets = np.frombuffer(array.buffers()[1], np.int64, len(array) + 1, array.offset * 8)
+    kind = np.int64 if pa.types.is_large_string(array.type) else np.int32
+    offsets = np.frombuffer(array.buffers()[1], kind, len(array) + 1, array.offset * np.dtype(kind).itemsize).astype(np.int64)
     raw = array.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
@@ -94,6 +94,19 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * shift[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def piece_hashes(data: np.ndarray, sizes: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """``span_hash`` of pieces that follow each other, some ``chunk`` bytes at a time."""
+    ends = np.cumsum(sizes)
+    out, k = [], 0
+    while k < len(sizes):
+        begin = int(ends[k] - sizes[k])
+        last = max(k + 1, int(np.searchsorted(ends, begin + chunk, "right")))
+        start = ends[k:last] - sizes[k:last] - begin
+        out.append(span_hash(prefix_hash(data[begin:int(ends[last - 1])]), start, start + sizes[k:last]))
+        k = last
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)

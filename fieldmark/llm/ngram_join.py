@@ -6,7 +6,8 @@
    order for all classes.  There, shingles of a single class fall away (most do), and those that only classes of
    too different sizes share; the others get their number of classes, which fixes the global order: rare first.
 3. A class can only have a partner if the shingles that it shares with others are three quarters of its set.  Those
-   that remain are compared where the rarest part (the prefix) of their order meets.
+   that remain are compared where the rarest parts (the prefixes) of their order meet, and only if what both have
+   left from there on is enough.
 4. Pairs are compared with one leader per shingle first, linked groups are contracted, and only pairs between
    different groups go on, so that a group of n near copies costs about n pairs and not their square.
 5. For a pair, the shared order is cut into fragments; each counts its part of the overlap separately, and the

@@ -30,15 +30,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import arrow_text, mix, planes, prefix_hash, runs, span_hash, table, unplanes, written
+from fieldmark.llm.common import arrow_text, mix, piece_hashes, planes, prefix_hash, runs, span_hash, table, unplanes, written
 
 MATCH, GRAM = 100, 24
 #: Bytes of text that are scanned together.
-PART = 2 << 20
+PART = 1 << 19
 #: Anchors, or bytes around anchors, that a task gathers before it deals them out.
-FLUSH, FLUSH_BYTES = 500_000, 24 << 20
+FLUSH, FLUSH_BYTES = 250_000, 4 << 20
 #: Anchors of about one range, and bytes around repeated anchors of one range.
-RANGE, RANGE_BYTES = 500_000, 6 << 20
+RANGE, RANGE_BYTES = 300_000, 2 << 20
+#: Bytes of whole grams that one suffix array covers.
+SUFFIX_BYTES = 1 << 19
 #: Occurrences in one task from which on a gram counts as hot there.
 HOT = 16
 
@@ -195,7 +197,7 @@ def _around_rows(bits: int, match: int, gram: int, batches):
         h, doc, th, start, size = (np.concatenate([x[k] for x in held]) for k in range(5))
         text = np.concatenate([x[5] for x in held])
         base = np.cumsum(size) - size
-        same = span_hash(prefix_hash(text), base, base + size) ^ mix(h)
+        same = piece_hashes(text, size) ^ mix(h)
         order = np.lexsort((start, th, doc, same))
         new = np.ones(len(order), bool)
         new[1:] = same[order][1:] != same[order][:-1]
@@ -279,7 +281,7 @@ def _span_rows(bits: int, match: int, key, rows):
     else:
         text = np.frombuffer(b"".join(rows["text"][i].as_py() for i in range(rows.num_rows)), np.uint8)
         base = np.cumsum(size) - size
-        same = span_hash(prefix_hash(text), base, base + size) ^ mix(h)
+        same = piece_hashes(text, size) ^ mix(h)
         order = np.lexsort((start, th, doc, same))
         first = np.ones(len(order), bool)
         first[1:] = same[order][1:] != same[order][:-1]
@@ -289,7 +291,7 @@ def _span_rows(bits: int, match: int, key, rows):
         lead = lead[np.repeat(np.diff(cut) > 1, np.diff(cut))]
         found = [np.stack((doc[later], th[later], start[later], start[later] + size[later]))]
         cut = runs(h[lead])
-        edge = np.searchsorted(np.cumsum(size[lead])[cut[1:] - 1] if len(lead) else [], np.arange(0, int(size[lead].sum()), RANGE_BYTES * 4))
+        edge = np.searchsorted(np.cumsum(size[lead])[cut[1:] - 1] if len(lead) else [], np.arange(0, int(size[lead].sum()), SUFFIX_BYTES))
         groups = np.unique(np.concatenate((cut[edge], [0, len(lead)]))) if len(lead) else [0]
         for a, b in zip(groups[:-1], groups[1:]):  # whole grams, of bounded bytes together
             mine = lead[a:b]
@@ -369,7 +371,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grams = keyed.mapInArrow(partial(_anchor_rows, bits, match, gram), _GRAMS)
     repeated = grams.groupBy("range").applyInArrow(partial(_repeated_rows, bits), "doc long, th long, at array<long>")
     repeated = repeated.groupBy("doc", "th").agg(F.flatten(F.collect_list("at")).alias("at"))
-    near = written(keyed.dropDuplicates(["doc", "th"]).join(repeated, ["doc", "th"]).select("doc", "th", "text", "at"), "near")
+    if sizes.groupBy("doc", "th").count().where("count > 1").limit(1).count():  # rows that stand in the table twice
+        keyed = keyed.dropDuplicates(["doc", "th"])
+    near = written(keyed.join(repeated, ["doc", "th"]).select("doc", "th", "text", "at"), "near")
     found = near.agg(F.sum(F.size("at"))).first()[0] or 0
     around_bits = max(0, int(found * 1.4 * match / RANGE_BYTES).bit_length())
     around = near.mapInArrow(partial(_around_rows, around_bits, match, gram), _AROUND)
