@@ -42,9 +42,6 @@ HOT = 16
 #: Ranges of the order in which a pair's overlap is counted separately: 2 ** FRAGMENT_BITS.
 FRAGMENT_BITS = 3
 FRAGMENTS = 1 << FRAGMENT_BITS
-#: Pairs between groups, per prefix row, from which on another round with leaders comes first.
-DENSE = 4
-MAX_LEADER_ROUNDS = 3
 
 _WEIGHTS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                      0x8EBC6AF09C88C6E3], np.uint64)
@@ -295,36 +292,27 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     least = prefix.groupBy("h").agg(F.min("n").alias("m"))
     prefix = written(prefix.join(least, "h").where(_enough(F.col("c"), F.col("n"), F.greatest(
         "m", F.col("n") * PERCENT / 100))).drop("m"), "prefix")
-    rows, labels, edges = prefix.count(), None, None
-    for turn in range(MAX_LEADER_ROUNDS + 1):
+    labels, edges = None, None
+    for last in (False, True):  # first with leaders only, then all pairs that are left between groups
         at = prefix.withColumn("root", F.col("id")) if labels is None else prefix.join(
             labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
         stat = at.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(
             F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"))
         mixed = stat.where("c * c > s")
-        between = mixed.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()[0] or 0
-        if not between:
-            break
         at = written(at.join(mixed.select("h"), "h"), "mixed")
-        last = between <= DENSE * rows or turn == MAX_LEADER_ROUNDS
         if last:
             other = at.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"),
                               F.col("root").alias("other"))
             pairs = at.withColumnRenamed("id", "a").join(other, "h").where(
                 (F.col("root") < F.col("other")) & _alike(*map(F.col, "nmcd"))).select("a", "b").distinct()
-        else:  # a shingle's first leader has the least of its own (all near copies are near to it), later ones vary
+        else:  # a shingle's leader has the least of its own: near copies are near to it
             lead = at.groupBy("h").agg(F.min(F.struct(
-                (F.lit(0) if turn else 1 - F.col("c") / F.col("n")).alias("far"), F.xxhash64("id", F.lit(turn)).alias("o"),
-                "id", "n", "c", "root")).alias("l"))
+                (1 - F.col("c") / F.col("n")).alias("far"), "id", "n", "c", "root")).alias("l"))
             pairs = at.join(lead, "h").where((F.col("root") != F.col("l.root")) & _alike(F.col("n"), F.col("l.n"), F.col("c"), F.col("l.c"))).select(
                 F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
         found = _verified(pairs, sets)
         edges = written(found if edges is None else edges.unionByName(found), "links")
         labels = components(edges, "labels")
-        if last:
-            break
-    if labels is None:
-        labels = classes.sparkSession.createDataFrame([], "id long, root long")
     return classes, labels
 
 

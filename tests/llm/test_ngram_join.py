@@ -51,7 +51,6 @@ def test_hot_shingles_and_small_ranges(spark, monkeypatch):
     monkeypatch.setattr(J, "HOT", 3)
     monkeypatch.setattr(J, "FLUSH", 900)
     monkeypatch.setattr(J, "RANGE", 400)
-    monkeypatch.setattr(J, "DENSE", 0.01)  # rounds with leaders
     passage = prose(30, 77)
     texts = copies(40, 3) + [passage + " " + prose(12, 100 + k) for k in range(25)] + copies(12, 5, 30)
     check(spark, texts)
