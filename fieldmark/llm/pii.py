@@ -28,8 +28,8 @@ from fieldmark.llm.common import arrow_text, row_slices, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 WIDTH, STRIDE = 64, 32
-#: Excerpts that the tagger learns from; each of EXCERPT characters at most.
-SAMPLE_ROWS, EXCERPT = 400, 600
+#: Excerpts that the tagger learns from, each of EXCERPT characters at most, out of LOOK times as many texts.
+SAMPLE_ROWS, EXCERPT, LOOK = 400, 600, 25
 
 # Patterns of the base spans.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -207,7 +207,10 @@ def training_windows(texts: list[tuple[str, list]]) -> tuple[np.ndarray, np.ndar
 
 
 def sample_excerpts(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str]:
-    """Excerpts around the first digit or @ of ``rows`` texts, taken in the order of a hash."""
+    """Excerpts around the first digit or @ of at most ``rows`` texts, out of about LOOK * ``rows`` by a hash."""
+    steps = 1 << 30
+    few = max(1, int(steps * min(1.0, LOOK * rows / max(1, docs.count()))))
+    docs = docs.where(F.pmod(F.xxhash64(text), F.lit(steps)) < few)
     around = rf"(?s).{{0,{EXCERPT // 3}}}[0-9@].{{0,{EXCERPT // 3 * 2}}}"
     found = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]")).select(
         F.regexp_extract("t", around, 0).alias("t"))
