@@ -5,14 +5,17 @@ part of it lies within ``max_edits`` (a share of the item's characters) of the w
 
 The CGK walk reads a text with a random step function: at step t it writes the character it stands on, and moves on
 by a random bit that depends on t and the character.  Texts at a small edit distance then agree at most steps, so a
-sample of steps is a locality-sensitive key.  A walk reads on from its start whatever the size of the window, so the
-steps of one walk serve windows of every item's size as long as they lie in the first STEPS steps.  Each document is
-walked from every word start, each item too; equal keys say which part of the document the item would cover, and a
-bit-parallel edit distance over that window (the item's size and the allowed edits to each side) decides.  The
-repetitions use independent walks.  An unchanged passage is found with certainty, in each repetition; one with up to
-a tenth of its characters edited is missed only if no word start of it keeps its sampled steps in any repetition
-(tests measure the recall against brute force).  Items of fewer than STEPS characters use shorter walks, and those
-of fewer than SHORT must stand in the document as they are.
+sample of steps is a locality-sensitive key.  A walk reads about a character every two steps.  Each document is walked
+from every word start and every character of a word of LONG_WORD bytes, each item too, up to the last start whose walk
+stays in the item; equal keys say which part of the document the item would cover, and a bit-parallel edit distance
+over that window (the item's size and the allowed edits to each side) decides.  The repetitions use independent walks.
+
+The steps follow from the item (``steps_for``): the longest of STEPS at which, with MAX_EDITS of the characters edited
+at random, the modelled recall still reaches TARGET.  A longer walk meets fewer wrong candidates, but an item has fewer
+starts with room for it and each is more easily hit by an edit.  Items of the same steps share their walks.  An
+unchanged passage is found with certainty, in each repetition; an edited one is missed only if no start of it keeps its
+sampled steps in any repetition (tests measure the recall by length and share of edits).  Items of fewer than SHORT
+bytes must stand in the document as they are.
 
 Items go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over the documents per block.
 
@@ -30,9 +33,13 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm.common import LOWER, _IS_SPACE, arrow_text, mix, row_slices, table
 
-#: Steps of a walk, sampled steps, independent repetitions.
-STEPS, SAMPLED, REPEATS = 56, 14, 2
-#: Steps for items of fewer than STEPS characters; shorter ones than this are looked up as they are.
+#: Steps of a walk to choose from, most sampled steps, independent repetitions.
+STEPS, SAMPLED, REPEATS = (32, 24, 16, 10, 6), 14, 2
+#: Recall of items with MAX_EDITS of their characters edited, by the model of ``steps_for``.
+TARGET = 0.98
+#: Bytes of a text from one independent start to the next; bytes from which on a word is walked from every character.
+APART, LONG_WORD = 6, 24
+#: Items of fewer bytes are looked up as they are.
 SHORT = 12
 #: Share of an item's characters that may be edited.
 MAX_EDITS = 0.1
@@ -87,6 +94,30 @@ def grams_of(text: str) -> list[str]:
     return [text[i:i + GRAM] for i in range(len(text) - GRAM + 1)]
 
 
+def starts_of(x: np.ndarray) -> np.ndarray:
+    """Where walks start in texts with single spaces, or zeros, between words."""
+    gap = np.flatnonzero((x == 32) | (x == 0))
+    begin, end = np.concatenate(([0], gap + 1)), np.append(gap, len(x))
+    long = np.flatnonzero(end - begin >= LONG_WORD)
+    inner = [np.arange(a, b) for a, b in zip(begin[long].tolist(), end[long].tolist())]
+    begin = np.concatenate((begin[end > begin], *inner))
+    return np.unique(begin[(x[begin] & 0xC0) != 0x80]) if inner else begin
+
+
+def steps_for(size: int, starts: np.ndarray, max_edits: float = MAX_EDITS, repeats: int = REPEATS) -> int:
+    """The longest walk that reaches TARGET for an item of ``size`` bytes.
+
+    A walk of s steps reads s / 2 characters and keeps its key with chance (1 - max_edits) ** (s / 2); starts APART
+    from each other are independent.  Repetitions read the same edits: each further one counts as half a walk.
+    """
+    for steps in STEPS:
+        read = steps // 2
+        room = min(int((starts + read <= size).sum()), max(0, size - read) // APART + 1)
+        if (1 - (1 - max_edits) ** read) ** (room * (repeats + 1) / 2) <= 1 - TARGET:
+            return steps
+    return STEPS[-1]
+
+
 class Walk:
     """One repetition: the random step function, the sampled steps, and the keys of the items."""
 
@@ -119,19 +150,26 @@ class Walk:
             at = at + self.moves[step][c]
         return mix(key), index
 
+    def last(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the walks that start at ``at`` stand at the last sampled step."""
+        for step in range(self.sampled[-1]):
+            at = at + self.moves[step][x[at]]
+        return at
+
     def learn(self, texts: list[bytes], steps: int) -> None:
-        """Key tables of the items: every word start with ``steps`` characters to go."""
+        """Key tables of the items: every start whose walk stays in its item."""
         joined, starts, owner, base = [], [], [], 0
         for k, t in enumerate(texts):
             b = np.frombuffer(t, np.uint8)
-            first = np.concatenate(([0], np.flatnonzero(b == 32) + 1))
-            first = first[first + steps <= len(b)]
+            first = starts_of(b)
             starts.append(first + base)
             owner.append(np.stack((np.full(len(first), k), first), 1))
             joined += [b, np.zeros(steps + 1, np.uint8)]
             base += len(b) + steps + 1
-        starts, owner = np.concatenate(starts), np.concatenate(owner)
-        key, _ = self.keys(np.concatenate(joined), starts)
+        starts, owner, x = np.concatenate(starts), np.concatenate(owner), np.concatenate(joined)
+        inside = x[self.last(x, starts)] > 0
+        starts, owner = starts[inside], owner[inside]
+        key, _ = self.keys(x, starts)
         self.gate = np.zeros(1 << (5 * self.early), bool)
         self.gate[self.codes] = True
         order = np.argsort(key, kind="stable")
@@ -151,10 +189,12 @@ class Finder:
         size = np.array(list(map(len, self.raw)), int)
         self.whole = np.flatnonzero(size < SHORT).tolist()
         self.walks = []
-        for steps, sampled, mine in ((STEPS, SAMPLED, np.flatnonzero(size >= STEPS)),
-                                     (SHORT, SHORT // 2, np.flatnonzero((size >= SHORT) & (size < STEPS)))):
+        steps_of = np.array([steps_for(len(t), starts_of(np.frombuffer(t, np.uint8)), max_edits, repeats)
+                             if len(t) >= SHORT else 0 for t in self.raw], int)
+        for steps in STEPS:
+            mine = np.flatnonzero(steps_of == steps)
             for r in range(repeats if len(mine) else 0):
-                walk = Walk(steps, sampled, 101 * steps + r)
+                walk = Walk(steps, min(SAMPLED, steps // 2 + 1), 101 * steps + r)
                 walk.learn([self.raw[k] for k in mine], steps)
                 walk.owner[:, 0] = mine[walk.owner[:, 0]]
                 self.walks.append(walk)
@@ -193,13 +233,9 @@ class Finder:
             parts += [part, np.zeros(1, np.uint8)]
             at += len(part) + 1
             bounds.append(at)
-        x = np.concatenate([*parts, np.zeros(STEPS + 1, np.uint8)])
+        x = np.concatenate([*parts, np.zeros(STEPS[0] + 1, np.uint8)])
         bounds = np.array(bounds)
-        begin = np.flatnonzero((x[:-1] == 32) | (x[:-1] == 0)) + 1
-        begin = np.concatenate(([0], begin))
-        begin = begin[(begin < bounds[-1])]
-        begin = begin[x[begin] > 32]
-        rows = self.candidates(x, begin)
+        rows = self.candidates(x, starts_of(x))
         out = []
         if len(rows):
             size = np.array(list(map(len, self.raw)))

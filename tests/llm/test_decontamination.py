@@ -84,3 +84,30 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = documents(spark, [" ".join(x for x in ITEMS if x)])
     found = {r.item_id for r in D.contaminated(docs, items_of(spark, ITEMS)).collect()}
     assert found == {k for k, t in enumerate(ITEMS) if t and t.strip()}
+
+
+def test_recall_of_changed_copies_by_length():
+    for low, high in ((12, 16), (16, 24), (24, 40), (40, 57), (57, 70), (70, 90), (90, 150)):
+        rng = np.random.default_rng(low)
+        items = [D.plain(prose(60, 7000 + 100 * low + k)[:rng.integers(low, high)]) for k in range(60)]
+        items = [t for t in items if len(t) >= low]
+        finder = D.Finder(list(enumerate(items)))
+        for rate in (0.05, 0.08, 0.1):
+            texts, want = [], set()
+            for k, item in enumerate(items):
+                texts.append(D.plain(prose(8, k) + " " + edited(item, rate, rng) + " " + prose(8, 99 + k)))
+                if 0 < distance(item, texts[-1]) <= int(len(item) * D.MAX_EDITS):
+                    want.add((k, k))
+            raw = [t.encode() for t in texts]
+            offsets = np.concatenate(([0], np.cumsum(list(map(len, raw)))))
+            got = {(d, i) for d, i, *_ in finder.hits(np.frombuffer(b"".join(raw), np.uint8), offsets)}
+            assert len(want & got) >= 0.95 * len(want), (low, rate)
+
+
+def test_items_with_few_word_starts():
+    rng = np.random.default_rng(3)
+    item = "".join(rng.choice(list("abcdefgh"), 90)) + " end"
+    copy = item[:5] + "X" + item[6:25] + item[26:45] + "YY" + item[46:65] + item[66:]
+    text = f"some words {copy} and more".encode()
+    finder = D.Finder([(7, item)])
+    assert [(d, i) for d, i, *_ in finder.hits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))] == [(0, 7)]
