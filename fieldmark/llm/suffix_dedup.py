@@ -11,10 +11,14 @@ Earlier means a smaller doc_id, or an earlier start in the same document; all st
    The longest previous factor of a start is the larger of its common prefixes with the previous and the next smaller
    place in suffix order.  It reaches MATCH exactly if the entry before it has the same first MATCH bytes, as within
    such a run the places ascend: that entry is the previous smaller place, and the next one is outside.
+   Only equality over MATCH bytes is needed, so it is all that is computed: no array of factor lengths is built.
+   A gram that stands more often than one range should hold (a sample of the places tells) is no key: each of its
+   windows is grouped by the hash of its MATCH bytes, and a task sends the first of equal ones only.
 4. Starts with such a factor are merged to byte spans and cut out of their documents.
 
 Hot passages: what one task holds many times is resolved there (only its first occurrence is sent on, the later ones
-are known to be repeated), so a group of n copies sends as many rows as there are tasks.
+are known to be repeated), so a group of n copies sends as many rows as there are tasks.  A passage whose edges stand in
+other text in every document makes hot grams with surroundings that all differ; these are split by window (3).
 
 Edge cases: a null text is empty and keeps the hash of no bytes; texts under MATCH bytes lose nothing; a null
 doc_id comes before all others; rows that repeat a doc_id come in the order of their texts' hash, and of identical rows
@@ -41,6 +45,10 @@ FLUSH, FLUSH_BYTES = 250_000, 4 << 20
 RANGE, RANGE_BYTES = 300_000, 2 << 20
 #: Bytes of whole grams that one suffix array covers.
 SUFFIX_BYTES = 1 << 19
+#: About the bytes of the windows of one place of a hot gram (hash, document, hash of the text, start of each).
+WINDOWS_BYTES = 1280
+#: One place in so many, at most, is looked at to find hot grams.
+LOOK = 64
 #: Occurrences in one task from which on a gram counts as hot there.
 HOT = 16
 
@@ -185,13 +193,57 @@ def _repeated_rows(bits: int, key, rows):
     return pa.table({"doc": doc[start], "th": th[start], "at": pa.ListArray.from_arrays(ends, pa.array(at))})
 
 
+def _looked_rows(one_in: int, gram: int, batches):
+    """The gram's hash at one in ``one_in`` of the places of repeated anchors."""
+    import pyarrow as pa
+
+    for batch in batches:
+        marked = batch.column(3)
+        data, offsets = arrow_text(batch.column(2))
+        places, cut = marked.values.to_numpy(), marked.offsets.to_numpy()
+        row, places = np.repeat(np.arange(len(cut) - 1), np.diff(cut)), places[cut[0]:cut[-1]]
+        salt = batch.column(0).to_numpy() ^ batch.column(1).to_numpy()
+        pick = mix((salt[row] + places).view(np.uint64)) % np.uint64(one_in) == 0
+        at = offsets[row[pick]] + places[pick]
+        for lo in range(0, len(at), 1 << 15):
+            body = data[at[lo:lo + (1 << 15), None] + np.arange(gram)].ravel()
+            yield pa.record_batch([pa.array(piece_hashes(body, np.full(len(body) // gram, gram)).view(np.int64))], names=["h"])
+
+
+def _hot_grams(near: DataFrame, match: int, gram: int) -> tuple[np.ndarray, int]:
+    """Hashes of the grams whose surroundings are too many for one range, ascending, and about how many these are.
+
+    The sample decides only how windows are grouped, for all places of a gram alike; the result does not depend on it.
+    """
+    most = max(2, int(RANGE_BYTES / (1.4 * match)))
+    one_in = max(1, min(LOOK, most // 200))
+    count = near.mapInArrow(partial(_looked_rows, one_in, gram), "h long").groupBy("h").count()
+    rows = count.where(F.col("count") > most // one_in).collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64)), one_in * sum(r[1] for r in rows)
+
+
 _AROUND = "range long, h binary, doc binary, th binary, start binary, size binary, text binary, known binary"
 
 
-def _around_rows(bits: int, match: int, gram: int, batches):
+def _windows(text: np.ndarray, size: np.ndarray, match: int):
+    """Per part of the pieces in ``text``: arrays (hash of a window, number of its piece, start in the piece)."""
+    ends, k = np.cumsum(size), 0
+    while k < len(size):
+        begin = int(ends[k] - size[k])
+        last = max(k + 1, int(np.searchsorted(ends, begin + PART, "right")))
+        count = size[k:last] - match + 1
+        own = np.repeat(np.arange(k, last), count)
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at = ends[own] - size[own] - begin + step
+        yield span_hash(prefix_hash(text[begin:int(ends[last - 1])]), at, at + match), own, step
+        k = last
+
+
+def _around_rows(bits: int, match: int, gram: int, hot: np.ndarray, hot_bits: int, batches):
     """The bytes that the windows of repeated anchors cover, by range of the gram's hash.
 
-    Of equal ones in a task only the first is sent on; ``known`` marks the others, whose windows all repeat it.
+    Of equal ones in a task only the first is sent on; ``known`` marks the others, whose windows all repeat it.  Around
+    hot grams it is the windows that go on, without their bytes, by range of their own hash.
     """
     def flush(held):
         h, doc, th, start, size = (np.concatenate([x[k] for x in held]) for k in range(5))
@@ -204,14 +256,41 @@ def _around_rows(bits: int, match: int, gram: int, batches):
         out = {k: [] for k in ("range", "h", "doc", "th", "start", "size", "text", "known")}
 
         def put(key, pick, known):
-            body = b"" if known else b"".join(raw[b:b + s] for b, s in zip(base[pick].tolist(), size[pick].tolist()))
+            body = b"" if known is not False else b"".join(raw[b:b + s] for b, s in zip(base[pick].tolist(), size[pick].tolist()))
             for k, v in zip(out, (int(key), planes(h[pick]), planes(doc[pick]), planes(th[pick]), planes(start[pick]),
                                   planes(size[pick]), body, b"1" if known else b"")):
                 out[k].append(v)
 
         raw, later, first = text.tobytes(), order[~new], order[new]
-        for lo in range(0, len(later), RANGE):
-            put((1 << bits) + int(mix(h[later[lo:lo + 1]])[0] % np.uint64(1 << bits)), later[lo:lo + RANGE], True)
+
+        def put_known(pick):
+            for lo in range(0, len(pick), RANGE):
+                put((1 << bits) + int(mix(h[pick[lo:lo + 1]])[0] % np.uint64(1 << bits)), pick[lo:lo + RANGE], True)
+
+        put_known(later)
+        split = np.isin(h[first], hot)
+        if split.any():
+            mine, first = np.sort(first[split]), first[~split]
+            body = text[np.repeat(base[mine] - (np.cumsum(size[mine]) - size[mine]), size[mine]) + np.arange(int(size[mine].sum()))]
+            cool = h, doc, th, start, size
+            h, own, step = (np.concatenate(c) for c in zip(*_windows(body, size[mine], match)))
+            doc, th, start, size = doc[mine][own], th[mine][own], start[mine][own] + step, np.full(len(own), match)
+            order = np.lexsort((start, th, doc, h))
+            new = np.ones(len(order), bool)
+            new[1:] = h[order][1:] != h[order][:-1]
+            lead, again = order[new], np.sort(order[~new])
+            if len(again):  # neighbouring ones of one piece make one span
+                far = np.ones(len(again), bool)
+                far[1:] = (again[1:] != again[:-1] + 1) | (own[again[1:]] != own[again[:-1]])
+                ends = again[np.append(np.flatnonzero(far)[1:], len(again)) - 1]
+                again = again[far]
+                size[again] += start[ends] - start[again]
+                put_known(again)
+            key = _range_of(h[lead], hot_bits)  # ascending: the hash came first in the order
+            edge = np.searchsorted(key, np.arange((1 << hot_bits) + 1))
+            for k in np.unique(key):
+                put((2 << bits) + k, lead[edge[k]:edge[k + 1]], None)
+            h, doc, th, start, size = cool
         first = first[np.argsort(h[first], kind="stable")]
         key = _range_of(h[first], bits)
         edge = np.searchsorted(key, np.arange((1 << bits) + 1))
@@ -276,7 +355,11 @@ def _span_rows(bits: int, match: int, key, rows):
         for k, kind in zip(cols, (np.uint64, np.int64, np.int64, np.int64, np.int64)):
             cols[k].append(unplanes(rows[k][i].as_py(), kind))
     h, doc, th, start, size = (np.concatenate(v) for v in cols.values())
-    if key[0].as_py() >= 1 << bits:
+    if key[0].as_py() >= 2 << bits:  # windows of hot grams: all but the first of equal ones
+        order = np.lexsort((start, th, doc, h))
+        again = order[1:][h[order][1:] == h[order][:-1]]
+        spans = (doc[again], th[again], start[again], start[again] + match)
+    elif key[0].as_py() >= 1 << bits:
         spans = (doc, th, start, start + size)
     else:
         text = np.frombuffer(b"".join(rows["text"][i].as_py() for i in range(rows.num_rows)), np.uint8)
@@ -376,7 +459,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = written(keyed.join(repeated, ["doc", "th"]).select("doc", "th", "text", "at"), "near")
     found = near.agg(F.sum(F.size("at"))).first()[0] or 0
     around_bits = max(0, int(found * 1.4 * match / RANGE_BYTES).bit_length())
-    around = near.mapInArrow(partial(_around_rows, around_bits, match, gram), _AROUND)
+    hot, places = _hot_grams(near, match, gram)
+    hot_bits = int(places * WINDOWS_BYTES / (4 * RANGE_BYTES)).bit_length()
+    around = near.mapInArrow(partial(_around_rows, around_bits, match, gram, hot, hot_bits), _AROUND)
     spans = around.groupBy("range").applyInArrow(partial(_span_rows, around_bits, match),
                                                  "doc long, th long, starts array<long>, ends array<long>")
     spans = spans.groupBy("doc", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"),

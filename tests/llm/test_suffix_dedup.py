@@ -63,3 +63,26 @@ def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 200).astype(np.uint64)
     for width in (1, 2, 7, 77):
         assert S.sliding_min(x, width).tolist() == [x[i:i + width].min() for i in range(len(x) - width + 1)]
+
+
+def test_passage_in_ever_new_surroundings(spark, monkeypatch, tmp_path):
+    real, largest = S._span_rows, {}
+    for name, value in (("FLUSH_BYTES", 20_000), ("RANGE_BYTES", 20_000)):
+        monkeypatch.setattr(S, name, value)
+    passage = prose(30, 5)
+    for n in (100, 500):
+        seen = tmp_path / str(n)
+        seen.mkdir()
+        folder = str(seen)
+
+        def recorded(bits, match, key, rows):
+            import uuid
+
+            with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+                f.write(str(sum(sum(len(x.as_py()) for x in rows[c]) for c in ("h", "doc", "th", "start", "size", "text"))))
+            return real(bits, match, key, rows)
+
+        monkeypatch.setattr(S, "_span_rows", recorded)
+        check(spark, [prose(30, 3 * k, 3000) + passage + prose(30, 3 * k + 1, 3000) for k in range(n)] + mixed(3, 20))
+        largest[n] = max(int(p.read_text()) for p in seen.iterdir())
+    assert largest[500] <= 2 * largest[100]
