@@ -7,14 +7,12 @@ Earlier means a smaller doc_id, or an earlier start in the same document; all st
 2. Anchors are grouped by their gram, cut into ranges of the hash.  A gram that occurs once in the table rules out
    its windows.  Equal texts count as one here: the first of them is judged, later copies go whole.
 3. What remains (repeated grams, with the bytes that their windows cover) is grouped by gram again.  Within a range of
-   grams a suffix array over these bytes is built by prefix doubling up to MATCH bytes, ties by place in the table.
-   The longest previous factor of a start is the larger of its common prefixes with the previous and the next smaller
-   place in suffix order.  It reaches MATCH exactly if the entry before it has the same first MATCH bytes, as within
-   such a run the places ascend: that entry is the previous smaller place, and the next one is outside.
-   Only equality over MATCH bytes is needed, so it is all that is computed: no array of factor lengths is built.
+   grams the starts are ordered by their first MATCH bytes (prefix doubling), ties by place in the table.  A start has
+   an earlier match exactly if the entry before it has the same MATCH bytes.  Only this equality is computed: no array
+   of longest previous factors is built, since a factor would matter only in whether it reaches MATCH.
    A gram that stands more often than one range should hold (a sample of the places tells) is no key: each of its
    windows is grouped by the hash of its MATCH bytes, and a task sends the first of equal ones only.
-4. Starts with such a factor are merged to byte spans and cut out of their documents.
+4. Starts with an earlier match are merged to byte spans and cut out of their documents.
 
 Hot passages: what one task holds many times is resolved there (only its first occurrence is sent on, the later ones
 are known to be repeated), so a group of n copies sends as many rows as there are tasks.  A passage whose edges stand in
@@ -325,7 +323,7 @@ def _around_rows(bits: int, match: int, gram: int, hot: np.ndarray, hot_bits: in
 def suffix_runs(text: np.ndarray, starts: np.ndarray, place: np.ndarray, match: int) -> np.ndarray:
     """For each start, whether its ``match`` bytes have an earlier occurrence (a smaller ``place``) among the starts.
 
-    A suffix array of the text by prefix doubling, cut at ``match`` bytes; see the module for the factors.
+    A suffix array of the text by prefix doubling, cut at ``match`` bytes; no factor lengths are computed.
     """
     padded = np.concatenate((text, np.zeros(match + 8, np.uint8)))
     n = len(text)
