@@ -333,15 +333,23 @@ def op10(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the smallest doc_id stays.
 
-    Documents without words stand alone.  Rows that repeat an id and its set of shingles count as copies.
+    A row without an id stays only where no row of its group has one.  Rows that share an id are told apart by their
+    texts, of which the one with the smallest hash stays; of identical rows one stays.  Rows without words all stay.
     """
-    found = written(jaccard_components(docs), "components")
-    keep = found.where("doc_id IS NULL OR doc_id = component_id")
-    kept = docs.join(keep.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")),
-                     "left_semi")
-    if keep.where("n_shingles > 0").groupBy("doc_id", "n_shingles", "sig").count().where("count > 1").limit(1).count():
+    key = F.xxhash64(F.col("text").cast("string"))
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    rows = docs.where(worded)
+    # groups of texts, whatever the ids of their rows
+    found = jaccard_components(rows.select(key.alias("key"), "text"), "key")
+    groups = found.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_root"))
+    ids = rows.groupBy(key.alias("_key"), F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    first = ids.groupBy("_key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_rows")).alias("f"))
+    lead = written(first.join(groups, "_key").groupBy("_root").agg(
+        F.min(F.struct("f.none", "f._id", "_key", "f._rows")).alias("l")).select("l._id", "l._key", "l._rows"), "leaders")
+    kept = rows.join(lead.select("_id", "_key"), (key == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if lead.where("_rows > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    return kept.unionByName(docs.where(~worded))
 
 
 ORACLE = """WITH RECURSIVE w AS (

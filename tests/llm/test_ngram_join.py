@@ -72,3 +72,20 @@ def test_stage_keeps_one_of_each_group(spark):
 def test_empty_table(spark):
     docs = documents(spark, ["a"]).limit(0)
     assert J.jaccard_components(docs).count() == 0 and J.stage(spark, docs, "").count() == 0
+
+
+def test_stage_with_null_and_repeated_ids(spark):
+    a, b, c = prose(40, 1), prose(40, 2), prose(40, 3)
+    near = " ".join(a.split()[:-1] + ["other"])
+    rows = [(None, a), (5, near), (None, near),  # a group with one id: 5 stays
+            (None, b), (None, b + " "), (None, b),  # only null ids: one row stays
+            (7, c), (7, c.upper()), (7, "  " + c),  # an id repeated with the same set: one row stays
+            (5, c + " "),  # the smallest id of the group of c, and the id of another group's leader
+            (9, a), (9, None), (None, ""), (None, "")]
+    kept = J.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    left = [(r.doc_id, r.text) for r in kept]
+    worded = [x for x in left if x[1]]
+    assert len(worded) == 3
+    assert (5, near) in worded and (5, c + " ") in worded
+    assert [t.strip() for i, t in worded if i is None] == [b]
+    assert sorted(x for x in left if not x[1] and x[0] is None) == [(None, "")] * 2 and (9, None) in left
