@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from fieldmark.llm import (
-    chat_windows, decontamination, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, url_rules,
-    weak_labels,
+    chat_windows, decontamination, html_extraction, lexical_search, ngram_join, packing, pii, quality_rules, sharding,
+    suffix_dedup, url_rules, weak_labels, whitening,
 )
 
 QUERIES = {
@@ -18,10 +18,14 @@ QUERIES = {
     "op6_packing": packing.op6,
     "op9_quality_rules": quality_rules.op9,
     "op10_ngram_join": ngram_join.op10,
+    "op11_lexical_search": lexical_search.op11,
+    "op12_html_extraction": html_extraction.op12,
+    "op13_whitening": whitening.op13,
 }
 ORACLES = {
     "op5_chat_windows": chat_windows.ORACLE,
     "op3_sharding": sharding.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }
