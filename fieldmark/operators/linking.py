@@ -2,19 +2,13 @@
 
 Cascade per span (on its folded form ``n``):
 
-1. exact: ``n`` is a dictionary surface (broadcast equi-join);
-2. containment, one longest-first pass over two candidate kinds:
-   * phrase: a surface occurs in ``n`` between word boundaries.  Instead of a
-     theta join (span x surface with a regex), every substring of ``n`` that
-     starts and ends on a word boundary and is no longer than the longest
-     surface is generated and equi-joined to the surfaces;
-   * reverse: ``n`` (>= 4 characters) is a substring of a surface.  All such
-     substrings of the dictionary are precomputed once (a few thousand rows)
-     and equi-joined to ``n``;
-   the winner is the longest surface, ties to the earliest dictionary entry;
-3. fuzzy: best ``difflib`` ratio >= 0.9 (ties: largest surface), candidates
-   limited exactly by the ratio's length bound 2*min/(a+b) and produced by an
-   equi-join on allowed lengths; the ratio itself runs in an Arrow UDF.
+1. exact: ``n`` is a dictionary surface (equi-join);
+2. containment, one longest-first pass over two candidate kinds
+   (``containment``): a surface occurs in ``n`` between word boundaries, or
+   ``n`` (>= 4 characters) is a substring of a surface; the winner is the
+   longest surface, ties to the earliest dictionary entry;
+3. fuzzy: best ``difflib`` ratio >= 0.9 (ties: largest surface), by a
+   similarity join on multisets of characters (``similarity``).
 
 Only distinct folded spans go through the cascade, each stage receiving the
 spans the previous one left unresolved; results are joined back to the spans.
@@ -27,64 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.text import fold_distinct
-from fieldmark.sources.dimensions import FUZZY_CUTOFF, REVERSE_CONTAINMENT_MIN_LEN
+from fieldmark.operators.containment import containment_hits, phrase_hits, reverse_hits  # noqa: F401
+from fieldmark.operators.similarity import fuzzy_hits
+
 
 def build_lookup(dictionary: DataFrame) -> DataFrame:
     """Folded surface -> key; the last entry wins on a collision, the first
     position is kept for the longest-first tie-break (dict semantics)."""
     d = fold_distinct(dictionary, "surface", "surface")
-    # a dimension: small, reused by every stage of the cascade and by the size
-    # checks, so it is cached (recomputed from lineage if an executor is lost)
     return (d.groupBy("surface")
             .agg(F.max_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
             .where(F.col("surface") != "")
-            .withColumn("len", F.length("surface"))).cache()
-
-
-def _boundary_udf(max_len: int):
-    """Arrow UDF: distinct substrings of a string that start and end on a regex
-    word boundary (Python ``re`` semantics, as in the phrase test) and are at
-    most ``max_len`` characters long.  Linear in the text length."""
-    def substrings(col):
-        import re
-
-        import pandas as pd
-
-        edge = re.compile(r"\b")
-        out = []
-        for n in col:
-            if n is None:
-                out.append([])
-                continue
-            b = [m.start() for m in edge.finditer(n)]
-            res = set()
-            for k, i in enumerate(b):
-                for j in b[k + 1:]:
-                    if j - i > max_len:
-                        break
-                    res.add(n[i:j])
-            out.append(sorted(res))
-        return pd.Series(out)
-
-    return F.pandas_udf(substrings, "array<string>")
-
-
-def boundary_substrings(df: DataFrame, n_col: str, max_len: int, out: str = "sub") -> DataFrame:
-    """Explode the word-boundary substrings of ``n_col`` (candidates for the phrase join)."""
-    return df.select("*", F.explode(_boundary_udf(max_len)(F.col(n_col))).alias(out))
-
-
-def reverse_table(lookup: DataFrame, min_len: int = REVERSE_CONTAINMENT_MIN_LEN) -> DataFrame:
-    """Every substring (>= min_len chars) of every surface with its surface's (len, ord, key)."""
-    s = F.col("surface")
-    L = F.col("len")
-    subs = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(L - min_len + 1, F.lit(1))),
-        lambda i: F.transform(F.sequence(F.lit(min_len), F.greatest(L - i + 1, F.lit(min_len))),
-                              lambda k: F.substring(s, i, k))))
-    return (lookup.where(L >= min_len)
-            .select(F.explode(F.array_distinct(subs)).alias("sub"), "len", "ord", "canonical")
-            .where(F.length("sub") >= min_len)).cache()
+            .withColumn("len", F.length("surface")))
 
 
 def _best(df: DataFrame, key: str) -> DataFrame:
@@ -94,66 +42,15 @@ def _best(df: DataFrame, key: str) -> DataFrame:
         F.max(F.struct(F.col("len"), -F.col("ord"))).alias("_rank"))
 
 
-def phrase_hits(spans_n: DataFrame, lookup: DataFrame, max_len: int) -> DataFrame:
-    """T4 candidates ``(n, len, ord, canonical)``."""
-    cand = boundary_substrings(spans_n.select("n"), "n", max_len)
-    return cand.join(lookup, F.col("sub") == F.col("surface")).select("n", "len", "ord", "canonical")
-
-
-def reverse_hits(spans_n: DataFrame, lookup: DataFrame) -> DataFrame:
-    """T5 candidates ``(n, len, ord, canonical)``."""
-    rt = reverse_table(lookup)
-    s = spans_n.where(F.length("n") >= REVERSE_CONTAINMENT_MIN_LEN)
-    return s.join(rt, s.n == rt.sub).select("n", "len", "ord", "canonical")
-
-
-def _ratio_udf():
-    def ratio(a, b):
-        import difflib
-
-        import pandas as pd
-
-        out = []
-        sm = difflib.SequenceMatcher()
-        for x, y in zip(a, b):
-            sm.set_seqs(x, y)  # like get_close_matches: seq1 = candidate, seq2 = word
-            out.append(sm.ratio())
-        return pd.Series(out, dtype="float64")
-
-    return F.pandas_udf(ratio, "double")
-
-
-def fuzzy_hits(spans_n: DataFrame, lookup: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """Best ratio >= cutoff per span; ties go to the lexicographically largest surface.
-
-    ratio <= 2*min(a,b)/(a+b), so only surfaces whose length b satisfies
-    cutoff*(a+b) <= 2*min(a,b) can reach the cutoff: the allowed lengths are
-    generated per span and equi-joined to the surfaces (no cross product).
-    """
-    a = F.length("n")
-    lo = F.ceil(a * cutoff / (2 - cutoff)).cast("int")
-    hi = F.floor(a * (2 - cutoff) / cutoff).cast("int")
-    cand = spans_n.where(a > 0).select("n", F.explode(F.sequence(F.greatest(lo, F.lit(1)), hi)).alias("blen"))
-    lk = lookup.select("surface", "canonical", F.col("len").alias("blen"))
-    pairs = cand.join(lk, "blen")
-    pairs = pairs.where(2.0 * F.least(F.length("n"), F.col("blen")) / (F.length("n") + F.col("blen")) >= cutoff)
-    scored = pairs.select("n", "surface", "canonical", _ratio_udf()(F.col("surface"), F.col("n")).alias("score"))
-    return (scored.where(F.col("score") >= cutoff)
-            .groupBy("n").agg(F.max_by("canonical", F.struct("score", "surface")).alias("canonical"),
-                              F.max(F.struct("score", "surface")).alias("_best")))
-
-
 def resolve_distinct(spans_n: DataFrame, lookup: DataFrame, containment: bool = True,
                      fuzzy: bool = True) -> DataFrame:
     """T7 on distinct folded spans: ``(n, key, path)`` with path exact / contain / fuzzy / NULL."""
     lk = lookup
-    max_len = lookup.agg(F.max("len")).first()[0] or 0
     ex = spans_n.join(lk.select(F.col("surface").alias("n"), F.col("canonical").alias("k_exact")), "n", "left")
     out = ex.select("n", "k_exact")
     if containment:
         todo = out.where(F.col("k_exact").isNull() & (F.col("n") != "")).select("n")
-        hits = phrase_hits(todo, lookup, max_len).unionByName(reverse_hits(todo, lookup))
-        best = _best(hits, "n").select("n", F.col("canonical").alias("k_contain"))
+        best = _best(containment_hits(todo, lookup), "n").select("n", F.col("canonical").alias("k_contain"))
         out = out.join(best, "n", "left")
     else:
         out = out.withColumn("k_contain", F.lit(None).cast("string"))

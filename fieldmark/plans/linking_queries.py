@@ -52,8 +52,7 @@ def t03_exact_link(spark, sf_dir):
 def t04_phrase_link(spark, sf_dir):
     """T4: longest dictionary surface found inside the span on word boundaries."""
     lookup = build_lookup(dictionary_df(spark))
-    max_len = lookup.agg(F.max("len")).first()[0]
-    hits = phrase_hits(_distinct_n(spark, sf_dir), lookup, max_len)
+    hits = phrase_hits(_distinct_n(spark, sf_dir), lookup)
     return _best(hits, "n").select("n", F.col("canonical").alias("key"))
 
 
