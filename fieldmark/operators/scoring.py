@@ -31,13 +31,6 @@ def score_pairs(pairs: DataFrame, pred_col: str = "prediction", gold_col: str =
     )
 
 
-def details_main(scored: DataFrame) -> DataFrame:
-    """S4 (main bench): row_id, text and every metric."""
-    from fieldmark.functions.metrics import METRIC_FIELDS
-
-    return scored.select("run", "row_id", "text", *METRIC_FIELDS, "exact_match", "schema_valid")
-
-
 def details_quant(scored: DataFrame) -> DataFrame:
     """S4 (precision bench): row_id, text, type, gold, prediction, exact_match, schema_valid."""
     return scored.select("run", "row_id", "text", "type", "gold", "prediction", "exact_match", "schema_valid")

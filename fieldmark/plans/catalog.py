@@ -36,8 +36,12 @@ ROUND9 = {
     'p12_latency_censoring': ['latency_s'],
     'p17_to_float': ['value'],
     's02_read_predictions': ['latency_total'],
+    's03_prediction_files': ['latency_total'],
+    's04_details_files': ['drivers_recall', 'unknown_terms_precision'],
+    's05_summary_csv': ['intent_correct', 'other_recall', 'mode_correct', 'product_id_correct', 'drivers_precision', 'drivers_recall', 'drivers_change_accuracy', 'targets_precision', 'targets_recall', 'lever_correct', 'goal_correct', 'target_correct', 'unknown_terms_precision', 'unknown_terms_recall', 'exact_match_rate', 'schema_valid_rate', 'latency_median_s', 'latency_p95_s'],
     's05_summary_csv_order': ['exact_match_rate'],
     'w01_leaderboard': ['exact_match_rate'],
+    'w06_precision_rows': ['exact_match_rate', 'latency_median_s', 'previous_em', 'step_points'],
     'w06_precision_impact': ['first_em', 'last_em', 'delta_points'],
 }
 

@@ -613,5 +613,43 @@ diffs AS (
 )"""
 
 
+# The differences as text: one row per differing field, with the JSON of both sides.
+DIFF_TEXT_CTES = """
+gold_driver_text AS (SELECT row_id, '{' || string_agg('"' || k || '": {"type": "' || ctype || '", "value": ' || CAST(cvalue AS VARCHAR)
+    || ', "unit": "' || cunit || '", "direction": "' || cdir || '"}', ', ' ORDER BY pos) || '}' AS t FROM gold_drivers GROUP BY row_id),
+first_pos AS (SELECT r, row_id, k, min(pos) AS first FROM pred_drivers GROUP BY r, row_id, k),
+pred_driver_text AS (SELECT p.r, p.row_id, '{' || string_agg('"' || p.k || '": {"type": "' || ctype || '", "value": '
+    || CAST(cvalue AS VARCHAR) || ', "unit": "' || cunit || '", "direction": "' || cdir || '"}', ', ' ORDER BY f.first) || '}' AS t
+  FROM pd_last p JOIN first_pos f ON f.r = p.r AND f.row_id = p.row_id AND f.k = p.k GROUP BY p.r, p.row_id),
+gold_target_text AS (SELECT row_id, '["' || string_agg(t, '", "' ORDER BY t) || '"]' AS t FROM gold_targets GROUP BY row_id),
+pred_target_text AS (SELECT r, row_id, '["' || string_agg(t, '", "' ORDER BY t) || '"]' AS t FROM pred_targets GROUP BY r, row_id),
+gold_term_text AS (SELECT row_id, '["' || string_agg(u, '", "' ORDER BY u) || '"]' AS t FROM gold_terms GROUP BY row_id),
+pred_term_text AS (SELECT r, row_id, '["' || string_agg(u, '", "' ORDER BY u) || '"]' AS t FROM pred_terms GROUP BY r, row_id),
+fielded AS (SELECT run, row_id, string_split(fields, '|') AS fs FROM diffs WHERE fields <> ''),
+each_field AS (SELECT run, row_id, fs[i] AS field, i - 1 AS pos FROM (
+    SELECT run, row_id, fs, unnest(range(1, len(fs) + 1)) AS i FROM fielded)),
+difflines AS (
+  SELECT e.run, e.row_id, e.pos, e.field,
+    CASE e.field WHEN 'intent' THEN coalesce(j.g_intent, 'None')
+      WHEN 'mode' THEN coalesce('"' || j.g_mode || '"', 'null') WHEN 'product_id' THEN coalesce('"' || j.g_product || '"', 'null')
+      WHEN 'drivers' THEN coalesce(gd.t, '{}') WHEN 'targets' THEN coalesce(gt.t, '[]')
+      WHEN 'lever' THEN coalesce('"' || j.g_lever || '"', 'null') WHEN 'target' THEN coalesce('"' || j.g_target || '"', 'null')
+      WHEN 'goal' THEN CASE WHEN j.g_has_goal THEN '{"type": "' || j.g_gtype || '", "value": ' || CAST(j.g_gvalue AS VARCHAR)
+        || ', "unit": "' || j.g_gunit || '", "direction": "' || j.g_gdir || '"}' ELSE 'null' END
+      ELSE coalesce(gu.t, '[]') END AS expected,
+    CASE e.field WHEN 'intent' THEN coalesce(j.p_intent, 'None')
+      WHEN 'mode' THEN coalesce('"' || j.p_mode || '"', 'null') WHEN 'product_id' THEN coalesce('"' || j.p_product || '"', 'null')
+      WHEN 'drivers' THEN coalesce(pd.t, '{}') WHEN 'targets' THEN coalesce(pt.t, '[]')
+      WHEN 'lever' THEN coalesce('"' || j.p_lever || '"', 'null') WHEN 'target' THEN coalesce('"' || j.p_target || '"', 'null')
+      WHEN 'goal' THEN CASE WHEN j.p_has_goal THEN '{"type": "' || j.p_gtype || '", "value": ' || CAST(j.p_gvalue AS VARCHAR)
+        || ', "unit": "' || j.p_gunit || '", "direction": "' || j.p_gdir || '"}' ELSE 'null' END
+      ELSE coalesce(pu2.t, '[]') END AS got
+  FROM each_field e JOIN joined j ON j.run = e.run AND j.row_id = e.row_id
+  LEFT JOIN gold_driver_text gd ON gd.row_id = j.row_id LEFT JOIN pred_driver_text pd ON pd.r = j.r AND pd.row_id = j.row_id
+  LEFT JOIN gold_target_text gt ON gt.row_id = j.row_id LEFT JOIN pred_target_text pt ON pt.r = j.r AND pt.row_id = j.row_id
+  LEFT JOIN gold_term_text gu ON gu.row_id = j.row_id LEFT JOIN pred_term_text pu2 ON pu2.r = j.r AND pu2.row_id = j.row_id
+)"""
+
+
 def diff_sql(select: str) -> str:
     return with_ctes(GOLD_CTES, PRED_CTES, SCORE_CTES, DIFF_CTES, select=select)

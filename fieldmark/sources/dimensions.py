@@ -180,4 +180,5 @@ def variant_rows():
 
 
 def variants_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(variant_rows(), "base string, variant string, ord int")
+    rows = [(base, v, i, k) for k, (base, vs) in enumerate(VARIANTS) for i, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "base string, variant string, ord int, base_ord int")

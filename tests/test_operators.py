@@ -107,23 +107,6 @@ def test_grounding_block_matches_system_prompt(spark):
     assert default_system_prompt() == SYSTEM_PREAMBLE + block
 
 
-def test_report_written_in_order(spark, tmp_path):
-    from fieldmark.operators.report import error_samples, precision_impact, report_lines
-    from fieldmark.operators.summary import summarize
-    from fieldmark.plans.scoring_queries import scored
-    from fieldmark.sources.dimensions import runs_df, variants_df
-    from fieldmark.sources.io import write_report
-
-    sc = scored(spark, SF_SMALL)
-    summary = summarize(sc, runs_df(spark))
-    lines = report_lines(summary, precision_impact(summary, variants_df(spark)), error_samples(sc, 4))
-    write_report(lines, str(tmp_path / "report"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
-    rows = text.splitlines()
-    assert len(rows) == lines.count()
-    assert rows[0].startswith("| 1 | ") and any(r.startswith("### ") for r in rows)
-
-
 def test_plans_have_no_cross_products(spark):
     import __spark_entry__ as entry
 
