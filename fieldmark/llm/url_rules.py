@@ -3,8 +3,10 @@
 A listed rule is a host and the start of a path; it fits its host and all subdomains, and the longest that fits
 judges the url.  For the others, rules are mined: the labelled pages (judged by a listed rule, else by the label
 table) become token sets, FP-growth finds the token combinations that come with a label, and a combination becomes
-a rule if its support and confidence suffice and no part of it has as high a confidence for the same label.  Rules
-match through an inverted index: each stands under its rarest token, a page looks up its tokens, and what it finds
+a rule if its support and confidence suffice and no part of it has as high a confidence for the same label.  No rule
+rests on fewer than LEAST_PAGES pages.  Tokens that stand in exactly the same labelled pages are one item, under the
+smallest of them: a combination of several is pruned anyway, and a long url that is repeated would else give every
+subset of its tokens; a page that holds any of them holds the item.  Rules match through an inverted index: each stands under its rarest token, a page looks up its tokens, and what it finds
 is checked in full.  The rule of highest confidence (then support, then size, then tokens) judges; without one a
 page is allowed.
 
@@ -32,6 +34,8 @@ LISTED = (
 #: Share of the labelled pages that a rule's tokens and label must hold, and share of the pages with its tokens that
 #: must have its label.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.9
+#: Pages that a rule rests on, at least, however small the table.
+LEAST_PAGES = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,8 +67,31 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
                                      parts(F.regexp_replace(query, "=[^&]*", ""), "&", "query:")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def merged_tokens(labelled: DataFrame) -> DataFrame:
+    """(token, item): tokens in exactly the same labelled pages share an item."""
+    at = labelled.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").alias("h"))
+    where = at.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"),
+                                    F.bit_xor("h").alias("x"))
+    return where.groupBy("n", "s", "x").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).select(
+        F.explode("tokens").alias("token"), "item")
+
+
+def with_items(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """``pages`` with their tokens replaced by the items (token, item); a token without one goes."""
+    sets = pages.select("tokens").distinct()
+    found = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token").groupBy("tokens").agg(
+        F.sort_array(F.collect_set("item")).alias("items"))
+    return pages.join(found, "tokens", "left").withColumn(
+        "tokens", F.coalesce("items", F.array().cast("array<string>"))).drop("items")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+               least: int = 1) -> DataFrame:
     """(rule_id, tokens, label, confidence, support) from rows (tokens, label); pruned, see the module."""
+    # more than all rows is never reached: no rules then
+    min_support = max(min_support, (least - 0.5) / max(labelled.count(), 1))
+    if min_support > 1:
+        labelled, min_support = labelled.limit(0), 1.0
     items = labelled.select(F.concat(F.col("tokens"), F.array(F.concat(F.lit("label="), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith("label=")).select(
@@ -99,14 +126,17 @@ def judge_urls(pages: DataFrame, labels: DataFrame, listed=LISTED) -> DataFrame:
     base = written(parted.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"),
                                  url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
     given = labels.select(F.col("page_id").alias("_id"), F.col("label").alias("_label"))
-    labelled = base.join(given, F.col("page_id") == F.col("_id"), "left").select(
-        "tokens", F.coalesce("verdict", "_label").alias("label")).where("label IS NOT NULL AND size(tokens) > 0")
-    counts = base.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    open_pages = base.where("verdict IS NULL AND page_id IS NOT NULL AND size(tokens) > 0")
+    labelled = written(base.join(given, F.col("page_id") == F.col("_id"), "left").select(
+        "tokens", F.coalesce("verdict", "_label").alias("label")).where("label IS NOT NULL AND size(tokens) > 0"), "labelled")
+    open_pages = base.where("verdict IS NULL AND page_id IS NOT NULL AND size(tokens) > 0").select("page_id", "tokens")
     if not labelled.limit(1).count():
         matched = open_pages.select(F.col("page_id").alias("_id"), F.lit(None).cast("string").alias("label")).limit(0)
     else:
-        matched = match_rules(open_pages, mine_rules(labelled), counts).withColumnRenamed("page_id", "_id")
+        items = written(merged_tokens(labelled), "items")
+        rules = mine_rules(with_items(labelled, items), least=LEAST_PAGES)
+        open_pages = written(with_items(open_pages, items), "open")
+        counts = open_pages.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        matched = match_rules(open_pages, rules, counts).withColumnRenamed("page_id", "_id")
     return base.join(matched, F.col("page_id") == F.col("_id"), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", "label", F.lit("allow")).alias("verdict"))
 

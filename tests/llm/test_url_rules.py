@@ -74,3 +74,43 @@ def test_judged_by_list_then_by_rules(spark):
         assert got[200 + i].rule == rule and got[200 + i].verdict == (verdict or "allow")
     assert U.judge_urls(df.limit(0), labels).count() == 0
     assert {r.verdict for r in U.judge_urls(df.where("page_id < 200"), labels.limit(0)).collect()} == {"allow"}
+
+
+def labelled_pages(spark, rows):
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    return pages, spark.createDataFrame([(i, l) for i, (_, l) in enumerate(rows) if l], "page_id long, label string")
+
+
+def test_long_urls_end(spark):
+    """200 tokens in one url, and such a url in a third of all rows: one item, not every subset of its tokens."""
+    one = "http://long.net/" + "/".join(f"p{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}" for i in range(200))
+    hot = one.replace("long", "hot").replace("/p", "/q")
+    rows = [(one, "block")] + [(hot, "block")] * 60 + [(f"http://good.net/en/{i}", "allow") for i in range(100)]
+    rows += [(hot + "/more", None), ("http://hot.net/qaku", None), ("http://good.net/en/x", None), (one, None)]
+    pages, labels = labelled_pages(spark, rows)
+    got = [r.verdict for r in U.judge_urls(pages, labels).orderBy("page_id").collect()]
+    assert got[1:61] == ["block"] * 60 and got[61:161] == ["allow"] * 100
+    assert got[161:] == ["block", "block", "allow", "allow"]  # a single labelled page makes no rule
+
+
+def test_judged_as_by_all_rules(spark):
+    """The whole judgement against rules of all token sets, tokens in equal pages among them."""
+    rows = []
+    for i in range(120):
+        kind = i % 6
+        url = ["http://bad.net/x/y/{}", "http://ads.net/x", "http://good.net/x/z", "http://mixed.net/y", "http://rare{}.net/w", "http://bad.net/z"][kind]
+        label = "block" if kind in (0, 1, 5) or kind == 3 and i % 4 else "allow"
+        rows.append((url.format("v" * (i % 9)), label if i % 3 else None))
+    pages, labels = labelled_pages(spark, rows)
+    host, path = U.host_and_path(F.col("url"))
+    parted = pages.withColumn("h", host).withColumn("p", path)
+    tokens = {r.page_id: r.t for r in parted.select("page_id", U.url_tokens(F.col("url"), F.col("h"), F.col("p")).alias("t")).collect()}
+    known = [(tokens[i], l) for i, (_, l) in enumerate(rows) if l]
+    rules = []
+    for s, label in mined(known, max(U.MIN_SUPPORT, U.LEAST_PAGES / len(known)), U.MIN_CONFIDENCE):
+        held = [l for t, l in known if set(s) <= set(t)]
+        rules.append((-held.count(label) / len(held), -held.count(label), len(s), label, s))
+    got = {r.page_id: r.verdict for r in U.judge_urls(pages, labels).collect()}
+    for i in range(len(rows)):
+        fits = sorted(r for r in rules if set(r[4]) <= set(tokens[i]))
+        assert got[i] == (fits[0][3] if fits else "allow"), rows[i]
