@@ -140,19 +140,28 @@ def _feature_rows(batches):
                 names=["votes", "features"])
 
 
-def fit_scorer(rows: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, turns: int = 12, batch: int = 64, rate: float = 0.1,
-               shrink: float = 1e-3, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels (AdaGrad): bucket weights and bias of the log-odds of bad."""
+def fit_scorer(rows: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, turns: int = 12, most: int = 400, settled: float = 0.02,
+               batch: int = 64, rate: float = 0.1, shrink: float = 1e-3, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels (AdaGrad): bucket weights and bias of the log-odds of bad.
+
+    At least ``turns`` passes, then until the loss above that of the soft labels themselves falls by less than the share
+    ``settled`` in a pass: few rows make few steps a pass, and rare words need as many steps as in a large sample.
+    """
     rng, w, seen, bias, bias_seen = np.random.default_rng(seed), np.zeros(BUCKETS + SHAPES), np.ones(BUCKETS + SHAPES), 0.0, 1.0
-    for _ in range(turns):
-        order = rng.permutation(len(rows))
+    sure = np.clip(bad, 1e-9, 1 - 1e-9)
+    floor = -float((weight * (bad * np.log(sure) + (1 - bad) * np.log(1 - sure))).sum())  # what no weights can undercut
+    before = np.inf
+    for turn in range(most):
+        order, loss = rng.permutation(len(rows)), -floor
         for lo in range(0, len(order), batch):
             pick = order[lo:lo + batch]
             at = np.repeat(np.arange(len(pick)), [len(rows[k]) for k in pick])
             f = np.concatenate([rows[k] for k in pick])
             v = values_of(at, f, len(pick))
             z = np.bincount(at, w[f] * v, len(pick)) + bias
-            miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - bad[pick]) * weight[pick]
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            loss -= float((weight[pick] * (bad[pick] * np.log(p) + (1 - bad[pick]) * np.log1p(-p))).sum())
+            miss = (p - bad[pick]) * weight[pick]
             used, back = np.unique(f, return_inverse=True)
             g = np.bincount(back, miss[at] * v) + shrink * w[used]
             seen[used] += g * g
@@ -160,6 +169,9 @@ def fit_scorer(rows: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, turn
             b = float(miss.sum())
             bias_seen += b * b
             bias -= rate * b / np.sqrt(bias_seen)
+        if turn + 1 >= turns and loss > (1 - settled) * before:
+            break
+        before = loss
     return w.astype(np.float32), bias
 
 
