@@ -28,7 +28,9 @@ BAD, GOOD, NONE = 0, 1, 2
 TRAIN_ROWS, MORE_ROWS = 12_000, 4_000
 #: How far the label table is trusted where it has a vote.
 TRUST = 0.98
-#: Weight of a document that the table has no vote on, beside 1 of one that it has.
+#: Weight of a document that the table has no vote on, beside 1 of one that it has.  The scorer learns only from those of
+#: them that the heuristics reject: that none rejects a text says little, and a scorer that learns it by heart forgets
+#: what only the table tells.
 UNLABELLED = 0.1
 #: Hash buckets of the scorer.
 BUCKETS = 1 << 18
@@ -144,10 +146,19 @@ def fit_scorer(rows: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, turn
                batch: int = 64, rate: float = 0.1, shrink: float = 1e-3, seed: int = 3) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels (AdaGrad): bucket weights and bias of the log-odds of bad.
 
+    A feature counts by how far its rows' labels lean to one side (the log of its share in bad rows over that in good
+    ones), so that a word which tells is not outweighed by the many that only tell the rows of the sample apart.
     At least ``turns`` passes, then until the loss above that of the soft labels themselves falls by less than the share
     ``settled`` in a pass: few rows make few steps a pass, and rare words need as many steps as in a large sample.
     """
     rng, w, seen, bias, bias_seen = np.random.default_rng(seed), np.zeros(BUCKETS + SHAPES), np.ones(BUCKETS + SHAPES), 0.0, 1.0
+    side = np.zeros((2, BUCKETS + SHAPES))
+    for row, b, u in zip(rows, bad, weight):
+        side[0, row] += u * b
+        side[1, row] += u * (1 - b)
+    whole = np.array([(weight * bad).sum(), (weight * (1 - bad)).sum()])
+    lean = np.abs(np.log((side[0] + 1) / (whole[0] + 2)) - np.log((side[1] + 1) / (whole[1] + 2)))
+    lean[BUCKETS:] = 1.0
     sure = np.clip(bad, 1e-9, 1 - 1e-9)
     floor = -float((weight * (bad * np.log(sure) + (1 - bad) * np.log(1 - sure))).sum())  # what no weights can undercut
     before = np.inf
@@ -157,7 +168,7 @@ def fit_scorer(rows: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, turn
             pick = order[lo:lo + batch]
             at = np.repeat(np.arange(len(pick)), [len(rows[k]) for k in pick])
             f = np.concatenate([rows[k] for k in pick])
-            v = values_of(at, f, len(pick))
+            v = values_of(at, f, len(pick)) * lean[f]
             z = np.bincount(at, w[f] * v, len(pick)) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             loss -= float((weight[pick] * (bad[pick] * np.log(p) + (1 - bad[pick]) * np.log1p(-p))).sum())
@@ -172,7 +183,7 @@ def fit_scorer(rows: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, turn
         if turn + 1 >= turns and loss > (1 - settled) * before:
             break
         before = loss
-    return w.astype(np.float32), bias
+    return (w * lean).astype(np.float32), bias
 
 
 def _scores(weights, bias: float, batches):
@@ -207,8 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     got = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(_feature_rows, "votes string, features binary").collect())
     if not got:
         return None, 0.0
-    return fit_scorer([np.frombuffer(f, np.uint32) for _, f in got], np.array([bad[v] for v, _ in got]),
-                      np.array([UNLABELLED if v.endswith(str(NONE)) else 1.0 for v, _ in got]))
+    # without any vote of the table the heuristics' posteriors are all there is
+    weight = np.array([1.0 if not v.endswith(str(NONE)) else UNLABELLED * (bad[v] >= 0.5 or not given) for v, _ in got])
+    use = np.flatnonzero(weight)
+    if not len(use):
+        return None, 0.0
+    return fit_scorer([np.frombuffer(got[k][1], np.uint32) for k in use], np.array([bad[got[k][0]] for k in use]), weight[use])
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
