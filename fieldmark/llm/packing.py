@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from functools import partial
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,8 +34,8 @@ MAX_SEGMENTS = 32
 MAX_LOSS = 2047
 #: Items of one group, packed in one task.
 GROUP_ROWS = 10_000
-#: Chunks whose ids a task remembers.
-CACHE = 200_000
+#: Chunks whose ids a task remembers, at most; beyond, those not used in the longest time go, half of them at once.
+CACHE = 400_000
 SPECIAL = b"<|endoftext|>"
 
 
@@ -51,7 +52,10 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                         special_tokens={}).encode_ordinary
-        self.json_path, self.whole, self.known = json_path, None, {}
+        self.json_path, self.whole = json_path, None
+        # known chunks: their hashes in order, where their ids start in ``flat``, how many, and when last used
+        self.keys, self.at, self.size, self.used = np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+        self.flat, self.now = np.empty(0, np.uint32), 0
 
     def with_special(self, text: str) -> list[int]:
         if self.whole is None:
@@ -68,22 +72,41 @@ class Encoder:
         end = np.append(start[1:], len(data))
         keys = span_hash(prefix_hash(data), start, end)
         keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        raw, known, ids = data.tobytes(), self.known, []
-        if len(known) > CACHE:
-            known.clear()
-        for k, s, e in zip(keys.tolist(), start[first].tolist(), end[first].tolist()):
-            got = known.get(k)
-            if got is None:
-                got = known[k] = self.encode(raw[s:e].decode())
-            ids.append(got)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for got in ids for x in got), np.uint32, int(size.sum()))
-        at = np.cumsum(size) - size
+        at = self._known(keys, start[first], end[first], data)
+        size, begin = self.size[at], self.at[at]
         count = size[inverse]
-        out = flat[np.repeat(at[inverse] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        out = self.flat[np.repeat(begin[inverse] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
         doc = np.searchsorted(offsets, start, "right") - 1
         return out, np.bincount(doc, weights=count, minlength=n).astype(np.int64)
 
+    def _known(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Places of the chunks ``keys`` (in order) among the known ones, new ones encoded first."""
+        self.now += 1
+        if len(self.keys) and len(self.keys) + len(keys) > CACHE:
+            self._forget(CACHE // 2)
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            raw, encode = data.tobytes(), self.encode
+            ids = [encode(raw[s:e].decode()) for s, e in zip(start[new].tolist(), end[new].tolist())]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(size.sum())
+            place = np.searchsorted(self.keys, keys[new])
+            self.at = np.insert(self.at, place, len(self.flat) + np.cumsum(size) - size)
+            self.size, self.keys = np.insert(self.size, place, size), np.insert(self.keys, place, keys[new])
+            self.used = np.insert(self.used, place, self.now)
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, total)))
+            at = np.searchsorted(self.keys, keys)
+        self.used[at] = self.now
+        return at
+
+    def _forget(self, keep: int) -> None:
+        """Only the ``keep`` chunks used last stay."""
+        stay = np.sort(np.argsort(-self.used, kind="stable")[:keep])
+        size, begin = self.size[stay], self.at[stay]
+        self.flat = self.flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        self.keys, self.used, self.size, self.at = self.keys[stay], self.used[stay], size, np.cumsum(size) - size
+
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places where every text may be cut without changing its ids: single spaces between two other characters.
@@ -112,11 +135,14 @@ def _pieces(length: int, end_id: int, json_path: str, ranks_path: str, batches):
             ids, count = encoder.texts(part, own)
             ids_at = np.concatenate(([0], np.cumsum(count)))
             raw, rows = part.tobytes(), []
+            special = SPECIAL in raw
+            # every text's ids, and room for its closing id
+            closed = np.insert(ids, ids_at[1:], np.uint32(end_id))
             for k in range(hi - lo):
-                if SPECIAL in raw[own[k]:own[k + 1]]:
+                if special and SPECIAL in raw[own[k]:own[k + 1]]:
                     mine = np.array(encoder.with_special(raw[own[k]:own[k + 1]].decode()) + [end_id], np.uint32)
                 else:
-                    mine = np.append(ids[ids_at[k]:ids_at[k + 1]], np.uint32(end_id)).astype(np.uint32)
+                    mine = closed[ids_at[k] + k:ids_at[k + 1] + k + 1]
                 full = len(mine) // length
                 for p in range(full):
                     rows.append((k, p * length, length, zlib.crc32(mine[p * length:(p + 1) * length]), len(mine), None))
