@@ -96,3 +96,40 @@ def record_text(r: Column) -> Column:
     return F.when(r.isNotNull(), F.when(branch == "other", object_text([base[0], terms]))
                   .when(branch == "forward", object_text(forward)).when(branch == "inverse", object_text(inverse))
                   .otherwise(object_text(base + [terms])))
+
+
+def variant_number_text(v: Column) -> Column:
+    """A number of a VARIANT: whole ones as they stand, others as floats."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "BIGINT", F.try_variant_get(v, "$", "string")).when(
+        (kind == "DOUBLE") | kind.startswith("DECIMAL"), number_text(F.try_variant_get(v, "$", "double"))).otherwise(F.lit("null"))
+
+
+def variant_record_text(v: Column) -> Column:
+    """A record held as VARIANT with the keys of its branch only; unlike ``record_text`` it keeps whole numbers whole."""
+    def text(of: Column, path: str) -> Column:
+        return string_text(F.try_variant_get(of, path, "string"))
+
+    def change(of: Column) -> Column:
+        return F.when(of.isNull() | F.is_variant_null(of), F.lit("null")).otherwise(object_text([
+            ("type", text(of, "$.type")), ("value", F.coalesce(variant_number_text(F.try_variant_get(of, "$.value", "variant")), F.lit("null"))),
+            ("unit", text(of, "$.unit")), ("direction", text(of, "$.direction"))]))
+
+    def listed(path: str, item) -> Column:
+        items = F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+        return F.concat(F.lit("["), F.array_join(F.transform(items, item), ", "), F.lit("]"))
+
+    def one(x: Column) -> Column:
+        return text(x, "$")
+
+    intent, mode = F.try_variant_get(v, "$.intent", "string"), F.try_variant_get(v, "$.mode", "string")
+    base = [("intent", string_text(intent)), ("mode", string_text(mode)), ("product_id", text(v, "$.product_id"))]
+    terms = ("unknown_terms", listed("$.unknown_terms", one))
+    driver = lambda d: object_text([
+        ("entity_key", text(d, "$.entity_key")), ("change", change(F.try_variant_get(d, "$.change", "variant")))])
+    lever = F.try_variant_get(v, "$.lever.entity_key", "string")
+    inverse = base + [("lever", F.when(lever.isNull(), F.lit("null")).otherwise(object_text([("entity_key", string_text(lever))]))),
+                      ("goal", change(F.try_variant_get(v, "$.goal", "variant"))), ("target", text(v, "$.target")), terms]
+    return (F.when(intent == "other", object_text([base[0], terms]))
+            .when(mode == "forward", object_text(base + [("drivers", listed("$.drivers", driver)), ("targets", listed("$.targets", one)), terms]))
+            .when(mode == "inverse", object_text(inverse)).otherwise(object_text(base + [terms])))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from fieldmark.operators.prompts import (
-    build_messages, choose_model_files, default_system_prompt, few_shot_rows, few_shots_df, leakage,
-    merge_system_long,
+    FEW_SHOTS, build_messages, choose_model_files, few_shots_df, leakage, merge_system_long,
 )
 from fieldmark.plans.catalog import register
+from fieldmark.sources import prompt_texts as texts
+from fieldmark.sources.dimensions import closed_world_rows
 from fieldmark.sources.fixtures import (
     QUANT_TAGS, WANTED_TAGS, gold_records, model_manifest, table,
 )
@@ -18,20 +21,36 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _prefix_values() -> str:
-    rows = [(0, "system", default_system_prompt())]
-    for i, (_, text, gold) in enumerate(few_shot_rows()):
-        rows += [(1 + 2 * i, "user", text), (2 + 2 * i, "assistant", gold)]
-    return ", ".join(f"({i}, '{r}', {_lit(c)})" for i, r, c in rows)
-
-
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if c is None else str(c) if isinstance(c, int) else _lit(c) for c in r) + ")" for r in rows)
+
+
+_SHOTS = [(1 + 2 * i, t, json.dumps(g, ensure_ascii=False)) for i, (t, g) in enumerate(FEW_SHOTS)]
+_LAST_TURN = 2 * len(FEW_SHOTS) + 1
+# The system message by string aggregation over the same dimension rows.
+SYSTEM_CTES = f"""
+world AS (SELECT * FROM (VALUES {_values(closed_world_rows())}) t(key, kind, ord)),
+entries AS (SELECT * FROM (VALUES {_values([e[:3] for e in texts.ENTRIES])}) t(key, description, note)),
+names AS (SELECT key, string_agg(s, ', ' ORDER BY pos) AS names
+  FROM (VALUES {_values([(e[0], i, s) for e in texts.ENTRIES for i, s in enumerate(e[3])])}) t(key, pos, s) GROUP BY key),
+sections AS (SELECT * FROM (VALUES {_values([(k, i, "## " + chr(10).join([t, *notes])) for i, (k, t, notes) in enumerate(texts.SECTIONS)])}) t(kind, section, head)),
+wide AS (SELECT kind, max(length(key)) + 2 AS w FROM world GROUP BY kind),
+entry AS (SELECT kind, ord, '- ' || rpad(key, w::INTEGER, ' ') || ': ' || description
+    || coalesce(chr(10) || repeat(' ', w + 4) || note, '') || chr(10) || repeat(' ', w + 4) || 'Synonymes: ' || names || '.' AS line
+  FROM world JOIN wide USING (kind) JOIN entries USING (key) JOIN names USING (key)),
+block AS (SELECT section, head || chr(10) || string_agg(line, chr(10) ORDER BY ord) AS t FROM sections JOIN entry USING (kind) GROUP BY section, head),
+system AS (SELECT {_lit(texts.SYSTEM_PREAMBLE + chr(10).join(texts.INTRO) + chr(10) * 2)} || string_agg(t, chr(10) || chr(10) ORDER BY section)
+  || {_lit(chr(10) * 2 + chr(10).join(texts.DISAMBIGUATION) + chr(10) * 2 + texts.RULES)} AS content FROM block)"""
 M01_SQL = f"""
-WITH prefix AS (SELECT * FROM (VALUES {_prefix_values()}) t(idx, role, content)),
+WITH {SYSTEM_CTES},
+shots AS (SELECT * FROM (VALUES {_values(_SHOTS)}) t(idx, text, gold)),
+prefix AS (SELECT 0 AS idx, 'system' AS role, content FROM system UNION ALL SELECT idx, 'user', text FROM shots
+  UNION ALL SELECT idx + 1, 'assistant', gold FROM shots),
 q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
 msgs AS (
   SELECT q.conv_id, q.turn, p.idx, p.role, p.content FROM q CROSS JOIN prefix p
   UNION ALL
-  SELECT conv_id, turn, {len(few_shot_rows()) * 2 + 1} AS idx, 'user', text FROM q
+  SELECT conv_id, turn, {_LAST_TURN} AS idx, 'user', text FROM q
 )
 SELECT conv_id, turn, CAST(idx AS BIGINT) AS idx, role, md5(content) AS content_md5,
        CAST(length(content) AS BIGINT) AS content_len FROM msgs"""
@@ -70,7 +89,7 @@ def m02_merge_system(spark, sf_dir):
 def _leak_sql() -> str:
     from fieldmark.plans.oracle_sql import GOLD_CTES, _fold_sql, with_ctes
 
-    shots = ", ".join(f"({_lit(t)})" for _, t, _ in few_shot_rows())
+    shots = ", ".join(f"({_lit(t)})" for t, _ in FEW_SHOTS)
     return with_ctes(GOLD_CTES, f"""
 shots AS (SELECT DISTINCT {_fold_sql('t')} AS n FROM (VALUES {shots}) v(t)),
 texts AS (SELECT DISTINCT text FROM (SELECT text FROM gold UNION ALL SELECT text FROM conversations))""",

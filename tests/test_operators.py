@@ -99,14 +99,6 @@ def test_stream_scoring_matches_batch(spark, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_grounding_block_matches_system_prompt(spark):
-    from fieldmark.operators.prompts import SYSTEM_PREAMBLE, default_system_prompt, grounding_text
-    from fieldmark.sources.dimensions import closed_world_df
-
-    block = grounding_text(closed_world_df(spark)).first()[0]
-    assert default_system_prompt() == SYSTEM_PREAMBLE + block
-
-
 def test_plans_have_no_cross_products(spark):
     import __spark_entry__ as entry
 
