@@ -6,14 +6,17 @@ by distance between centres, ties to the earliest span in list order.  It
 never builds anchor x candidate pairs and never puts one whole group in one
 task:
 
-* rows are windowed per ``(group, bucket)`` where ``bucket`` is a fixed-width
-  slice of the position axis, so a hot group is split across tasks;
+* rows are range-partitioned by (group, centre, order) and written with their
+  partition's number, which is their bucket: buckets hold about equally many
+  rows however the positions lie, so neither a hot group nor a burst within it
+  is one task (rows of one centre may lie in several buckets);
+* rows are windowed per ``(group, bucket)``;
 * for each target kind, the closest candidate before (running max over a
   range frame) and after (the same over the reversed order) is found inside
   the bucket - both frames are running aggregates, linear in the rows;
-* anchors with no candidate on one side inside their bucket take it from the
-  bucket summary table (one row per group, bucket and kind: its first and
-  last candidate), whose neighbour search is a window over buckets only.
+* the candidates of other buckets come from the bucket summary table (one row
+  per group, bucket and kind: its first and last candidate), whose neighbour
+  search is a window over buckets only; the nearer one counts.
 
 ``assemble_from_spans`` is the row-local form used by the span baseline
 (E1-E8, E11): spans of one sentence are an array, handled with
@@ -29,19 +32,32 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.cleaning import normalize_direction, normalize_unit, to_float, type_from_unit
 from fieldmark.functions.records import DRIVER_DDL, empty_array, rec
+from fieldmark.session import scratch_path
 from fieldmark.sources.dimensions import KPIS, LEVER_KEYS, UNKNOWN_SPAN_THRESHOLD
 
-DEFAULT_BUCKET = 86_400_000_000  # one day of microseconds
+
+def ranged_buckets(rows: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
+    """``rows`` with ``_bucket``, the number of the range of ``by`` that each lies in; ranges hold about equally many rows."""
+    path = scratch_path(rows.sparkSession, "buckets")
+    ranged = rows.repartitionByRange(*([buckets] if buckets else []), *by)
+    ranged.withColumn("_bucket", F.spark_partition_id().cast("long")).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def nearest_by_position(df: DataFrame, group: list[str], center: str, order: str, kind: str,
                         anchor_kind: str, target_kinds: list[str], payload: str,
-                        bucket_width: float = DEFAULT_BUCKET) -> DataFrame:
+                        bucket_width: float | None = None, buckets: int | None = None) -> DataFrame:
     """Anchor rows with, per target kind ``t``, column ``near_<t>`` = payload of the nearest
-    row of kind ``t`` in the same group (NULL when the group has none)."""
-    b = F.floor(F.col(center) / F.lit(bucket_width)).cast("long").alias("_bucket")
+    row of kind ``t`` in the same group (NULL when the group has none).
+
+    ``buckets`` is the number of ranges (else the session's shuffle partitions); ``bucket_width``
+    asks for slices of a fixed width instead, without a written table."""
     rows = df.select(*group, F.col(center).cast("double").alias("_c"), F.col(order).alias("_o"),
-                     F.col(kind).alias("_k"), F.col(payload).alias("_p"), b)
+                     F.col(kind).alias("_k"), F.col(payload).alias("_p"))
+    if bucket_width is not None:
+        rows = rows.withColumn("_bucket", F.floor(F.col("_c") / F.lit(bucket_width)).cast("long"))
+    else:
+        rows = ranged_buckets(rows, [*group, "_c", "_o"], buckets)
     part = group + ["_bucket"]
     w_up = Window.partitionBy(*part).orderBy("_c").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     w_down = Window.partitionBy(*part).orderBy(F.col("_c").desc()).rangeBetween(Window.unboundedPreceding,
@@ -85,8 +101,9 @@ def nearest_by_position(df: DataFrame, group: list[str], center: str, order: str
     if payload != order:
         out.append(F.col("_p").alias(payload))
     for t in target_kinds:
-        prev = F.coalesce(F.col(f"_prev_{t}"), F.col(f"_x_{t}._xprev"))
-        nxt = F.coalesce(F.col(f"_next_{t}"), F.col(f"_x_{t}._xnext"))
+        # rows of one centre may lie in several buckets: compare, do not prefer one's own
+        prev = F.greatest(F.col(f"_prev_{t}"), F.col(f"_x_{t}._xprev"))
+        nxt = F.least(F.col(f"_next_{t}"), F.col(f"_x_{t}._xnext"))
         dp = F.col("_c") - prev["c"]
         dn = nxt["c"] - F.col("_c")
         take_prev = nxt.isNull() | (prev.isNotNull() & ((dp < dn) | ((dp == dn) & (-prev["no"] <= nxt["o"]))))

@@ -36,6 +36,27 @@ def run_means(scored: DataFrame, run_col: str = "run") -> DataFrame:
     return scored.groupBy(F.col(run_col).alias("model")).agg(*aggs)
 
 
+def type_hits(scored: DataFrame, run_col: str = "run") -> DataFrame:
+    """A5 + A6 in long form by one aggregate over GROUPING SETS ((run), (run, type)).
+
+    ``(model, type, is_total, hits, total)``: a row per run and gold type (a type may be NULL), and per run the row of
+    all its examples.
+    """
+    rows = scored.select(F.col(run_col).alias("model"), "type", "exact_match")
+    return rows.groupingSets([["model"], ["model", "type"]], "model", "type").agg(
+        (F.grouping("type") == 1).alias("is_total"), F.count_if("exact_match").alias("hits"), F.count(F.lit(1)).alias("total"))
+
+
+def hits_by_type(scored: DataFrame, run_col: str = "run") -> DataFrame:
+    """A5 + A6: one row per run from ``type_hits``: ``n``, and hits and totals of each gold type, 0 where there are none."""
+    long = type_hits(scored, run_col)
+    aggs = [F.max(F.when(F.col("is_total"), F.col("total"))).alias("n")]
+    for t in GOLD_TYPES:
+        of = (F.col("type") == t) & ~F.col("is_total")
+        aggs += [F.coalesce(F.max(F.when(of, F.col(c))), F.lit(0)).alias(f"{c}_{t}") for c in ("hits", "total")]
+    return long.groupBy("model").agg(*aggs)
+
+
 def latency_stats(scored: DataFrame, run_col: str = "run", latency_col: str = "latency_s") -> DataFrame:
     """A3 + A4: exact median and p95 (linear interpolation) per run."""
     df = scored.select(F.col(run_col).alias("model"), F.col(latency_col).alias("_lat"))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.metrics import METRIC_FIELDS
 from fieldmark.operators.summary import (
-    class_means, fmt3, latency_stats, leaderboard, quality_gate, ranked, run_means,
-    sectioned_leaderboard, summarize, LEADERBOARD_COLUMNS,
+    class_means, fmt3, hits_by_type, latency_stats, leaderboard, quality_gate, ranked, run_means,
+    sectioned_leaderboard, summarize, type_hits, GOLD_TYPES, LEADERBOARD_COLUMNS,
 )
 from fieldmark.plans.catalog import register
-from fieldmark.plans.oracle_sql import with_ctes, GOLD_CTES, PRED_CTES, SCORE_CTES
+from fieldmark.plans.oracle_sql import scored_sql, with_ctes, GOLD_CTES, PRED_CTES, SCORE_CTES
 from fieldmark.plans.scoring_queries import scored
 from fieldmark.sources.dimensions import RUNS, runs_df
 from fieldmark.sources.fixtures import eval_pairs
@@ -81,16 +81,26 @@ SELECT model, CAST(hits_forward AS VARCHAR) || '/' || CAST(total_forward AS VARC
        hits_forward, total_forward, hits_inverse, total_inverse, hits_other, total_other
 FROM summary"""))
 def a05_hits_by_type(spark, sf_dir):
-    """A5: exact-match hits/total per gold type (conditional aggregation)."""
-    s = summarize(scored(spark, sf_dir))
+    """A5: exact-match hits/total per gold type, from the grouping sets."""
+    s = hits_by_type(scored(spark, sf_dir))
+    for t in GOLD_TYPES:
+        s = s.withColumn(f"em_{t}", F.concat_ws("/", F.col(f"hits_{t}").cast("string"), F.col(f"total_{t}").cast("string")))
     return s.select("model", "em_forward", "em_inverse", "em_other", "hits_forward", "total_forward",
                     "hits_inverse", "total_inverse", "hits_other", "total_other")
 
 
+@register("a05_grouping_sets", scored_sql("""
+SELECT run AS model, gtype AS type, grouping(gtype) = 1 AS is_total, count(*) FILTER (WHERE exact_match) AS hits, count(*) AS total
+FROM scored GROUP BY GROUPING SETS ((run), (run, gtype))"""))
+def a05_grouping_sets(spark, sf_dir):
+    """A5 + A6: hits and totals per run and type and per run, by one aggregate over grouping sets."""
+    return type_hits(scored(spark, sf_dir))
+
+
 @register("a06_example_count", summary_sql("SELECT model, n FROM summary"))
 def a06_example_count(spark, sf_dir):
-    """Number of examples per run."""
-    return run_means(scored(spark, sf_dir)).select("model", "n")
+    """Number of examples per run, the totals of the same grouping sets."""
+    return hits_by_type(scored(spark, sf_dir)).select("model", "n")
 
 
 _A07_COLS = (["model", "model_type", "precision", "backend"] + METRIC_FIELDS +
