@@ -21,16 +21,17 @@ def _suffix(p: float) -> str:
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                      names: list[str] | None = None) -> DataFrame:
+                      names: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """One row per group that has a non-NULL value, one column per probability.
 
-    Groups without any value are absent (callers left-join, as ``summarize`` does).
+    Groups without any value are absent (callers left-join, as ``summarize`` does).  With ``weight`` a row stands for
+    that many equal values, so that counts of values merge before the percentiles are taken.
     """
     names = names or [_suffix(p) for p in probs]
     spark = df.sparkSession
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_c")))
+               .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_c")))
     path = scratch_path(spark, "ranges")
     counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()).write.parquet(path)
     ranged = spark.read.parquet(path)

@@ -63,13 +63,59 @@ def latency_stats(scored: DataFrame, run_col: str = "run", latency_col: str = "l
     return exact_percentiles(df, ["model"], "_lat", [0.5, 0.95], ["latency_median_s", "latency_p95_s"])
 
 
+# Partial summaries: what is gathered of a part of the examples, and adds up over parts.
+
+MEANS = [*METRIC_FIELDS, "exact_match", "schema_valid"]
+
+
+def partial_means(scored: DataFrame, run_col: str = "run") -> DataFrame:
+    """Per run: sum and number of each metric's values, examples, hits and totals by type."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in MEANS:
+        value = F.col(c).cast("double")
+        aggs += [F.coalesce(F.sum(value), F.lit(0.0)).alias(f"sum_{c}"), F.count(value).alias(f"num_{c}")]
+    for t in GOLD_TYPES:
+        aggs += [F.count_if((F.col("type") == t) & F.col("exact_match")).alias(f"hits_{t}"),
+                 F.count_if(F.col("type") == t).alias(f"total_{t}")]
+    return scored.groupBy(F.col(run_col).alias("model")).agg(*aggs)
+
+
+def partial_latencies(scored: DataFrame, run_col: str = "run", latency_col: str = "latency_s") -> DataFrame:
+    """Per run: each latency and how often it stands there."""
+    return scored.where(F.col(latency_col).isNotNull()).groupBy(
+        F.col(run_col).alias("model"), F.col(latency_col).alias("latency_s")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def merged_means(partials: DataFrame) -> DataFrame:
+    """The sum of partial means, again a partial."""
+    return partials.groupBy("model").agg(*[F.sum(c).alias(c) for c in partials.columns if c not in ("model", "part")])
+
+
+def merged_latencies(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("model", "latency_s").agg(F.sum("times").alias("times"))
+
+
+def summary_of_partials(means: DataFrame, latencies: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """A7 from any number of partials: the same columns as ``summarize``."""
+    names = {"exact_match": "exact_match_rate", "schema_valid": "schema_valid_rate"}
+    added = merged_means(means)
+    out = added.select(
+        "model", *[F.when(F.col(f"num_{c}") > 0, F.col(f"sum_{c}") / F.col(f"num_{c}")).alias(names.get(c, c)) for c in MEANS],
+        "n", *[f"{k}_{t}" for t in GOLD_TYPES for k in ("hits", "total")])
+    stats = exact_percentiles(latencies, ["model"], "latency_s", [0.5, 0.95], ["latency_median_s", "latency_p95_s"], "times")
+    return _attributed(out.join(stats, "model", "left"), runs)
+
+
 def summarize(scored: DataFrame, runs: DataFrame | None = None, run_col: str = "run",
               latency_col: str = "latency_s") -> DataFrame:
     """One row per run with attributes, means, rates, latency and hits by type.
 
     ``runs`` (optional, the run dimension) adds precision/backend, '?' when unknown.
     """
-    out = run_means(scored, run_col).join(latency_stats(scored, run_col, latency_col), "model", "left")
+    return _attributed(run_means(scored, run_col).join(latency_stats(scored, run_col, latency_col), "model", "left"), runs)
+
+
+def _attributed(out: DataFrame, runs: DataFrame | None) -> DataFrame:
     out = out.withColumn("model_type", model_type(F.col("model")))
     for t in GOLD_TYPES:
         out = out.withColumn(f"em_{t}", F.concat_ws("/", F.col(f"hits_{t}").cast("string"),

@@ -23,6 +23,7 @@ ROUND9 = {
     'a02_rates': ['exact_match_rate', 'schema_valid_rate'],
     'a03_latency_median': ['latency_median_s'],
     'a04_latency_p95': ['latency_p95_s'],
+    'a07_merged_partials': ['intent_correct', 'other_recall', 'mode_correct', 'product_id_correct', 'drivers_precision', 'drivers_recall', 'drivers_change_accuracy', 'targets_precision', 'targets_recall', 'lever_correct', 'goal_correct', 'target_correct', 'unknown_terms_precision', 'unknown_terms_recall', 'exact_match_rate', 'schema_valid_rate', 'latency_median_s', 'latency_p95_s'],
     'a07_run_summary': ['intent_correct', 'other_recall', 'mode_correct', 'product_id_correct', 'drivers_precision', 'drivers_recall', 'drivers_change_accuracy', 'targets_precision', 'targets_recall', 'lever_correct', 'goal_correct', 'target_correct', 'unknown_terms_precision', 'unknown_terms_recall', 'exact_match_rate', 'schema_valid_rate', 'latency_median_s', 'latency_p95_s'],
     'a08_class_means': ['exact_match_rate', 'schema_valid_rate'],
     'c01_set_prf': ['set_precision', 'set_recall'],

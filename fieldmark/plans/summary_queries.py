@@ -108,19 +108,35 @@ _A07_COLS = (["model", "model_type", "precision", "backend"] + METRIC_FIELDS +
               "em_forward", "em_inverse", "em_other"])
 
 
-@register("a07_run_summary", summary_sql("""
+_A07_SQL = summary_sql("""
 SELECT s.model, s.model_type, coalesce(d.precision, '?') AS precision, coalesce(d.backend, '?') AS backend,
   """ + ", ".join("s." + f for f in METRIC_FIELDS) + """,
   s.exact_match_rate, s.schema_valid_rate, s.latency_median_s, s.latency_p95_s, s.n,
   CAST(hits_forward AS VARCHAR) || '/' || CAST(total_forward AS VARCHAR) AS em_forward,
   CAST(hits_inverse AS VARCHAR) || '/' || CAST(total_inverse AS VARCHAR) AS em_inverse,
   CAST(hits_other AS VARCHAR) || '/' || CAST(total_other AS VARCHAR) AS em_other
-FROM summary s LEFT JOIN rundim d ON d.name = s.model"""), headline=True)
+FROM summary s LEFT JOIN rundim d ON d.name = s.model""")
+
+
+@register("a07_run_summary", _A07_SQL, headline=True)
 def a07_run_summary(spark, sf_dir):
     """A7 + J2: the full per-run summary with run attributes ('?' when unknown)."""
     return _summary(spark, sf_dir).select(*_A07_COLS)
 
 
+@register("a07_merged_partials", _A07_SQL)
+def a07_merged_partials(spark, sf_dir):
+    """A7 from partial summaries, one per part of the examples, folded: what the stream keeps."""
+    from fieldmark.session import scratch_path
+    from fieldmark.streaming.summary_stream import current_summary, fold, write_partial
+
+    state, rows = scratch_path(spark, "partials"), scored(spark, sf_dir)
+    for batch in range(2):
+        write_partial(rows.where(F.col("row_id") % 2 == batch), state, batch)
+    fold(spark, state)
+    return current_summary(spark, state, runs_df(spark)).select(*_A07_COLS)
+
+
 @register("a08_class_means", summary_sql("""
 SELECT model_type, count(*) AS runs, avg(exact_match_rate) AS exact_match_rate,
        avg(schema_valid_rate) AS schema_valid_rate FROM summary GROUP BY model_type"""))
