@@ -29,6 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, taken) -> str:
+    """``name``, with underscores in front until no column of ``taken`` has it (upper and lower case are one)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_of(col: str = "text"):
     """The text, null as the empty string."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

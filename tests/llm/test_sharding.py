@@ -51,3 +51,34 @@ def test_written_shards(spark, tmp_path):
     S.write_shards(docs, str(tmp_path / "out"), 2000)
     back = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
+def test_chain_fills_its_shards(spark):
+    limit = 25_001
+    rows = [(7, "x" * (i % 90)) for i in range(3000)] + [(7, "y" * 20_000)] * 2 + [(8, "z" * 500)] * 60 + [(i, "w") for i in range(9, 40)]
+    out = S.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()
+    assert sorted((r.doc_id, r.n_bytes) for r in out) == sorted((i, len(t)) for i, t in rows)
+    size = {}
+    for r in out:
+        size.setdefault((r.doc_id, r.shard), []).append(r.n_bytes)
+    for key in (7, 8):
+        own = [n for (i, _), n in size.items() if i == key]
+        large = sum(n == 20_000 for part in own for n in part)
+        total = sum(n for part in own for n in part if n < 20_000)
+        assert len(own) <= 2 * -(-total // limit) + large and all(sum(part) <= limit for part in own)
+
+
+def test_written_once_whatever_the_keys(spark, tmp_path):
+    """Null and repeated keys, and columns named like the inner ones."""
+    rows = [(None if i % 4 == 0 else 3, "t" * (i % 30), i, "s", "r", i) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, Shard string, key string, row_number long")
+    S.write_shards(docs, str(tmp_path / "out"), 200)
+    back = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
+    assert back.columns == docs.columns and sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.is_dir() and not p.name.startswith("_shard=")] == []
+
+
+def test_key_with_an_inner_name(spark):
+    docs = spark.createDataFrame([(i, "t" * i, 0) for i in range(50)], "h long, text string, p long")
+    out = S.assign_shards(docs, 100, key="h")
+    assert out.columns == ["h", "n_bytes", "shard", "depth"] and sorted(r.h for r in out.collect()) == list(range(50))
