@@ -54,5 +54,21 @@ def test_plan_orders_by_rejection_per_cost_and_empty_table(spark):
     assert Q.stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_same_order_every_time(spark):
+    """Of two rules that reject the same rows, the one that needs no windows goes first in every run."""
+    docs = documents(spark, [prose(2000, n) for n in range(30)] + [prose(300, 1) + " " + prose(300, 1)] * 10 + ["!"] * 10)
+    cheap = Q.Rule("short", lambda m: (m["n_words"] == 600) | (m["n_words"] < 20), ("n_words",))
+    for _ in range(3):
+        plan = Q.plan_cascade(docs, (Q.BASE_RULES[1], cheap))
+        assert [x["rule"].name for x in plan] == ["short", "repeated_words"] and plan[1]["cost"] > 3 * plan[0]["cost"]
+
+
+def test_stage_keeps_columns_named_like_inner_ones(spark):
+    rows = [(i, t, "own", 1, "w") for i, t in enumerate([prose(60, 1), "few", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, failed_rule string, n_words long, t string")
+    out = Q.stage(spark, docs, "")
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == rows[:1]
+
+
 def test_space_pattern():
     assert SPACE.split("a\x0bb\x0cc") == ["a", "b", "c"]
