@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import (arrow_text, components, mix, planes, row_slices, runs, table, unplanes,
+from fieldmark.llm.common import (arrow_text, components, mix, planes, row_slices, runs, table, unplanes, unused,
                                   word_hashes, written)
 
 SHINGLE = 5
@@ -339,15 +339,19 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.xxhash64(F.col("text").cast("string"))
     worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     rows = docs.where(worded)
+    own = rows.select(key.alias("key"), F.col("doc_id").alias("id"), "text")
     # groups of texts, whatever the ids of their rows
-    found = jaccard_components(rows.select(key.alias("key"), "text"), "key")
-    groups = found.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_root"))
-    ids = rows.groupBy(key.alias("_key"), F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    first = ids.groupBy("_key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_rows")).alias("f"))
-    lead = written(first.join(groups, "_key").groupBy("_root").agg(
-        F.min(F.struct("f.none", "f._id", "_key", "f._rows")).alias("l")).select("l._id", "l._key", "l._rows"), "leaders")
-    kept = rows.join(lead.select("_id", "_key"), (key == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if lead.where("_rows > 1").limit(1).count():
+    found = jaccard_components(own.select("key", "text"), "key")
+    groups = found.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("root"))
+    ids = own.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = ids.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("f"))
+    lead = written(first.join(groups, "key").groupBy("root").agg(
+        F.min(F.struct("f.none", "f.id", "key", "f.n")).alias("l")).select("l.id", "l.key", "l.n"), "leaders")
+    # names that no column of the documents has
+    as_id, as_key = unused("id", docs.columns), unused("key", docs.columns)
+    kept = rows.join(lead.select(F.col("id").alias(as_id), F.col("key").alias(as_key)),
+                     (key == F.col(as_key)) & F.col("doc_id").eqNullSafe(F.col(as_id)), "left_semi")
+    if lead.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where(~worded))
 

@@ -89,3 +89,13 @@ def test_stage_with_null_and_repeated_ids(spark):
     assert (5, near) in worded and (5, c + " ") in worded
     assert [t.strip() for i, t in worded if i is None] == [b]
     assert sorted(x for x in left if not x[1] and x[0] is None) == [(None, "")] * 2 and (9, None) in left
+
+
+def test_stage_with_columns_named_like_inner_ones(spark):
+    names = ["id", "key", "_id", "_key", "root", "sig", "n", "h", "KEY2", "none", "l", "f"]
+    text = prose(80, 1)
+    rows = [(i, t, *range(i, i + len(names))) for i, t in enumerate([text, prose(90, 2), text, None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} long" for c in names))
+    kept = J.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], rows[3]], key=str)
