@@ -69,5 +69,41 @@ def test_limits_hold_at_once():
         assert [taken[k] for k in range(500)] == sizes.tolist()
 
 
+def test_limits_hold_with_prompts():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 100, 400)
+    lead = np.minimum(sizes, rng.integers(1, 60, 400))
+    for limits in ((100, 4, 99), (100, 50, 20), (100, 8, 1)):
+        taken = defaultdict(int)
+        sequences = P.fill_sequences(sizes, limits, lead)
+        for mine in sequences:
+            bear = sum(max(0, b - max(a + 1, int(lead[i]))) for i, a, b in mine)
+            assert mine and sum(b - a for _, a, b in mine) <= limits[0] and len(mine) <= limits[1] and bear <= limits[2]
+            for item, a, b in mine:
+                assert a == taken[item]
+                taken[item] = b
+        assert [taken[k] for k in range(400)] == sizes.tolist()
+
+
+def test_loss_limit_binds_inside_pack(spark):
+    """Whole documents of prompt and answer: each sequence's loss, counted token by token, is within the limit."""
+    texts = [prose(n, n) for n in (5, 300, 2500, 900, 40, 700)] + [None, prose(1500, 8)]
+    prompts = [None, 200, 1500, 0, 10_000, -3, 5, 1490]
+    docs = documents(spark, texts)
+    asked = spark.createDataFrame(list(enumerate(prompts)), "doc_id long, prompt int")
+    rows = P.pack(docs.join(asked, "doc_id"), length=512, max_segments=6, max_loss=150, prompt="prompt").collect()
+    bear, held, sums, number = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in rows:
+        lead = prompts[r.doc_id] or 0
+        own = sum(at >= lead for at in range(r.start + 1, r.start + r.length))
+        assert own == r.loss_tokens
+        bear[r.sequence_id] += own
+        held[r.sequence_id] += r.length
+        number[r.sequence_id] += 1
+        sums[r.doc_id] += r.length
+    assert max(bear.values()) == 150 and max(held.values()) <= 512 and max(number.values()) <= 6
+    assert [sums[k] for k in range(len(texts))] == [len(ids_of(t)) for t in texts]
+
+
 def test_empty_table(spark):
     assert P.pack(documents(spark, ["a"]).limit(0)).count() == 0
