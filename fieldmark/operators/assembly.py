@@ -161,16 +161,14 @@ def assemble_from_spans(df: DataFrame, id_col: str, spans_col: str, dictionary:
     terms over the 0.4 score threshold (E6), lowercased unlinked surfaces
     (E7), then ``finalize_baseline`` (E11).
     """
-    from fieldmark.functions.text import fold_distinct
-    from fieldmark.operators.linking import link
+    from fieldmark.operators.linking import linked_texts
 
     ex = df.select(F.col(id_col).alias("_id"), F.posexplode(spans_col).alias("_i", "_s"))
     ex = ex.select("_id", "_i", "_s.*")
-    linked = link(ex, "text", dictionary, containment=True, fuzzy=fuzzy, out_col="key")
-    texts = fold_distinct(ex.select("text").distinct().where(F.col("text").isNotNull()), "text", "_fold")
-    norm = texts.select("text", normalize_unit(F.col("text"), F.col("_fold")).alias("unit_n"),
-                        normalize_direction(F.col("_fold")).alias("dir_n"))
-    linked = linked.join(norm, "text", "left").select(
+    texts = linked_texts(ex, "text", dictionary, containment=True, fuzzy=fuzzy)
+    norm = texts.select("text", "key", normalize_unit(F.col("text"), F.col("n")).alias("unit_n"),
+                        normalize_direction(F.col("n")).alias("dir_n"))
+    linked = ex.join(norm, "text", "left").select(
         "_id", "_i", "text", "label", "start", "end", "score", "key", "unit_n", "dir_n",
         to_float(F.col("text")).alias("num"))
     per = linked.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(
@@ -232,7 +230,7 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
     from fieldmark.functions.cleaning import parse_object, py_strip
     from fieldmark.functions.text import fold_distinct
     from fieldmark.operators.clean import not_iterable
-    from fieldmark.operators.linking import link
+    from fieldmark.operators.linking import as_written, link
 
     vt = lambda v: F.schema_of_variant(v)
     falsy = lambda v: F.coalesce(
@@ -272,7 +270,7 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
     def vs(v):  # string value of a variant, '' for null / absent
         return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
 
-    ments = rows.where("_ok").select("_id", F.inline(F.concat(
+    found = rows.select("_id", "_ok", F.when(F.col("_ok"), F.concat(
         F.array(F.struct(F.lit("p").alias("role"), F.lit(0).alias("pos"), F.col("_prod").alias("text"),
                          F.lit(None).cast("string").alias("vtxt"), F.lit(None).cast("string").alias("unit"),
                          F.lit(None).cast("string").alias("dir"), F.lit(False).alias("bad"))),
@@ -290,14 +288,18 @@ def assemble_from_loose(df: DataFrame, id_col: str, raw_col: str, dictionary: Da
             F.lit("t").alias("role"), i.alias("pos"),
             F.when(t["t"] == "STRING", t["s"]).otherwise(vs(t["ent"])).alias("text"),
             F.lit(None).cast("string").alias("vtxt"), F.lit(None).cast("string").alias("unit"),
-            F.lit(None).cast("string").alias("dir"), F.lit(False).alias("bad"))))))
-    ments = ments.where(F.col("text") != "")
+            F.lit(None).cast("string").alias("dir"), F.lit(False).alias("bad"))))).alias("_ments"))
+    # read for its texts, its units and directions, its mentions and its rows: parsed once
+    path = scratch_path(df.sparkSession, "mentions")
+    found.write.parquet(path)
+    rows = df.sparkSession.read.schema(found.schema).parquet(path)
+    ments = rows.where("_ok").select("_id", F.inline("_ments")).where(F.col("text") != "")
     linked = link(ments, "text", dictionary, containment=True, fuzzy=fuzzy, out_col="key")
     vocab = ments.select(F.explode(F.array("unit", "dir")).alias("w")).where(F.col("w").isNotNull()).distinct()
-    folded = fold_distinct(vocab, "w", "_fw")
+    folded = as_written(fold_distinct(vocab, "w", "_fw"), "vocabulary")
     nu = folded.select(F.col("w").alias("unit"), normalize_unit(F.col("w"), F.col("_fw")).alias("unit_n"))
     nd = folded.select(F.col("w").alias("dir"), normalize_direction(F.col("_fw")).alias("dir_n"))
-    # the vocabulary comes from the data: no broadcast hint, AQE sizes the join at run time
+    # the vocabulary comes from the data: no broadcast hint, the planner sizes the joins
     linked = linked.join(nu, "unit", "left").join(nd, "dir", "left")
     per = linked.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(
         "role", "pos", "text", "key", "vtxt", "unit_n", "dir_n"))).alias("m"),

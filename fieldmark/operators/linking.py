@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions.text import fold_distinct
 from fieldmark.operators.containment import containment_hits, phrase_hits, reverse_hits  # noqa: F401
 from fieldmark.operators.similarity import fuzzy_hits
+from fieldmark.session import scratch_path
 
 
 def build_lookup(dictionary: DataFrame) -> DataFrame:
@@ -66,12 +67,27 @@ def resolve_distinct(spans_n: DataFrame, lookup: DataFrame, containment: bool =
     return out.select("n", key.alias("key"), path.alias("path"))
 
 
+def as_written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` by way of a written table, so that it is made once and the planner knows its size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def linked_texts(spans: DataFrame, text_col: str, dictionary: DataFrame, containment: bool = True,
+                 fuzzy: bool = True) -> DataFrame:
+    """Distinct texts with their folded form, key and path ``(text_col, n, key, path)``, as a written table.
+
+    Spans that are joined with a small one need no shuffle by text, where a common text is one task.
+    """
+    texts = as_written(fold_distinct(spans.select(text_col).distinct(), text_col, "n"), "folded")
+    resolved = resolve_distinct(texts.select("n").distinct(), build_lookup(dictionary), containment, fuzzy)
+    return as_written(texts.join(resolved, "n", "left").select(text_col, "n", "key", "path"), "texts")
+
+
 def link(spans: DataFrame, text_col: str, dictionary: DataFrame, containment: bool = True,
          fuzzy: bool = True, out_col: str = "key") -> DataFrame:
     """Add the linked key (or NULL) and the matching path to every span row."""
-    lookup = build_lookup(dictionary)
-    texts = fold_distinct(spans.select(F.col(text_col).alias("_t")).distinct(), "_t", "n")
-    resolved = resolve_distinct(texts.select("n").distinct(), lookup, containment, fuzzy)
-    keyed = texts.join(resolved, "n", "left").select("_t", "key", "path")
-    return (spans.join(keyed.withColumnRenamed("_t", text_col), text_col, "left")
+    keyed = linked_texts(spans.select(F.col(text_col).alias("_t")), "_t", dictionary, containment, fuzzy)
+    return (spans.join(keyed.select(F.col("_t").alias(text_col), "key", "path"), text_col, "left")
             .withColumnRenamed("key", out_col).withColumnRenamed("path", f"{out_col}_path"))
