@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.metrics import METRIC_FIELDS, model_type
 from fieldmark.operators.quantiles import exact_percentiles
+from fieldmark.session import scratch_path
 
 GOLD_TYPES = ["forward", "inverse", "other"]
 
@@ -106,12 +107,22 @@ def summary_of_partials(means: DataFrame, latencies: DataFrame, runs: DataFrame
     return _attributed(out.join(stats, "model", "left"), runs)
 
 
+def narrow_scores(scored: DataFrame, *columns: str) -> DataFrame:
+    """The columns of scored examples that summaries read, and ``columns``, as a written table of the same schema."""
+    path = scratch_path(scored.sparkSession, "scores")
+    rows = scored.select(*dict.fromkeys([*columns, "type", *MEANS]))
+    rows.write.parquet(path)
+    return scored.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def summarize(scored: DataFrame, runs: DataFrame | None = None, run_col: str = "run",
               latency_col: str = "latency_s") -> DataFrame:
     """One row per run with attributes, means, rates, latency and hits by type.
 
-    ``runs`` (optional, the run dimension) adds precision/backend, '?' when unknown.
+    ``runs`` (optional, the run dimension) adds precision/backend, '?' when unknown.  What the means and the percentiles
+    read of the examples is written once, so that these are scored once.
     """
+    scored = narrow_scores(scored, run_col, latency_col)
     return _attributed(run_means(scored, run_col).join(latency_stats(scored, run_col, latency_col), "model", "left"), runs)
 
 

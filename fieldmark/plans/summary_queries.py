@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.metrics import METRIC_FIELDS
 from fieldmark.operators.summary import (
-    class_means, fmt3, hits_by_type, latency_stats, leaderboard, quality_gate, ranked, run_means,
+    class_means, fmt3, hits_by_type, latency_stats, leaderboard, narrow_scores, quality_gate, ranked, run_means,
     sectioned_leaderboard, summarize, type_hits, GOLD_TYPES, LEADERBOARD_COLUMNS,
 )
 from fieldmark.plans.catalog import register
@@ -130,7 +130,7 @@ def a07_merged_partials(spark, sf_dir):
     from fieldmark.session import scratch_path
     from fieldmark.streaming.summary_stream import current_summary, fold, write_partial
 
-    state, rows = scratch_path(spark, "partials"), scored(spark, sf_dir)
+    state, rows = scratch_path(spark, "partials"), narrow_scores(scored(spark, sf_dir), "run", "row_id", "latency_s")
     for batch in range(2):
         write_partial(rows.where(F.col("row_id") % 2 == batch), state, batch)
     fold(spark, state)
