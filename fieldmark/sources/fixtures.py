@@ -7,11 +7,12 @@ in ``fieldmark.plans.oracle_sql`` for the DuckDB check.
 
 Scale notes
 -----------
-* Driver lines are reduced per order with nine conditional ``max_by``
+* Driver lines are reduced per order with nine conditional ``max``
   aggregates (one per lever key), so the aggregation buffer per order is
   bounded by the closed world and partial aggregation happens map-side even
-  when one order holds a large share of the lines.
-* Targets use ``collect_set`` over six KPI keys: bounded the same way.
+  when one order holds a large share of the lines.  Buffers hold the columns
+  of a line only; records are built from them after the shuffle.
+* Targets are a bit set over six KPI keys: bounded the same way.
 * Unknown terms need part names; only lines passing the discount filter are
   joined to ``part`` and the join strategy is left to AQE (``part`` grows with
   the data, so it is never force-broadcast).
@@ -49,62 +50,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list[str], idx: Column) -> Column:
+def _pick(values: list, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
-def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per lineitem with its lever key, KPI, change and a total line order."""
-    li = table(spark, sf_dir, "lineitem")
-    ctype = F.when(F.col("l_returnflag") == "N", "relative").otherwise("absolute")
-    unit = F.when(F.col("l_returnflag") == "A", "bps").otherwise("%")
-    direction = F.when(F.col("l_linestatus") == "O", "increase").otherwise("decrease")
-    order_key = F.struct(*[F.col(c) for c in (
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")])
-    return li.select(
-        F.col("l_orderkey").alias("row_id"),
-        F.col("l_partkey"),
-        F.col("l_discount"),
-        _pick(LEVER_KEYS, F.col("l_partkey") % len(LEVER_KEYS)).alias("lever_key"),
-        _pick(KPIS, F.col("l_suppkey") % len(KPIS)).alias("kpi"),
-        change(ctype, F.col("l_quantity"), unit, direction).alias("chg"),
-        order_key.alias("line_order"),
-    )
+def _line_of(o: Column) -> dict[str, Column]:
+    """Lever key, KPI and change of a line, from the columns of ``lineitem``, which ``o`` names."""
+    ctype = F.when(o["l_returnflag"] == "N", "relative").otherwise("absolute")
+    unit = F.when(o["l_returnflag"] == "A", "bps").otherwise("%")
+    direction = F.when(o["l_linestatus"] == "O", "increase").otherwise("decrease")
+    return {"lever_key": _pick(LEVER_KEYS, o["l_partkey"] % len(LEVER_KEYS)), "kpi": _pick(KPIS, o["l_suppkey"] % len(KPIS)),
+            "chg": change(ctype, o["l_quantity"], unit, direction)}
 
 
 def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order: last change per lever key, target KPI set, first line."""
-    lf = line_facts(spark, sf_dir)
-    aggs = [
-        F.max_by(F.when(F.col("lever_key") == k, F.col("chg")),
-                 F.when(F.col("lever_key") == k, F.col("line_order"))).alias(f"k{i}")
-        for i, k in enumerate(LEVER_KEYS)
-    ]
-    aggs += [
-        F.collect_set("kpi").alias("kpis"),
-        F.min(F.struct("line_order", "lever_key", "chg", "kpi")).alias("first_line"),
-    ]
-    per_order = lf.groupBy("row_id").agg(*aggs)
+    """Per order: last change per lever key, target KPI set, first line.
+
+    A line's change, lever key and KPI follow from the columns that order it, so each buffer holds one line's columns
+    and what follows from them is made after the shuffle; the KPIs seen are a bit set.
+    """
+    o = F.struct(*[F.col(c) for c in (
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")])
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("row_id"), o.alias("o"),
+        _pick(list(range(len(LEVER_KEYS))), F.col("l_partkey") % len(LEVER_KEYS)).alias("lever"),
+        _pick([1 << i for i in range(len(KPIS))], F.col("l_suppkey") % len(KPIS)).alias("kpi"))
+    aggs = [F.max(F.when(F.col("lever") == i, F.col("o"))).alias(f"k{i}") for i in range(len(LEVER_KEYS))]
+    per_order = lines.groupBy("row_id").agg(*aggs, F.bit_or("kpi").alias("kpis"), F.min("o").alias("first"))
     drivers = F.filter(
         F.array(*[
-            F.struct(F.lit(k).alias("entity_key"), F.col(f"k{i}").alias("change"))
-            for i, k in enumerate(LEVER_KEYS)
+            F.when(F.col(f"k{i}").isNotNull(), F.struct(
+                F.lit(k).alias("entity_key"), _line_of(F.col(f"k{i}"))["chg"].alias("change")))
+            for i, k in sorted(enumerate(LEVER_KEYS), key=lambda x: x[1])
         ]),
-        lambda d: d["change"].isNotNull(),
+        lambda d: d.isNotNull(),
+    )
+    targets = F.filter(
+        F.array(*[F.when(F.col("kpis").bitwiseAND(1 << i) != 0, F.lit(k))
+                  for i, k in sorted(enumerate(KPIS), key=lambda x: x[1])]),
+        lambda k: k.isNotNull(),
     )
+    first = _line_of(F.col("first"))
     return per_order.select(
         "row_id",
-        F.array_sort(drivers).alias("drivers"),
-        F.array_sort(F.col("kpis")).alias("targets"),
-        F.col("first_line"),
+        drivers.alias("drivers"),
+        targets.alias("targets"),
+        F.struct(*[first[c].alias(c) for c in ("lever_key", "chg", "kpi")]).alias("first_line"),
     )
 
 
 def order_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lf = line_facts(spark, sf_dir).filter(F.col("l_discount") > TERM_DISCOUNT)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), "l_partkey", "l_discount")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return (lf.join(part, lf.l_partkey == part.p_partkey)
+    return (lines.filter(F.col("l_discount") > TERM_DISCOUNT).join(part, F.col("l_partkey") == F.col("p_partkey"))
             .groupBy("row_id").agg(F.array_sort(F.collect_set("p_name")).alias("terms")))
 
 
@@ -200,12 +199,11 @@ def _prediction(g: Column, h: Column, r: int) -> tuple[Column, Column]:
         as_fwd = rec(intent=F.lit("simulation"), mode=F.lit("forward"),
                      drivers=empty_array(DRIVER_DDL), targets=empty_array("string"),
                      unknown_terms=empty_array("string"))
-        p = F.when(oth & (h % 5 == 0), as_fwd).otherwise(g)
-        p = F.when(fwd & (h % 9 == 1), _with(p, mode=F.lit("inverse"))).otherwise(p)
-        p = F.when(inv & (h % 4 == 0) & g["goal"].isNotNull(),
-                   _with(p, goal=_flip_direction(g["goal"]))).otherwise(p)
-        p = F.when(inv & (h % 6 == 5), _with(p, lever=F.struct(F.lit("FP").alias("entity_key")))).otherwise(p)
-        pred = p
+        # a field at a time: a record in a CASE is written out once for each of its fields
+        p = _with(g, mode=F.when(fwd & (h % 9 == 1), F.lit("inverse")).otherwise(g["mode"]),
+                  goal=F.when(inv & (h % 4 == 0) & g["goal"].isNotNull(), _flip_direction(g["goal"])).otherwise(g["goal"]),
+                  lever=F.when(inv & (h % 6 == 5), F.struct(F.lit("FP").alias("entity_key"))).otherwise(g["lever"]))
+        pred = F.when(oth & (h % 5 == 0), as_fwd).otherwise(p)
     elif r == 4:
         first = F.get(drv, 0)
         stale = F.struct(first["entity_key"].alias("entity_key"),
@@ -458,36 +456,34 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldmark.sources.dimensions import DICTIONARY, SOURCES
 
     surf = [s for s, _ in DICTIONARY]
-    li = table(spark, sf_dir, "lineitem")
-    k = F.col("l_partkey")
-    base = F.col("l_linenumber") * 100
-    lever_text = _pick(surf, k % len(surf))
-    lever_key_guess = _pick([c for _, c in DICTIONARY], k % len(surf))
-    label = F.when(lever_key_guess.isin(*SOURCES), F.lit("source_financement")).otherwise(F.lit("driver_levier"))
-
-    def span(text, lab, off, ln, score):
-        return F.struct(text.alias("text"), lab.alias("label"), (base + off).cast("int").alias("start"),
-                        (base + off + ln).cast("int").alias("end"), score.alias("score"))
-
-    q = F.col("l_quantity").cast("bigint").cast("string")
-    line_spans = F.array(
-        span(lever_text, label, F.lit(0), F.length(lever_text), F.lit(0.9)),
-        span(q, F.lit("valeur_numerique"), F.lit(40), F.length(q), F.lit(0.8)),
-        span(_pick(UNIT_SAMPLES, F.col("l_suppkey") % len(UNIT_SAMPLES)), F.lit("unite_variation"),
-             F.lit(45), F.lit(3), F.lit(0.7)),
-        span(_pick(DIRECTION_SAMPLES, F.col("l_suppkey") % len(DIRECTION_SAMPLES)), F.lit("direction_variation"),
-             F.lit(20), F.lit(6), F.lit(0.7)),
-        span(_pick(surf, F.col("l_suppkey") % len(surf)), F.lit("kpi_cible"), F.lit(60), F.lit(10), F.lit(0.6)),
-        span(F.concat(F.lit("Terme "), F.col("l_returnflag")), F.lit("terme_inconnu"), F.lit(80), F.lit(7),
-             F.col("l_discount") * 8),
-    )
-    per_line = li.select(F.col("l_orderkey").alias("row_id"),
-                         F.struct(F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("o"),
-                         line_spans.alias("sp"))
+    def span(text, lab, start, ln, score):
+        return F.struct(text.alias("text"), lab.alias("label"), start.cast("int").alias("start"),
+                        (start + ln).cast("int").alias("end"), score.alias("score"))
+
+    def line_spans(line: Column) -> Column:
+        base, k, sk, q = line["l_linenumber"] * 100, line["l_partkey"], line["l_suppkey"], line["q"]
+        lever_text = _pick(surf, k % len(surf))
+        lever_key_guess = _pick([c for _, c in DICTIONARY], k % len(surf))
+        label = F.when(lever_key_guess.isin(*SOURCES), F.lit("source_financement")).otherwise(F.lit("driver_levier"))
+        return F.array(
+            span(lever_text, label, base, F.length(lever_text), F.lit(0.9)),
+            span(q, F.lit("valeur_numerique"), base + 40, F.length(q), F.lit(0.8)),
+            span(_pick(UNIT_SAMPLES, sk % len(UNIT_SAMPLES)), F.lit("unite_variation"), base + 45, F.lit(3), F.lit(0.7)),
+            span(_pick(DIRECTION_SAMPLES, sk % len(DIRECTION_SAMPLES)), F.lit("direction_variation"),
+                 base + 20, F.lit(6), F.lit(0.7)),
+            span(_pick(surf, sk % len(surf)), F.lit("kpi_cible"), base + 60, F.lit(10), F.lit(0.6)),
+            span(F.concat(F.lit("Terme "), line["l_returnflag"]), F.lit("terme_inconnu"), base + 80, F.lit(7),
+                 line["l_discount"] * 8),
+        )
+
+    # lines are gathered by the columns that their spans come from, and the spans made after the shuffle
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").cast("string").alias("q"),
+        "l_returnflag", "l_discount").alias("line"))
     prod = F.array(F.struct(F.lit("crédit immobilier").alias("text"), F.lit("produit_credit").alias("label"),
                             F.lit(0).alias("start"), F.lit(17).alias("end"), F.lit(0.9).alias("score")))
-    g = per_line.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("o", "sp"))).alias("lines"))
-    g = g.select("row_id", F.concat(prod, F.flatten(F.transform("lines", lambda x: x["sp"]))).alias("spans"))
+    g = lines.groupBy("row_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    g = g.select("row_id", F.concat(prod, F.flatten(F.transform("lines", line_spans))).alias("spans"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
     none = F.array().cast(g.schema["spans"].dataType)
     return orders.join(g, "row_id", "left").select("row_id", F.coalesce("spans", none).alias("spans"))
