@@ -68,21 +68,20 @@ def _drivers(r: Column, dedup: bool) -> Column:
 
 def drivers_change_accuracy(pred: Column, gold: Column, dedup: bool = True) -> Column:
     """Mean share of equal change sub-fields over matched keys; NULL if none matched."""
-    gd = _drivers(gold, dedup)
-    matched = F.filter(
-        F.transform(
-            _drivers(pred, dedup),
-            lambda d: F.struct(
-                F.exists(gd, lambda g: g["entity_key"].eqNullSafe(d["entity_key"])).alias("hit"),
-                d["change"].alias("pc"),
-                F.get(F.filter(gd, lambda g: g["entity_key"].eqNullSafe(d["entity_key"])), 0)["change"].alias("gc"),
-            ),
-        ),
-        lambda x: x["hit"],
-    )
-    total = F.aggregate(matched, F.lit(0.0), lambda acc, x: acc + change_eq_count(x["pc"], x["gc"]) / 4.0)
-    n = F.size(matched)
-    return F.when(_is_forward(gold) & (n > 0), total / n)
+    pd, gd = _drivers(pred, dedup), _drivers(gold, dedup)
+    pairs = F.transform(pd, lambda d: F.struct(
+        d["change"].alias("pc"), F.filter(gd, lambda g: g["entity_key"].eqNullSafe(d["entity_key"])).alias("g")))
+    shares = F.transform(pairs, lambda x: F.when(
+        F.size(x["g"]) > 0, change_eq_count(x["pc"], F.get(x["g"], 0)["change"]) / 4.0))
+    mean = F.aggregate(
+        shares, F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n")),
+        lambda acc, v: F.when(v.isNull(), acc).otherwise(
+            F.struct((acc["total"] + v).alias("total"), (acc["n"] + 1).alias("n"))),
+        lambda acc: F.when(acc["n"] > 0, acc["total"] / acc["n"]))
+    # equal drivers need no pairs, unless a value is NaN, which equals nothing
+    nan = F.exists(pd, lambda d: F.coalesce(F.isnan(d["change"]["value"]), F.lit(False)))
+    same = (F.size(pd) > 0) & pd.eqNullSafe(gd) & ~nan
+    return F.when(_is_forward(gold), F.when(same, F.lit(1.0)).otherwise(mean))
 
 
 def targets_prf(pred: Column, gold: Column):
@@ -112,8 +111,9 @@ def unknown_terms_prf(pred: Column, gold: Column):
 
 
 def exact_match(pred: Column, gold: Column, dedup: bool = True) -> Column:
-    """Deep equality of the branch-dependent canonical forms."""
-    return canonical(pred, dedup).eqNullSafe(canonical(gold, dedup)) & ~has_nan_value(pred)
+    """Deep equality of the branch-dependent canonical forms, which equal records share."""
+    same = F.when(pred.eqNullSafe(gold), F.lit(True)).otherwise(canonical(pred, dedup).eqNullSafe(canonical(gold, dedup)))
+    return same & ~has_nan_value(pred)
 
 
 METRIC_FIELDS = [

@@ -78,13 +78,15 @@ def change_eq_count(a: Column, b: Column) -> Column:
 def drivers_last_wins(drivers: Column) -> Column:
     """Keep, for each ``entity_key``, only the last driver of the array (dict semantics)."""
     arr = F.coalesce(drivers, empty_array(DRIVER_DDL))
-    return F.filter(
+    keys = F.transform(arr, lambda d: d["entity_key"])
+    last = F.filter(
         arr,
         lambda d, i: ~F.exists(
             F.slice(arr, i + 2, F.greatest(F.size(arr), F.lit(1))),
             lambda e: e["entity_key"].eqNullSafe(d["entity_key"]),
         ),
     )
+    return F.when(F.size(F.array_distinct(keys)) == F.size(arr), arr).otherwise(last)  # most have no key twice
 
 
 def driver_keys(drivers: Column, dedup: bool = True) -> Column:
@@ -125,16 +127,17 @@ def canonical(r: Column, dedup: bool = True) -> Column:
     not_other = branch != "other"
     fwd = branch == "forward"
     inv = branch == "inverse"
-    drv = F.array_sort(F.array_distinct(F.transform(
+    # one entry per key, so all are distinct; only compared, so any order that both sides share will do
+    drv = F.sort_array(F.transform(
         drivers_last_wins(r["drivers"]) if dedup else F.coalesce(r["drivers"], empty_array(DRIVER_DDL)),
-        lambda d: F.struct(d["entity_key"].alias("k"), d["change"].alias("c")))))
-    tgt = F.array_sort(F.array_distinct(F.coalesce(r["targets"], empty_array("string"))))
+        lambda d: F.struct(d["entity_key"].alias("k"), d["change"].alias("c"))))
+    tgt = F.sort_array(F.array_distinct(F.coalesce(r["targets"], empty_array("string"))))
     return F.struct(
         branch.alias("branch"),
         F.when(not_other, r["intent"]).alias("intent"),
         F.when(not_other, r["mode"]).alias("mode"),
         F.when(not_other, r["product_id"]).alias("product_id"),
-        F.array_sort(lower_terms(r["unknown_terms"])).alias("terms"),
+        F.sort_array(lower_terms(r["unknown_terms"])).alias("terms"),
         F.when(fwd, drv).alias("drivers"),
         F.when(fwd, tgt).alias("targets"),
         F.when(inv, r["lever"]["entity_key"]).alias("lever"),
