@@ -54,12 +54,17 @@ def _pick(values: list, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
+def _pick_of_line(values: list, key: Column) -> Column:
+    """The value a line's key picks; a line without the key has the last one, before a shuffle and after it."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.coalesce((key % len(values) + 1).cast("int"), F.lit(-1)))
+
+
 def _line_of(o: Column) -> dict[str, Column]:
     """Lever key, KPI and change of a line, from the columns of ``lineitem``, which ``o`` names."""
     ctype = F.when(o["l_returnflag"] == "N", "relative").otherwise("absolute")
     unit = F.when(o["l_returnflag"] == "A", "bps").otherwise("%")
     direction = F.when(o["l_linestatus"] == "O", "increase").otherwise("decrease")
-    return {"lever_key": _pick(LEVER_KEYS, o["l_partkey"] % len(LEVER_KEYS)), "kpi": _pick(KPIS, o["l_suppkey"] % len(KPIS)),
+    return {"lever_key": _pick_of_line(LEVER_KEYS, o["l_partkey"]), "kpi": _pick_of_line(KPIS, o["l_suppkey"]),
             "chg": change(ctype, o["l_quantity"], unit, direction)}
 
 
@@ -74,8 +79,8 @@ def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")])
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("row_id"), o.alias("o"),
-        _pick(list(range(len(LEVER_KEYS))), F.col("l_partkey") % len(LEVER_KEYS)).alias("lever"),
-        _pick([1 << i for i in range(len(KPIS))], F.col("l_suppkey") % len(KPIS)).alias("kpi"))
+        _pick_of_line(list(range(len(LEVER_KEYS))), F.col("l_partkey")).alias("lever"),
+        _pick_of_line([1 << i for i in range(len(KPIS))], F.col("l_suppkey")).alias("kpi"))
     aggs = [F.max(F.when(F.col("lever") == i, F.col("o"))).alias(f"k{i}") for i in range(len(LEVER_KEYS))]
     per_order = lines.groupBy("row_id").agg(*aggs, F.bit_or("kpi").alias("kpis"), F.min("o").alias("first"))
     drivers = F.filter(
@@ -462,16 +467,16 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def line_spans(line: Column) -> Column:
         base, k, sk, q = line["l_linenumber"] * 100, line["l_partkey"], line["l_suppkey"], line["q"]
-        lever_text = _pick(surf, k % len(surf))
-        lever_key_guess = _pick([c for _, c in DICTIONARY], k % len(surf))
+        lever_text = _pick_of_line(surf, k)
+        lever_key_guess = _pick_of_line([c for _, c in DICTIONARY], k)
         label = F.when(lever_key_guess.isin(*SOURCES), F.lit("source_financement")).otherwise(F.lit("driver_levier"))
         return F.array(
             span(lever_text, label, base, F.length(lever_text), F.lit(0.9)),
             span(q, F.lit("valeur_numerique"), base + 40, F.length(q), F.lit(0.8)),
-            span(_pick(UNIT_SAMPLES, sk % len(UNIT_SAMPLES)), F.lit("unite_variation"), base + 45, F.lit(3), F.lit(0.7)),
-            span(_pick(DIRECTION_SAMPLES, sk % len(DIRECTION_SAMPLES)), F.lit("direction_variation"),
+            span(_pick_of_line(UNIT_SAMPLES, sk), F.lit("unite_variation"), base + 45, F.lit(3), F.lit(0.7)),
+            span(_pick_of_line(DIRECTION_SAMPLES, sk), F.lit("direction_variation"),
                  base + 20, F.lit(6), F.lit(0.7)),
-            span(_pick(surf, sk % len(surf)), F.lit("kpi_cible"), base + 60, F.lit(10), F.lit(0.6)),
+            span(_pick_of_line(surf, sk), F.lit("kpi_cible"), base + 60, F.lit(10), F.lit(0.6)),
             span(F.concat(F.lit("Terme "), line["l_returnflag"]), F.lit("terme_inconnu"), base + 80, F.lit(7),
                  line["l_discount"] * 8),
         )

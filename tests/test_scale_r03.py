@@ -55,6 +55,19 @@ def test_spans_of_an_order_keep_their_order(spark, tmp_path):
     assert [s.start for s in got[2]] == [0, 200, 240, 245, 220, 260, 280] and got[3] == []
 
 
+def test_lines_without_a_key_are_alike_before_and_after_the_shuffle(spark, tmp_path):
+    path = _tables(spark, tmp_path / "a")
+    lines = spark.read.parquet(f"{path}/lineitem.parquet").withColumn("l_suppkey", F.lit(None).cast("long"))
+    os.makedirs(tmp_path / "b")
+    lines.withColumn("l_partkey", F.lit(None).cast("long")).write.parquet(str(tmp_path / "b/lineitem.parquet"))
+    spark.read.parquet(f"{path}/orders.parquet").write.parquet(str(tmp_path / "b/orders.parquet"))
+    spans = {r.row_id: r.spans for r in fixtures.order_spans(spark, str(tmp_path / "b")).collect()}[2]
+    assert [s.text for s in spans if s.label == "unite_variation"] == [fixtures.UNIT_SAMPLES[-1]]
+    part = {r.row_id: r for r in fixtures.order_parts(spark, str(tmp_path / "b")).collect()}[2]
+    assert [d.entity_key for d in part.drivers] == [fixtures.LEVER_KEYS[-1]] == [part.first_line.lever_key]
+    assert part.targets == [fixtures.KPIS[-1]] == [part.first_line.kpi]
+
+
 def test_summary_scores_once(spark):
     cols = ["run", "latency_s", "type", *summary.MEANS]
     calls = spark.sparkContext.accumulator(0)
