@@ -27,12 +27,15 @@ NUMERIC_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: Unicode-aware, unlike SQL ``trim``."""
-    return F.regexp_replace(c, f"(?U)^{_WS}+|{_WS}+$", "")
+    # most texts begin and end with a byte of no white space and need no search
+    ends = [F.substring(c.cast("binary"), at, 1) for at in (1, -1)]
+    plain = [(e > F.lit(b" ")) & (e < F.lit(b"\x80")) for e in ends]
+    return F.when(plain[0] & plain[1], c).otherwise(F.regexp_replace(c, f"(?U)^{_WS}+|{_WS}+$", ""))
 
 
 def strip_reasoning(raw: Column) -> Column:
     """Remove every ``<think>...</think>`` block (non-greedy, across lines), then strip."""
-    return py_strip(F.regexp_replace(raw, "(?s)<think>.*?</think>", ""))
+    return py_strip(F.when(raw.contains("<think>"), F.regexp_replace(raw, "(?s)<think>.*?</think>", "")).otherwise(raw))
 
 
 def vtype(v: Column, path: str = "$") -> Column:
@@ -44,6 +47,17 @@ def is_numeric_type(t: Column) -> Column:
     return t.isin(*NUMERIC_TYPES) | t.startswith("DECIMAL")
 
 
+def in_array(text: Column) -> Column:
+    """``text`` parsed in an array before a mark, as VARIANT or NULL."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"@end"]')))
+
+
+def is_one_value(wrapped: Column) -> Column:
+    """Whether the text of ``in_array`` is one JSON value."""
+    return (F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == "@end", F.lit(False))
+            & F.try_variant_get(wrapped, "$[2]", "variant").isNull())
+
+
 def parse_object(text: Column) -> Column:
     """The JSON object in ``text`` as VARIANT, or NULL.
 
@@ -51,12 +65,9 @@ def parse_object(text: Column) -> Column:
     if the text is one value, so trailing values and junk, which a bare
     ``try_parse_json`` would accept, lose the mark.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"@end"]')))
-    first = F.try_variant_get(wrapped, "$[0]", "variant")
-    ok = (F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == "@end", F.lit(False))
-          & F.try_variant_get(wrapped, "$[2]", "variant").isNull()
-          & F.coalesce(F.schema_of_variant(first).startswith("OBJECT"), F.lit(False)))
-    return F.when(ok, first)
+    wrapped = in_array(text)
+    brace = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")  # of a value that parses: an object
+    return F.when(is_one_value(wrapped) & brace, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
 def null_of_rec() -> Column:

@@ -15,7 +15,7 @@ _ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b
 _ESCAPES |= {chr(c): f"\\u{c:04x}" for c in range(32) if chr(c) not in _ESCAPES}
 
 
-def _apart(value: Column, f) -> Column:
+def apart(value: Column, f) -> Column:
     """``f`` of a value, as one lambda: evaluated once, and kept out of the code that is generated for the row."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
@@ -28,7 +28,7 @@ def _escaped(s: Column) -> Column:
 
 def string_text(s: Column) -> Column:
     """json.dumps of a string or None, non-ASCII kept."""
-    text = F.when(s.rlike('[\\x00-\\x1F"\\\\]'), _apart(s, _escaped)).otherwise(s)
+    text = F.when(s.rlike('[\\x00-\\x1F"\\\\]'), apart(s, _escaped)).otherwise(s)
     return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
 
 
@@ -54,7 +54,7 @@ def _without_e(text: Column) -> Column:
 def number_text(v: Column) -> Column:
     """json.dumps of a float or None."""
     text = v.cast("string")
-    return F.coalesce(F.when(text.contains("E"), _apart(_apart(text, _shortest), _without_e)).otherwise(text), F.lit("null"))
+    return F.coalesce(F.when(text.contains("E"), apart(apart(text, _shortest), _without_e)).otherwise(text), F.lit("null"))
 
 
 def change_text(c: Column) -> Column:

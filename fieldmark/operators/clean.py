@@ -1,8 +1,8 @@
 """P6 as a DataFrame operator: raw model text -> (prediction, valid, reject reasons).
 
-The work is staged in successive projections so that every VARIANT path is
-extracted once per row (Catalyst keeps projections apart when an expensive
-expression would otherwise be evaluated several times).  No shuffle, no
+The work is staged in successive projections so that an answer is parsed and
+cast to its fields once per row (Catalyst keeps projections apart when an
+expensive expression would otherwise be evaluated several times).  No shuffle, no
 Python: the whole operator is a chain of narrow JVM projections.
 """
 
@@ -13,78 +13,39 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.functions.cleaning import (
-    is_numeric_type, null_of_rec, parse_object, strip_reasoning, to_float_strict,
-)
-from fieldmark.functions.records import empty_array, rec
+from fieldmark.functions.cleaning import in_array, is_numeric_type, is_one_value, strip_reasoning, to_float_strict
+from fieldmark.functions.json_text import apart
+from fieldmark.functions.records import DRIVER_DDL, empty_array, rec
 from fieldmark.sources.dimensions import (
     CHANGE_DIRECTIONS, CHANGE_TYPES, CHANGE_UNITS, KPIS, LEVER_KEYS, PRODUCTS,
 )
 
-_TOP = ("intent", "mode", "product_id", "drivers", "targets", "lever", "goal", "target", "unknown_terms")
-_TOP_DDL = "struct<" + ",".join(f"{k}:variant" for k in _TOP) + ">"
-_CHANGE_DDL = "struct<type:variant,value:variant,unit:variant,direction:variant>"
-
-
-def _typed(v: Column) -> Column:
-    """(variant type name, string value) of one variant."""
-    return F.struct(F.schema_of_variant(v).alias("t"), F.try_variant_get(v, "$", "string").alias("s"))
-
-
-def _change_variants(cv: Column) -> Column:
-    """Split a change variant once into a struct of field variants (NULL unless an object).
-
-    ``t`` is 'OBJECT' for objects; casting to a struct is much cheaper than
-    building the full nested type name with ``schema_of_variant``.
-    """
-    s = F.try_variant_get(cv, "$", _CHANGE_DDL)
-    return F.struct(F.when(s.isNotNull(), F.lit("OBJECT")).alias("t"), s.alias("s"))
-
-
-def _change_parts(cs: Column) -> Column:
-    """Typed parts of a change from ``_change_variants`` output."""
-    s = cs["s"]
-    return F.struct(
-        cs["t"].alias("t"),
-        _typed(s["type"]).alias("type"),
-        _typed(s["value"]).alias("value"),
-        F.try_variant_get(s["value"], "$", "double").alias("vd"),
-        _typed(s["unit"]).alias("unit"),
-        _typed(s["direction"]).alias("direction"),
-    )
-
-
-def _is_str(p: Column) -> Column:
-    return F.coalesce(p["t"] == "STRING", F.lit(False))
+# One cast reads a whole answer: ``string`` is the text of any value, ``binary`` that of a JSON string only (no other value
+# casts to it).  So no value is carried on as a VARIANT, which would hold the names of the whole answer.
+_CHANGE_DDL = "struct<type:binary,value:double,unit:binary,direction:binary>"
+_ANSWER_DDL = ("struct<intent:binary,mode:string,product_id:string,"
+               f"drivers:array<struct<entity_key:binary,change:{_CHANGE_DDL}>>,targets:array<string>,"
+               f"lever:struct<entity_key:binary>,goal:{_CHANGE_DDL},target:string,unknown_terms:array<binary>>")
+#: The change values that are strings.
+_VALUES_DDL = "struct<drivers:array<struct<change:struct<value:binary>>>,goal:struct<value:binary>>"
 
 
-def _str_or_null(p: Column) -> Column:
-    return F.when(_is_str(p), p["s"])
+def _text(c: Column) -> Column:
+    return c.cast("string")
 
 
-def _num_like(p: Column) -> Column:
-    return F.coalesce(is_numeric_type(p["t"]) | (p["t"] == "BOOLEAN"), F.lit(False))
-
-
-def _change_struct(c: Column) -> Column:
-    """P3 on extracted parts: numeric value -> abs; numeric string parsed, sign kept."""
-    value = (F.when(_num_like(c["value"]), F.abs(c["vd"]))
-             .when(_is_str(c["value"]), to_float_strict(c["value"]["s"])))
-    return F.when(F.coalesce(c["t"].startswith("OBJECT"), F.lit(False)), F.struct(
-        _str_or_null(c["type"]).alias("type"), value.alias("value"),
-        _str_or_null(c["unit"]).alias("unit"), _str_or_null(c["direction"]).alias("direction")))
+def _change_struct(c: Column, text: Column) -> Column:
+    """Numeric value -> abs; numeric string (its ``text``) parsed, sign kept; NULL unless an object."""
+    value = F.when(text.isNotNull(), to_float_strict(_text(text))).otherwise(F.abs(c["value"]))
+    return F.when(c.isNotNull(), F.struct(_text(c["type"]).alias("type"), value.alias("value"),
+                                          _text(c["unit"]).alias("unit"), _text(c["direction"]).alias("direction")))
 
 
 def _change_ok(c: Column) -> Column:
-    value_ok = _num_like(c["value"]) | (_is_str(c["value"]) & to_float_strict(c["value"]["s"]).isNotNull())
+    """On a canonical change: a value that is no number and no text of one is NULL there."""
     return F.coalesce(
-        c["t"].startswith("OBJECT") & _is_str(c["type"]) & c["type"]["s"].isin(*CHANGE_TYPES) & value_ok
-        & _is_str(c["unit"]) & c["unit"]["s"].isin(*CHANGE_UNITS)
-        & _is_str(c["direction"]) & c["direction"]["s"].isin(*CHANGE_DIRECTIONS), F.lit(False))
-
-
-def _null_or_missing(p: Column) -> Column:
-    return p["t"].isNull() | (p["t"] == "VOID")
+        c["type"].isin(*CHANGE_TYPES) & c["value"].isNotNull() & c["unit"].isin(*CHANGE_UNITS)
+        & c["direction"].isin(*CHANGE_DIRECTIONS), F.lit(False))
 
 
 def not_iterable(v: Column) -> Column:
@@ -102,18 +63,6 @@ def _list_kind(v: Column) -> Column:
             .otherwise(F.lit("OTHER")))
 
 
-def _lever_parts(v: Column) -> Column:
-    s = F.try_variant_get(v, "$", "struct<entity_key:variant>")
-    t = (F.when(v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False)), F.lit("VOID"))
-         .when(s.isNotNull(), F.lit("OBJECT")).otherwise(F.lit("OTHER")))
-    return F.struct(t.alias("t"), _typed(s["entity_key"]).alias("key"))
-
-
-def _array_parts(v: Column) -> Column:
-    """``x or []`` on a variant: its elements when it is an array, else []."""
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-
-
 def clean_outputs(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Add ``pred`` (Rec or NULL), ``valid`` and ``reject`` (failed checks) to ``df``.
 
@@ -123,81 +72,78 @@ def clean_outputs(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     forward keeps object drivers with canonical changes, inverse keeps lever /
     goal / target, any other mode is invalid; validation checks every enum.
     """
-    keep = df.columns
-    s1 = df.select(*keep, parse_object(strip_reasoning(F.col(raw_col))).alias("_obj"))
-    s2 = s1.select(*keep, "_obj", F.try_variant_get(F.col("_obj"), "$", _TOP_DDL).alias("_f"))
-    f = F.col("_f")
+    keep, c = df.columns, F.col
+    s1 = df.select(*keep, in_array(strip_reasoning(F.col(raw_col))).alias("_w"))
+    # in a lambda: the code generated to copy these structs is too long for a method that is compiled, with it all of the row's
+    s2 = s1.select(*keep, "_w", apart(c("_w"), lambda w: F.struct(
+        F.when(is_one_value(w), F.try_variant_get(w, "$[0]", _ANSWER_DDL)).alias("a"),
+        F.try_variant_get(w, "$[0]", _VALUES_DDL).alias("v"))).alias("_r"))
+
+    def given(name: str) -> Column:
+        """The field is there and not null; asked only where it is not of its kind."""
+        return F.try_variant_get("_w", f"$[0].{name}", "string").isNotNull()
+
+    a, v = c("_r.a"), c("_r.v")
+    number = F.try_variant_get("_w", "$[0].drivers", "binary").isNull() & F.coalesce(
+        F.try_variant_get("_w", "$[0].drivers", "double") != 0, F.lit(False))
     s3 = s2.select(
-        *keep, F.col("_obj").isNotNull().alias("_parsed"),
-        *[_typed(f[k]).alias(f"_{k}") for k in ("intent", "mode", "product_id", "target")],
-        _list_kind(f["targets"]).alias("_targets_t"),
-        _list_kind(f["unknown_terms"]).alias("_terms_t"),
-        not_iterable(f["drivers"]).alias("_drivers_bad"),
-        F.filter(F.transform(_array_parts(f["drivers"]),
-                             lambda e: F.try_variant_get(e, "$", "struct<entity_key:variant,change:variant>")),
-                 lambda d: d.isNotNull()).alias("_drv_e"),
-        F.transform(_array_parts(f["targets"]), _typed).alias("_tgt"),
-        F.transform(_array_parts(f["unknown_terms"]), _typed).alias("_terms"),
-        _lever_parts(f["lever"]).alias("_lever"),
-        _change_variants(f["goal"]).alias("_goal_v"),
+        *keep, a.isNotNull().alias("_parsed"), F.coalesce(_text(a["intent"]) == "other", F.lit(False)).alias("_other"),
+        F.coalesce(a["mode"] == "forward", F.lit(False)).alias("_fwd"),
+        F.coalesce(a["mode"] == "inverse", F.lit(False)).alias("_inv"),
+        *[a[k].alias(f"_{k}") for k in ("mode", "product_id", "target")],
+        (a["targets"].isNotNull() | ~given("targets")).alias("_targets_list"),
+        F.coalesce(a["targets"], empty_array("string")).alias("_targets"),
+        (a["unknown_terms"].isNotNull() | ~given("unknown_terms")).alias("_terms_list"),
+        F.coalesce(a["unknown_terms"], empty_array("binary")).alias("_terms"),
+        # what a loop over the drivers cannot take: a non-zero number or true
+        (a["drivers"].isNull() & number).alias("_drivers_bad"),
+        F.coalesce(F.filter(F.transform(a["drivers"], lambda d, i: F.when(d.isNotNull(), F.struct(
+            _text(d["entity_key"]).alias("entity_key"),
+            _change_struct(d["change"], F.get(v["drivers"], i)["change"]["value"]).alias("change")))),
+            lambda d: d.isNotNull()), empty_array(DRIVER_DDL)).alias("_drivers"),
+        (a["lever"].isNotNull() | given("lever")).alias("_lever_given"), _text(a["lever"]["entity_key"]).alias("_lever"),
+        _change_struct(a["goal"], v["goal"]["value"]).alias("_goal"),
     )
-    s3b = s3.select(
-        *[x for x in s3.columns if x not in ("_drv_e", "_goal_v")],
-        _change_parts(F.col("_goal_v")).alias("_goal"),
-        F.transform(F.col("_drv_e"), lambda d: F.struct(
-            d["entity_key"].alias("k"), _change_variants(d["change"]).alias("cv"))).alias("_drv_v"))
-    s4 = s3b.select(
-        *[x for x in s3b.columns if x != "_drv_v"],
-        F.transform(F.col("_drv_v"), lambda d: F.struct(
-            _typed(d["k"]).alias("key"), _change_parts(d["cv"]).alias("change"))).alias("_drv"))
-    c = F.col
-    is_other = _str_or_null(c("_intent")) == "other"
-    fwd = _is_str(c("_mode")) & (c("_mode.s") == "forward")
-    inv = _is_str(c("_mode")) & (c("_mode.s") == "inverse")
-    terms_ok = c("_terms_t").isin("VOID", "ARRAY") & F.forall(c("_terms"), _is_str)
-    drivers_fail = fwd & c("_drivers_bad")
-    product_ok = _null_or_missing(c("_product_id")) | (_is_str(c("_product_id"))
-                                                       & c("_product_id.s").isin(*PRODUCTS))
-    drivers_ok = F.forall(c("_drv"), lambda d: _is_str(d["key"]) & F.coalesce(d["key"]["s"].isin(*LEVER_KEYS),
-                                                                              F.lit(False)) & _change_ok(d["change"]))
-    targets_ok = (c("_targets_t").isin("VOID", "ARRAY")
-                  & F.forall(c("_tgt"), lambda t: _is_str(t) & F.coalesce(t["s"].isin(*KPIS), F.lit(False))))
-    lever_ok = F.coalesce((c("_lever.t") == "OBJECT") & _is_str(c("_lever.key"))
-                          & c("_lever.key.s").isin(*LEVER_KEYS), F.lit(False))
-    target_ok = _is_str(c("_target")) & F.coalesce(c("_target.s").isin(*KPIS), F.lit(False))
+    # a text of an enum is no other value's text, so none of these needs the kind of the value
+    among = lambda x, values: F.coalesce(x.isin(*values), F.lit(False))
+    product_ok = c("_product_id").isNull() | c("_product_id").isin(*PRODUCTS)
+    drivers_ok = F.forall(c("_drivers"), lambda d: among(d["entity_key"], LEVER_KEYS) & _change_ok(d["change"]))
+    targets_ok = c("_targets_list") & F.forall(c("_targets"), lambda t: among(t, KPIS))
+    s4 = s3.select(
+        *[x for x in s3.columns if x not in ("_targets_list", "_terms_list", "_terms")],
+        (c("_terms_list") & ~F.exists(c("_terms"), lambda t: t.isNull())).alias("_terms_ok"),
+        (c("_fwd") & c("_drivers_bad")).alias("_drivers_fail"),
+        product_ok.alias("_product_ok"), F.when(c("_fwd"), drivers_ok).alias("_drivers_ok"),
+        F.when(c("_fwd"), targets_ok).alias("_targets_ok"), among(c("_lever"), LEVER_KEYS).alias("_lever_ok"),
+        _change_ok(c("_goal")).alias("_goal_ok"), among(c("_target"), KPIS).alias("_target_ok"),
+        F.transform(c("_terms"), lambda t: F.lower(_text(t))).alias("_unknown_terms"))
 
     def why(name: str, cond: Column, ok: Column) -> Column:
-        return F.when(cond & ~F.coalesce(ok, F.lit(False)), F.lit(name))
+        return F.when(cond & ~ok, F.lit(name))
 
     reject = F.filter(F.array(
-        why("product_id", F.lit(True), product_ok),
-        why("drivers", fwd, drivers_ok), why("targets", fwd, targets_ok),
-        why("lever", inv, lever_ok), why("goal", inv, _change_ok(c("_goal"))), why("target", inv, target_ok),
-        F.when(~fwd & ~inv, F.lit("mode"))), lambda x: x.isNotNull())
-    sim = rec(
-        intent=F.lit("simulation"), mode=c("_mode.s"), product_id=c("_product_id.s"),
-        drivers=F.when(fwd, F.transform(c("_drv"), lambda d: F.struct(
-            _str_or_null(d["key"]).alias("entity_key"), _change_struct(d["change"]).alias("change")))),
-        targets=F.when(fwd, F.transform(c("_tgt"), lambda t: t["s"])),
-        lever=F.when(inv & (c("_lever.t") != "VOID"),
-                     F.struct(_str_or_null(c("_lever.key")).alias("entity_key"))),
-        goal=F.when(inv, _change_struct(c("_goal"))),
-        target=F.when(inv, c("_target.s")),
-        unknown_terms=F.transform(c("_terms"), lambda t: F.lower(t["s"])),
-    )
-    other = rec(intent=F.lit("other"), unknown_terms=empty_array("string"))
-    s5 = s4.select(*keep, "_parsed", F.coalesce(is_other, F.lit(False)).alias("_other"),
-                   terms_ok.alias("_terms_ok"), drivers_fail.alias("_drivers_fail"), sim.alias("_sim"), reject.alias("_reject"))
-    out = s5.select(
-        *keep,
-        F.when(~c("_parsed"), null_of_rec()).when(c("_other"), other)
-         .when(~c("_terms_ok") | c("_drivers_fail"), null_of_rec()).otherwise(c("_sim")).alias("pred"),
-        (c("_parsed") & (c("_other") | (c("_terms_ok") & ~c("_drivers_fail") & (F.size(c("_reject")) == 0)))).alias("valid"),
-        F.when(~c("_parsed"), F.array(F.lit("unparsable")))
-         .when(c("_other"), F.array().cast("array<string>"))
+        why("product_id", F.lit(True), c("_product_ok")),
+        why("drivers", c("_fwd"), c("_drivers_ok")), why("targets", c("_fwd"), c("_targets_ok")),
+        why("lever", c("_inv"), c("_lever_ok")), why("goal", c("_inv"), c("_goal_ok")), why("target", c("_inv"), c("_target_ok")),
+        F.when(~c("_fwd") & ~c("_inv"), F.lit("mode"))), lambda x: x.isNotNull())
+    all_ok = c("_product_ok") & F.when(c("_fwd"), c("_drivers_ok") & c("_targets_ok")).when(
+        c("_inv"), c("_lever_ok") & c("_goal_ok") & c("_target_ok")).otherwise(F.lit(False))
+    other, sim = c("_other"), ~c("_other")
+    none = empty_array("string")
+    lost = ~c("_parsed") | (sim & (~c("_terms_ok") | c("_drivers_fail")))
+    # a field at a time: a record in a CASE is copied whole
+    pred = rec(
+        intent=F.when(other, F.lit("other")).otherwise(F.lit("simulation")),
+        mode=F.when(sim, c("_mode")), product_id=F.when(sim, c("_product_id")),
+        drivers=F.when(sim & c("_fwd"), c("_drivers")), targets=F.when(sim & c("_fwd"), c("_targets")),
+        lever=F.when(sim & c("_inv") & c("_lever_given"), F.struct(c("_lever").alias("entity_key"))),
+        goal=F.when(sim & c("_inv"), c("_goal")), target=F.when(sim & c("_inv"), c("_target")),
+        unknown_terms=F.when(other, none).otherwise(c("_unknown_terms")))
+    out = s4.select(
+        *keep, F.when(~lost, pred).alias("pred"), (~lost & (other | all_ok)).alias("valid"),
+        F.when(~c("_parsed"), F.array(F.lit("unparsable"))).when(other, none)
          .when(~c("_terms_ok"), F.array(F.lit("unknown_terms")))
-         .when(c("_drivers_fail"), F.array(F.lit("drivers")))
-         .otherwise(c("_reject")).alias("reject"),
+         .when(c("_drivers_fail"), F.array(F.lit("drivers"))).when(all_ok, none).otherwise(reject).alias("reject"),
     )
     # Row/valid counters.  The metrics node also keeps later filters (and the
     # filters Catalyst infers for explode) above it: pushed below, they would
