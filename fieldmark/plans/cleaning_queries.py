@@ -23,14 +23,15 @@ def _flat_rec(r: Column) -> list[Column]:
                            F.coalesce(c["value"].cast("string"), F.lit("")),
                            F.coalesce(c["unit"], F.lit("")), F.coalesce(c["direction"], F.lit("")))
 
-    drivers = F.array_join(F.array_sort(F.transform(r["drivers"], lambda d: F.concat_ws(
+    # sort_array, not array_sort with its comparator: the two differ in where nulls stand, which array_join leaves out
+    drivers = F.array_join(F.sort_array(F.transform(r["drivers"], lambda d: F.concat_ws(
         ":", F.coalesce(d["entity_key"], F.lit("")), chg(d["change"])))), "|")
     return [
         r["intent"].alias("intent"), r["mode"].alias("mode"), r["product_id"].alias("product_id"),
         drivers.alias("drivers"),
         F.when(r["drivers"].isNotNull(), F.size(r["drivers"]).cast("long")).alias("n_drivers"),
-        F.array_join(F.array_sort(r["targets"]), "|").alias("targets"),
-        F.array_join(F.array_sort(r["unknown_terms"]), "|").alias("terms"),
+        F.array_join(F.sort_array(r["targets"]), "|").alias("targets"),
+        F.array_join(F.sort_array(r["unknown_terms"]), "|").alias("terms"),
         r["lever"]["entity_key"].alias("lever"),
         F.when(r["goal"].isNotNull(), chg(r["goal"])).alias("goal"),
         r["target"].alias("target"),
